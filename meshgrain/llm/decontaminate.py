@@ -54,18 +54,30 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> Data
     end in code points). Null and wordless texts have no words; items without words match
     nothing; a null item_id hits but is not listed. An empty benchmark leaves every document clean.
     """
-    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = _hits(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, size)
+    return rows.mapInArrow(_located, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 10) -> DataFrame:
+    """docs without rows in which a window occurs; all columns stay as they are."""
+    return _hits(docs, benchmark, size).where("size(_hit_words) = 0").select(*[f"`{c}`" for c in docs.columns])
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """docs with _items and _hit_words, from one pass for each part of the benchmark."""
+    spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-chars // PART_CHARS) or 1
-    rows = docs.select("doc_id", "text", F.array().cast("array<string>").alias("items"), F.array().cast("array<long>").alias("hit_words"))
+    rows = docs.withColumns({"_items": F.array().cast("array<string>"), "_hit_words": F.array().cast("array<long>")})
     for part in range(parts):
         chosen = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
         patterns = spark.sparkContext.broadcast(windows([tuple(r) for r in chosen.collect()], size))
         rows = rows.mapInArrow(_scanner(patterns), rows.schema)
         if part + 1 < parts:
             rows = stash(rows)
-    return rows.mapInArrow(_located, f"doc_id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>")
+    return rows
 
 
 def _scanner(patterns):
@@ -77,7 +89,7 @@ def _scanner(patterns):
         if ready:
             automaton.make_automaton()
         for batch in batches:
-            items, hits = batch["items"].to_pylist(), batch["hit_words"].to_pylist()
+            items, hits = batch["_items"].to_pylist(), batch["_hit_words"].to_pylist()
             for i, text in enumerate(batch["text"]):
                 words = normalised(text.as_py()) if ready else []
                 if not words:
@@ -93,7 +105,8 @@ def _scanner(patterns):
                 np.add.at(marks, last, -1)
                 hits[i] = np.union1d(hits[i], np.flatnonzero(np.cumsum(marks[:-1]) > 0)).astype(np.int64).tolist()
                 items[i] = sorted(set(items[i]).union(*(v[1] for _, v in found)))
-            yield pa.record_batch([batch["doc_id"], batch["text"], pa.array(items, pa.list_(pa.string())), pa.array(hits, pa.list_(pa.int64()))], names=["doc_id", "text", "items", "hit_words"])
+            made = {"_items": pa.array(items, pa.list_(pa.string())), "_hit_words": pa.array(hits, pa.list_(pa.int64()))}
+            yield pa.record_batch([made.get(c, batch[c]) for c in batch.schema.names], names=batch.schema.names)
 
     return scan
 
@@ -101,7 +114,7 @@ def _scanner(patterns):
 def _located(batches: Batches) -> Batches:
     for batch in batches:
         counts, spans = [], []
-        for text, hit in zip(batch["text"], batch["hit_words"].to_pylist(), strict=True):
+        for text, hit in zip(batch["text"], batch["_hit_words"].to_pylist(), strict=True):
             counts.append(len(normalised(text.as_py())))
             runs = []
             if hit:
@@ -109,8 +122,8 @@ def _located(batches: Batches) -> Batches:
                 cut = np.flatnonzero(np.diff(hit) > 1)
                 runs = [{"start": places[hit[a]][0], "end": places[hit[b]][1]} for a, b in zip(np.r_[0, cut + 1], np.r_[cut, len(hit) - 1], strict=True)]
             spans.append(runs)
-        n_hit = [len(h) for h in batch["hit_words"].to_pylist()]
-        yield pa.record_batch([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), batch["items"], pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+        n_hit = [len(h) for h in batch["_hit_words"].to_pylist()]
+        yield pa.record_batch([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(n_hit, pa.int64()), batch["_items"], pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
 def digest(found: DataFrame) -> DataFrame:

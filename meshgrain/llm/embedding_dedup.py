@@ -205,7 +205,7 @@ def _shards(vectors: DataFrame, rows: int) -> DataFrame:
         crowd = open_.join(large, "shard").withColumn("salts", F.ceil(F.col("size") / (4 * rows)).cast("long"))
         draw = F.pmod(F.xxhash64(F.col("rep") + F.lit(level * 1_000_003)), F.lit(1 << 30)) / float(1 << 30)
         wanted = F.least(F.lit(float(MOST_PIVOTS)), F.ceil(4.0 * F.col("size") / rows))
-        pivots = crowd.where(draw < wanted / F.col("size")).select("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "rep", "vector")
+        pivots = crowd.where(draw < wanted / F.col("size")).select(F.col("shard").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("part"), F.col("rep").alias("pivot"), F.col("vector").alias("place"))
         members = crowd.select("shard", F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"), "rep", "vector")
 
         def assign(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -214,14 +214,14 @@ def _shards(vectors: DataFrame, rows: int) -> DataFrame:
             shard = left["shard"].to_numpy()
             if len(right) < 2:  # no pivots drawn: by hash of the number, in one shard again
                 return left.select(["shard", "rep", "vector"])
-            right = right.sort_by("rep")
-            near = _matrix(left["vector"]) @ _matrix(right["vector"]).T
+            right = right.sort_by("pivot")
+            near = _matrix(left["vector"]) @ _matrix(right["place"]).T
             two = np.argpartition(-near, 1, axis=1)[:, :2] if near.shape[1] > 2 else np.tile([0, 1], (len(left), 1))
-            child = (shard[:, None] * 1_000_003 + right["rep"].to_numpy()[two] * 31 + 17).astype(np.int64)
+            child = (shard[:, None] * 1_000_003 + right["pivot"].to_numpy()[two] * 31 + 17).astype(np.int64)
             at = np.repeat(np.arange(len(left)), 2)
             return pa.table({"shard": pa.array(child.ravel()), "rep": left["rep"].take(pa.array(at)), "vector": left["vector"].take(pa.array(at))})
 
-        open_ = members.groupBy("shard", "salt").cogroup(pivots.groupBy("shard", "salt")).applyInArrow(assign, "shard long, rep long, vector binary")
+        open_ = members.groupBy("shard", "salt").cogroup(pivots.groupBy("of", "part")).applyInArrow(assign, "shard long, rep long, vector binary")
     return ready.unionAll(stash(open_))
 
 

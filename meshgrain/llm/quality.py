@@ -67,7 +67,7 @@ class Leader:
         self.n[touched] += g * g
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_384, shards: int = 4, epochs: int = 3, batch_rows: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_384, shards: int = 4, epochs: int = 10, batch_rows: int = 8, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.01, l2: float = 0.1) -> np.ndarray:
     """Weights of all places, the intercept last. labels: doc_id, label (0 or 1; other rows are left out).
 
     The most_rows labelled rows with the least hash of doc_id are taken; each shard of them

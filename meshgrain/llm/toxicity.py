@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
 Examples are a bounded, deterministic sample of labelled rows, half of each class. Terms are
-the words that tell the classes apart best in it (chi-square), so similarity is not drowned in
-words that say nothing. Postings of a term are split by blocks of examples with the largest
+the words that point to label 1 in it beyond chance (chi-square), so similarity is not drowned
+in words that say nothing. Postings of a term are split by blocks of examples with the largest
 weight of each block; a document takes blocks in the order of their upper bounds and stops
 when no block can hold a nearer example than its k-th. Votes weigh by similarity and by how
 many labelled rows an example stands for; the share of the class with none of the terms is
@@ -99,7 +99,7 @@ class Examples:
         return self.__dict__ | {"seen": {}}
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 8192, most_terms: int = 1024, k: int = 16) -> Examples:
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 8192, most_terms: int = 1024, k: int = 16, least_chi: float = 20.0) -> Examples:
     """The index of labelled examples. labels: doc_id, label (0 or 1; other rows are left out).
 
     Of each class the most_examples / 2 rows with the least hash of doc_id are taken, which
@@ -124,8 +124,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 8192, most_term
     n = max(n0 + n1, 1)
     df = counted.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("pos"))
     gap = F.col("pos") * F.lit(float(n)) - F.col("df") * F.lit(float(n1))
-    chi = gap * gap / (F.col("df").cast("double") * (F.lit(float(n)) - F.col("df") + 1))
-    chosen = df.where("df >= 3").withColumn("chi", chi).orderBy(F.desc("chi"), "term").limit(most_terms)
+    chi = F.lit(float(n)) * gap * gap / (F.col("df").cast("double") * F.greatest(F.lit(float(n)) - F.col("df"), F.lit(1.0)) * float(max(n0, 1)) * float(max(n1, 1)))
+    chosen = df.where(gap > 0).withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(most_terms)
     chosen = sorted((np.int64(r["term"]).view(np.uint64), r["df"]) for r in chosen.collect())
     terms = np.array([t for t, _ in chosen], np.uint64)
     idf = np.log((1 + n) / (1 + np.array([d for _, d in chosen], float))) + 1
@@ -165,16 +165,34 @@ def toxicity(docs: DataFrame, examples: Examples) -> DataFrame:
         model = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            scores, evidence = np.full(len(batch), model.prior), [[] for _ in range(len(batch))]
-            for lo, rows, row, h, n in term_counts(batch["text"]):
-                at = np.minimum(np.searchsorted(model.terms, h), max(len(model.terms) - 1, 0))
-                ok = model.terms[at] == h if len(model.terms) else np.zeros(len(h), bool)
-                row, term, tf = row[ok], at[ok], n[ok]
-                edge = np.searchsorted(row, np.arange(rows + 1))
-                for i in np.flatnonzero(np.diff(edge)):
-                    scores[lo + i], found, cosine = model.judge(term[edge[i] : edge[i + 1]], tf[edge[i] : edge[i + 1]])
-                    evidence[lo + i] = [{"doc_id": int(model.doc[f]), "cosine": float(c), "label": int(model.label[f])} for f, c in zip(found[:3], cosine[:3], strict=True)]
+            evidence: list = [[] for _ in range(len(batch))]
+            scores = _scores(batch["text"], model, evidence)
             yield pa.record_batch([batch["doc_id"], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:int>>"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
+
+
+def without_toxic(docs: DataFrame, examples: Examples, threshold: float = 0.5) -> DataFrame:
+    """docs without rows whose text scores the threshold or more; all columns stay as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(examples)
+
+    def keep(batches: Batches) -> Batches:
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch["text"], shared.value) < threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
+def _scores(column: pa.Array, model: Examples, evidence: list | None = None) -> np.ndarray:
+    scores = np.full(len(column), model.prior)
+    for lo, rows, row, h, n in term_counts(column):
+        at = np.minimum(np.searchsorted(model.terms, h), max(len(model.terms) - 1, 0))
+        ok = model.terms[at] == h if len(model.terms) else np.zeros(len(h), bool)
+        row, term, tf = row[ok], at[ok], n[ok]
+        edge = np.searchsorted(row, np.arange(rows + 1))
+        for i in np.flatnonzero(np.diff(edge)):
+            scores[lo + i], found, cosine = model.judge(term[edge[i] : edge[i + 1]], tf[edge[i] : edge[i + 1]])
+            if evidence is not None:
+                evidence[lo + i] = [{"doc_id": int(model.doc[f]), "cosine": float(c), "label": int(model.label[f])} for f, c in zip(found[:3], cosine[:3], strict=True)]
+    return scores
