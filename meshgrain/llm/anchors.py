@@ -149,7 +149,7 @@ def _keyed(batches: Batches) -> Batches:
         yield pa.record_batch({"key": pa.array(_representative(*cols).view(np.int64))})
 
 
-def sharded(texts: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, most_bytes: int = 8 << 20) -> DataFrame:
+def sharded(texts: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, most_bytes: int = 1 << 20) -> DataFrame:
     """Runs `solve` on shards: all texts of an anchor stand in one, and a shard holds about most_bytes unless one anchor has more."""
 
     def run(batches: Batches) -> Batches:

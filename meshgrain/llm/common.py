@@ -28,6 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def text_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Keeps Arrow batches of whole texts small, so that a Python worker's memory is a few batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def stash(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back: its lineage is cut and lost executors lose nothing."""
     path = f"{shared_folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
@@ -35,11 +40,6 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns with plain long or string types, whatever else the table holds."""
-    return df.select(*columns)
-
-
 def summed(parts: DataFrame) -> DataFrame:
     """Adds up arrays of uint32 counters: rows (slot, part, counts) to one row for each slot, in two steps."""
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshgrain.llm import decontaminate, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
+from meshgrain.llm.common import text_batches
 from meshgrain.llm.embedding_dedup import embedding_links
 from meshgrain.llm.mixing import mix_sources
 from meshgrain.llm.ngram_join import ngram_join
@@ -15,6 +16,7 @@ from meshgrain.llm.url_filters import PATTERN_RULES, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -75,7 +75,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 10) -> DataFra
     routed = route(docs.where("doc_id is not null").select("uid", "doc_id", "text"), kind)
     same = routed.segments.join(routed.classes.where("n > 1").select("anchor", "content", F.col("doc_id").alias("least")), ["anchor", "content"])
     whole = same.where("doc_id > least").select("uid", F.col("at").alias("start"), (F.col("at") + F.col("windows") + (width - 1)).alias("end"))
-    some = sharded(routed.texts, lambda t: repeated(t, width), "uid long, start long, end long")
+    some = sharded(routed.texts, lambda t: repeated(t, width), "uid long, start long, end long", most_bytes=2 << 20)
     runs = covered(whole.unionAll(some).distinct())
     return docs.join(runs, "uid", "left").select("doc_id", "text", "runs").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string, runs array<struct<start:long,end:long>>")
 
