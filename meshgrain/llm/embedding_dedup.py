@@ -261,8 +261,9 @@ def audit(rows: DataFrame, found: DataFrame, threshold: float = 0.98, number: st
     streams rows past it.
     """
     vectors = _vectors(rows.select(F.col(number).cast("long").alias(number), "label", embedding), number, embedding)
-    queries = vectors.where(F.col("rep") % every == 0).select("label", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "rep", "n", "vector")
-    against = vectors.select("label", F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), "rep", "n", "vector")
+    size = F.length("vector").alias("size")  # vectors of different lengths are never compared
+    queries = vectors.where(F.col("rep") % every == 0).select("label", size, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "rep", "n", "vector")
+    against = vectors.select("label", size, F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), "rep", "n", "vector")
 
     def count(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -271,7 +272,7 @@ def audit(rows: DataFrame, found: DataFrame, threshold: float = 0.98, number: st
         near &= left["rep"].to_numpy()[:, None] != right["rep"].to_numpy()[None, :]
         return pa.table({"rep": left["rep"], "links": pa.array(near @ right["n"].to_numpy())})
 
-    true = queries.groupBy("label", "block").cogroup(against.groupBy("label", "block")).applyInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+    true = queries.groupBy("label", "size", "block").cogroup(against.groupBy("label", "size", "block")).applyInArrow(count, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
     own = vectors.select("rep", (F.col("n") - 1).alias("copies"))
     both = true.join(own, "rep").select(F.col("rep").alias("vec_id"), (F.col("links") + F.col("copies")).alias("true_links")).join(found.select("vec_id", "n_links").distinct(), "vec_id")
     return both.agg(F.sum("true_links").alias("links"), F.sum(F.least("true_links", "n_links")).alias("found"), (F.sum(F.least("true_links", "n_links")) / F.greatest(F.sum("true_links"), F.lit(1))).alias("recall"))

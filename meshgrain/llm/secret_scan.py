@@ -41,8 +41,8 @@ def _spans(text: Column, kind: int, pattern: str, value: Column | None = None, l
     return F.filter(spans, lambda s: F.length(s["value"]) >= least) if least else spans
 
 
-def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """One row for each row of docs, all its columns kept, with `spans` added: an array, by start
+def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, out: str = "spans") -> DataFrame:
+    """One row for each row of docs, all its columns kept, with `out` (spans) added or replaced: an array, by start
     and then kind, of (kind, start, end, value_sha256, n_repositories, n_owners, status).
 
     Places are code points, end exclusive. status is `example` for values that example_owners
@@ -52,18 +52,19 @@ def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = F.concat(_spans(text, 0, ASSIGN, least=8), _spans(text, 1, ACCESS), _spans(text, 2, HEX), _spans(text, 3, TOKEN))
-    scanned = stash(docs.select(F.col(repository).cast("string").alias("_repository"), F.col(owner).cast("string").alias("_owner"), F.monotonically_increasing_id().alias("_row"), F.array_sort(F.transform(found, _ordered)).alias("_found"), *[F.col(f"`{c}`") for c in docs.columns if c not in ("_repository", "_owner", "_row", "_found")]))
+    keep = [c for c in docs.columns if c != out]
+    scanned = stash(docs.select(F.col(repository).cast("string").alias("_repository"), F.col(owner).cast("string").alias("_owner"), F.monotonically_increasing_id().alias("_row"), F.array_sort(F.transform(found, _ordered)).alias("_found"), F.struct(*[f"`{c}`" for c in keep]).alias("_kept")))
     each = scanned.where("size(_found) > 0").select("_row", "_repository", "_owner", F.explode("_found").alias("f")).select("_row", "_repository", "_owner", "f", F.col("f.sha").alias("sha"))
     held = lambda c: each.select("sha", F.struct(c).alias("x")).distinct().groupBy("sha").agg(F.count("*").alias("n"))
     owners = held("_repository").withColumnRenamed("n", "n_repositories").join(held("_owner").withColumnRenamed("n", "n_owners"), "sha")
     status = F.when(F.col("n_owners") >= example_owners, "example").otherwise("live")
     span = F.struct(F.col("f.start").alias("start"), F.col("f.kind_no").alias("kind_no"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("f.kind_no") + 1).alias("kind"), F.col("f.end").alias("end"), F.col("sha").alias("value_sha256"), "n_repositories", "n_owners", status.alias("status"))
-    judged = each.join(owners, "sha").select("_row", span.alias("span")).groupBy("_row").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    fixed = F.filter("spans", lambda s: s["kind_no"] < 3)
+    judged = each.join(owners, "sha").select("_row", span.alias("span")).groupBy("_row").agg(F.array_sort(F.collect_list("span")).alias("_spans"))
+    fixed = F.filter("_spans", lambda s: s["kind_no"] < 3)
     clear = lambda s: ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    judged = judged.select("_row", F.filter("spans", lambda s: (s["kind_no"] < 3) | ((s["status"] == "live") & clear(s))).alias("spans"))
-    none = F.array().cast(judged.schema["spans"].dataType)
-    return scanned.join(judged, "_row", "left").select(*[f"`{c}`" for c in docs.columns if c != "spans"], F.coalesce("spans", none).alias("spans"))
+    judged = judged.select("_row", F.filter("_spans", lambda s: (s["kind_no"] < 3) | ((s["status"] == "live") & clear(s))).alias("_spans"))
+    none = F.array().cast(judged.schema["_spans"].dataType)
+    return scanned.join(judged, "_row", "left").select("_kept.*", F.coalesce("_spans", none).alias(out))
 
 
 def _ordered(s: Column) -> Column:
@@ -72,16 +73,16 @@ def _ordered(s: Column) -> Column:
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     """docs with every secret span in text replaced by a mark, n_chars brought up to date where it is there; other columns as they are."""
-    scanned = secret_spans(docs)
+    scanned = secret_spans(docs, out="_secrets")
     text = F.coalesce(F.col("text"), F.lit(""))
     # spans that overlap become one: a span counts where no earlier one reaches its start
-    reach = lambda i: F.aggregate(F.slice("spans", 1, i), F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["end"]))
+    reach = lambda i: F.aggregate(F.slice("_secrets", 1, i), F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["end"]))
     piece = lambda s, i: F.concat(text.substr(reach(i).cast("int") + 1, F.greatest(F.lit(0), s["start"] - reach(i)).cast("int")), F.when((i == 0) | (s["start"] >= reach(i)), F.lit(mark)).otherwise(""))
-    whole = F.concat(F.array_join(F.transform("spans", piece), ""), text.substr(reach(F.size("spans")).cast("int") + 1, F.length(text)))
-    new = F.when(F.size("spans") > 0, whole).otherwise(F.col("text"))
+    whole = F.concat(F.array_join(F.transform("_secrets", piece), ""), text.substr(reach(F.size("_secrets")).cast("int") + 1, F.length(text)))
+    new = F.when(F.size("_secrets") > 0, whole).otherwise(F.col("text"))
     out = scanned.withColumn("text", new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*[f"`{c}`" for c in docs.columns])
 
 
