@@ -141,3 +141,21 @@ def motif_destroyed(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """Out-degrees and the multiset of spans stay as far as ids 0..n-1 allow; a span that leaves them ends at the nearest id."""
     moved = _shuffled(edges, F.col("tgt") - F.col("src"), "spans", seed)
     return moved.select("src", F.least(F.greatest(F.col("src") + F.col("value"), F.lit(0)), F.lit(n - 1)).alias("tgt"))
+
+
+def spatial(points: DataFrame, length: float, edges: float, reach: float = 4.0, seed: int = 0) -> DataFrame:
+    """(src, tgt) between points (id, x, y), likelier the nearer they are: probability base * exp(-distance / length).
+
+    base is set so that `edges` are expected, one at most per ordered pair. Pairs farther than
+    `reach` lengths apart are left out (their share is below e**-reach of a pair at hand); the others
+    meet in grid cells of that size, so no point looks beyond its nine cells.
+    """
+    far = reach * length
+    cell = points.withColumn("cx", F.floor(F.col("x") / far)).withColumn("cy", F.floor(F.col("y") / far))
+    near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    around = cell.withColumn("d", F.explode(near)).select(F.col("id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"))
+    pairs = around.join(cell.withColumnRenamed("id", "tgt"), ["cx", "cy"]).where("src <> tgt")
+    distance = F.sqrt((F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0")))
+    pairs = pairs.select("src", "tgt", distance.alias("distance")).where(F.col("distance") <= far).withColumn("pull", F.exp(-F.col("distance") / length))
+    base = pairs.agg(F.least(F.lit(1.0), F.lit(float(edges)) / F.sum("pull")).alias("base"))
+    return pairs.join(F.broadcast(base)).where(uniform("spatial", seed, F.col("src"), F.col("tgt")) < F.col("base") * F.col("pull")).select("src", "tgt")

@@ -140,6 +140,10 @@ SELECT id * 3 + i AS src, id * 3 + j AS tgt, 0.5::DOUBLE AS weight FROM (SELECT
     "gen_gnp": f"WITH {_GRAPH}{_N}, r AS (SELECT id, n FROM u, n) SELECT id AS src, (id + 1 + pick) % n AS tgt FROM {_partners('r', 'n - 1', 0.05, chr(39) + 'gnp' + chr(39), '1')}",
     "gen_planted": f"""WITH {_GRAPH}, n AS (SELECT (max(id) + 1) // 3 * 3 AS n FROM u), r AS (SELECT id, n FROM u, n WHERE id < n)
 SELECT id AS src, (id + (pick + 1) * 3) % n AS tgt FROM {_partners("r", "n // 3 - 1", 0.08, "'in'", "1")} UNION ALL SELECT id, (id + pick // 2 * 3 + pick % 2 + 1) % n FROM {_partners("r", "n - n // 3", 0.005, "'out'", "1")}""",
+    "gen_spatial": f"""WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+q AS (SELECT a.id AS src, b.id AS tgt, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM p a JOIN p b ON a.id <> b.id),
+r AS (SELECT src, tgt, exp(-d / 0.05::DOUBLE) AS pull FROM q WHERE d <= 4.0::DOUBLE * 0.05::DOUBLE), b AS (SELECT least(1.0::DOUBLE, 4000.0::DOUBLE / sum(pull)) AS base FROM r)
+SELECT src, tgt FROM r, b WHERE {_u("'spatial'", "6", "src", "tgt")} < base * pull""",
     "motif_instantiate": "SELECT id * 3 + a AS src, id * 3 + b AS tgt FROM (SELECT DISTINCT user_id AS id FROM events), (VALUES (0, 1), (1, 0), (2, 0), (1, 2)) AS e(a, b)",
     "gen_random_control": f"WITH {_GRAPH} SELECT src, value AS tgt FROM ({_shuffled('tgt', 'stubs')})",
     "control_uniform": f"WITH {_GRAPH}{_N} SELECT src, {_below('n', chr(39) + 'uniform' + chr(39), '4', 'src', 'tgt')} AS tgt FROM g, n",

@@ -208,6 +208,13 @@ def gen_planted(s, d):
     return generate.planted(users(s, d).where(F.col("id") < n), n, 3, 0.08, 0.005, seed=1)
 
 
+@query
+def gen_spatial(s, d):
+    """Points are the first two components of vectors."""
+    points = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
+    return generate.spatial(points, 0.05, 4000, seed=6)
+
+
 @query
 def motif_instantiate(s, d):
     return generate.stamped(users(s, d), 27)
