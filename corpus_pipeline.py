@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshgrain.llm import decontaminate, secret_scan, toxicity
-from meshgrain.llm.common import shared_folder
+from meshgrain.llm.common import shared_folder, text_batches
 from meshgrain.llm.mixing import mix_sources
 from meshgrain.llm.ngram_join import ngram_join
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
