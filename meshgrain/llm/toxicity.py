@@ -1,8 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
 Examples are a bounded, deterministic sample of labelled rows, half of each class. Terms are
-the words that point to label 1 in it beyond chance (chi-square), so similarity is not drowned
-in words that say nothing. Postings of a term are split by blocks of examples with the largest
+the words that label 1 holds several times as often as label 0, beyond chance (chi-square), so
+similarity is not drowned in words that say nothing. Postings of a term are split by blocks of examples with the largest
 weight of each block; a document takes blocks in the order of their upper bounds and stops
 when no block can hold a nearer example than its k-th. Votes weigh by similarity and by how
 many labelled rows an example stands for; the share of the class with none of the terms is
@@ -33,6 +33,12 @@ def term_counts(column: pa.Array):
         yield lo, hi - lo, row[new], h[new], np.diff(np.r_[new, len(h)])
 
 
+def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [lo, hi), one range after another."""
+    n = hi - lo
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
 class Examples:
     """The index: terms by hash, postings in blocks of examples, labels and vote weights."""
 
@@ -56,30 +62,33 @@ class Examples:
 
     def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples and their cosines; ties go to the earlier example."""
-        cells = np.concatenate([np.arange(self.cell_edge[t], self.cell_edge[t + 1]) for t in term])
+        cells = _ranges(self.cell_edge[term], self.cell_edge[term + 1])
         w = np.repeat(weight, self.cell_edge[term + 1] - self.cell_edge[term])
         if not len(cells):
             return cells, w
-        bound = np.bincount(self.cell_block[cells], w * self.cell_most[cells])
-        by_block = np.argsort(self.cell_block[cells], kind="stable")
-        cells, w = cells[by_block], w[by_block]
-        edge = np.searchsorted(self.cell_block[cells], np.arange(len(bound) + 1))
-        blocks = np.argsort(-bound, kind="stable")
-        found, score, step = np.zeros(0, np.int64), np.zeros(0), 8
-        for i in range(0, len(blocks), step):
-            some = blocks[i : i + step]
-            some = some[bound[some] > 0]
-            if not len(some) or (len(score) >= self.k and score[self.k - 1] > bound[some[0]] + 1e-9):
+        block = self.cell_block[cells]
+        bound = np.bincount(block, w * self.cell_most[cells])
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        place = np.empty(len(bound), np.int64)
+        place[order] = np.arange(len(order))
+        by_bound = np.argsort(place[block], kind="stable")
+        cells, w = cells[by_bound], w[by_bound]
+        edge = np.searchsorted(place[block][by_bound], np.arange(len(order) + 1))
+        found, score, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
+        while at < len(order):
+            if len(score) >= self.k and score[self.k - 1] > bound[order[at]] + 1e-9:
                 break
-            for b in some:
-                c = slice(edge[b], edge[b + 1])
-                lo, hi = self.cell_at[cells[c]], self.cell_at[cells[c] + 1]
-                at = np.concatenate([np.arange(x, y) for x, y in zip(lo, hi, strict=True)])
-                dots = np.bincount(self.row[at] - b * BLOCK, np.repeat(w[c], hi - lo) * self.weight[at], minlength=BLOCK)
-                new = np.flatnonzero(dots > 0)
-                found, score = np.r_[found, b * BLOCK + new], np.r_[score, dots[new]]
+            end = min(at + step, len(order))
+            c = slice(edge[at], edge[end])
+            lo, hi = self.cell_at[cells[c]], self.cell_at[cells[c] + 1]
+            post = _ranges(lo, hi)
+            dots = np.bincount(self.row[post], np.repeat(w[c], hi - lo) * self.weight[post])
+            new = np.flatnonzero(dots)
+            found, score = np.r_[found, new], np.r_[score, dots[new]]
             top = np.lexsort((found, -np.round(score, 12)))[: self.k]
             found, score = found[top], score[top]
+            at, step = end, 4 * step
         return found, score
 
     def judge(self, term: np.ndarray, tf: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -99,11 +108,12 @@ class Examples:
         return self.__dict__ | {"seen": {}}
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 8192, most_terms: int = 1024, k: int = 16, least_chi: float = 20.0) -> Examples:
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 8192, most_terms: int = 1024, k: int = 16, least_chi: float = 20.0, least_ratio: float = 3.0) -> Examples:
     """The index of labelled examples. labels: doc_id, label (0 or 1; other rows are left out).
 
     Of each class the most_examples / 2 rows with the least hash of doc_id are taken, which
-    bounds all that is gathered; class totals count every labelled row. A doc_id labelled more
+    bounds all that is gathered; a term is kept if examples of label 1 hold it least_ratio times as
+    often as the others, with a chi-square of least_chi or more. Class totals count every labelled row. A doc_id labelled more
     than once has its largest label.
     """
     labels = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
@@ -125,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 8192, most_term
     df = counted.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("pos"))
     gap = F.col("pos") * F.lit(float(n)) - F.col("df") * F.lit(float(n1))
     chi = F.lit(float(n)) * gap * gap / (F.col("df").cast("double") * F.greatest(F.lit(float(n)) - F.col("df"), F.lit(1.0)) * float(max(n0, 1)) * float(max(n1, 1)))
-    chosen = df.where(gap > 0).withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(most_terms)
+    often = F.col("pos") * float(max(n0, 1)) >= least_ratio * (F.col("df") - F.col("pos")) * float(max(n1, 1))
+    chosen = df.where((gap > 0) & often).withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(most_terms)
     chosen = sorted((np.int64(r["term"]).view(np.uint64), r["df"]) for r in chosen.collect())
     terms = np.array([t for t, _ in chosen], np.uint64)
     idf = np.log((1 + n) / (1 + np.array([d for _, d in chosen], float))) + 1
