@@ -127,8 +127,9 @@ def route(docs: DataFrame, kind: Alphabet) -> Routed:
     made = stash(docs.mapInArrow(cut, "uid long, doc_id long, anchor long, content long, at long, windows int"))
     first = F.min(F.struct("doc_id", "uid", "at"))
     classes = stash(made.groupBy("anchor", "content").agg(first.alias("first"), F.count("*").alias("n")).select("anchor", "content", "n", "first.doc_id", "first.uid", "first.at"))
-    several = classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
-    wanted = bloom(classes.join(several, "anchor", "left_semi").mapInArrow(_keyed, "key long"), "key")
+    several = stash(classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
+    # what a filter lets pass beyond these is a text alone in its anchor, which changes nothing
+    wanted = bloom(classes.mapInArrow(_keyed(bloom(several, "anchor")), "key long"), "key")
 
     def fetch(batches: Batches) -> Batches:
         for batch in batches:
@@ -143,10 +144,14 @@ def route(docs: DataFrame, kind: Alphabet) -> Routed:
     return Routed(made, classes, docs.mapInArrow(fetch, "uid long, doc_id long, anchor long, content long, at long, symbols binary"))
 
 
-def _keyed(batches: Batches) -> Batches:
-    for batch in batches:
-        cols = [batch[c].to_numpy() for c in ("anchor", "content", "uid", "at")]
-        yield pa.record_batch({"key": pa.array(_representative(*cols).view(np.int64))})
+def _keyed(anchors):
+    def keys(batches: Batches) -> Batches:
+        for batch in batches:
+            batch = batch.filter(pa.array(anchors.value.has(batch["anchor"].to_numpy())))
+            cols = [batch[c].to_numpy() for c in ("anchor", "content", "uid", "at")]
+            yield pa.record_batch({"key": pa.array(_representative(*cols).view(np.int64))})
+
+    return keys
 
 
 def sharded(texts: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, most_bytes: int = 1 << 20) -> DataFrame:
