@@ -8,11 +8,12 @@ order into fragments, and every document's sorted set with them.
 2. Two sets with Jaccard >= t share one of the first `n - ceil(t * n) + 1` n-grams of each.
    These prefixes are dealt out by n-gram; a frequent n-gram is split by a salt into groups
    whose expected size is bounded. In each group every document is paired with one of fitting
-   size, so a group of copies costs rows in proportion to its members.
+   size, so a group of copies costs rows in proportion to its members. A pair is tried only if
+   what follows the shared n-gram in both sets can be overlap enough (positional filter).
 3. Overlaps are counted one fragment at a time for the pairs found, and summed for each pair.
    After the first fragment a pair goes on only if what already differs there leaves it a chance.
-4. Components of the links; where documents of one prefix n-gram are still in different
-   components, those pairs are counted too, until nothing is left untested.
+4. Where documents of one prefix n-gram are still in different components, those pairs are
+   counted too, but for those that the triangle inequality rules out; components again.
 
 Only tables the size of prefixes and of candidate documents are shuffled, never texts. A set
 is held as 64-bit keys: 58 bits of hash under 6 bits of rank.
@@ -32,6 +33,8 @@ from meshgrain.llm.words import LOWER, NOT_SPACE, Words, chunks, mix, word_hash,
 
 #: Documents of one n-gram that are dealt to one group, as expected from the sketch.
 GROUP = 4096
+#: In groups up to this size, documents that no other can link with through this n-gram leave at once.
+SMALL = 64
 
 
 def shingles(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -79,15 +82,15 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, fragments: int
     n-grams (A-Z lower-cased); component_id is the smallest doc_id reachable by links, copy_of
     the smallest doc_id with the same set. With fewer than `size` words the whole sequence is
     one n-gram. Null or wordless texts have an empty set and link with nothing; a null doc_id
-    keeps its row and links with nothing; rows that repeat a doc_id count as one document with
-    the union of links. Other columns are ignored, an empty table gives an empty result.
+    keeps its row, with null ids, and links with nothing; a row may be repeated, but a doc_id
+    stands for one text. Other columns are ignored, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = sketch(docs.select("text"), lambda b: (h for *_, h in shingles(b["text"], size)))
-    level = levels(counts)
+    occurrences = sketch(docs.select("text"), lambda b: (h for *_, h in shingles(b["text"], size)))
+    level = levels(occurrences)
     ranks = spark.sparkContext.broadcast(level)
-    pivots = _pivots(counts, level, fragments)
+    pivots = _pivots(occurrences, level, fragments)
 
     def prefixes(batches: Batches) -> Batches:
         for batch in batches:
@@ -104,18 +107,16 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, fragments: int
     groups = _groups(rep, percent)
     tried = groups.select(F.col("rep").alias("a"), F.col("doc").alias("b")).unionAll(groups.select(F.col("before").alias("a"), F.col("doc").alias("b"))).where("a is not null and a <> b")
     tried = stash(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = stash(_verified(docs, tried, size, percent, ranks, pivots))
-    while True:
-        label = components(links)
-        more = _untested(groups, label, tried, percent)
-        if more.isEmpty():
-            break
-        links = stash(links.unionAll(_verified(docs, more, size, percent, ranks, pivots)))
-        tried = tried.unionAll(more)
+    cut = _cut(docs, size, ranks, pivots)
+    counts = stash(_overlaps(tried, _parts(cut, tried), percent, fragments))
+    linked = lambda counted: counted.where(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b")
+    links = stash(linked(counts))
+    more = _untested(groups, counts, components(links), tried, percent)
+    label = components(links.unionAll(linked(_overlaps(more, _parts(cut, more), percent, fragments))))
     copy = made.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("copy_of"))
-    # a doc_id that comes twice with different sets joins its sets' components
     out = made.select("doc_id", "n", "fp1", "fp2").join(copy, ["n", "fp1", "fp2"], "left").join(label.withColumnRenamed("node", "copy_of"), "copy_of", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "copy_of", "doc_id").alias("component_id"), F.coalesce("copy_of", "doc_id").alias("copy_of"))
+    known = lambda *c: F.when(F.col("doc_id").isNotNull(), F.coalesce(*c, "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), known("component", "copy_of").alias("component_id"), known("copy_of").alias("copy_of"))
 
 
 def _pivots(counts: np.ndarray, level: np.ndarray, fragments: int) -> np.ndarray:
@@ -142,73 +143,127 @@ def _groups(rep: DataFrame, percent: int) -> DataFrame:
             most = most_of_level(keys >> np.uint64(64 - LEVEL_BITS))
             salts = np.ceil(most / GROUP).astype(np.uint64)
             salt = (mix(doc.view(np.uint64)) % salts).astype(np.int32)
-            yield pa.record_batch({"key": pa.array(keys.view(np.int64)), "salt": pa.array(salt), "doc": pa.array(doc), "n": pa.array(n)})
+            place = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.record_batch({"key": pa.array(keys.view(np.int64)), "salt": pa.array(salt), "doc": pa.array(doc), "n": pa.array(n.astype(np.int32)), "place": pa.array(place.astype(np.int32))})
 
     def pair(batches: Batches) -> Batches:
         got = [b for b in batches if b.num_rows]
         if not got:
             return
         table = pa.Table.from_batches(got)
-        key, salt, doc, n = (table[c].to_numpy() for c in ("key", "salt", "doc", "n"))
+        key, salt, doc, n, place = (table[c].to_numpy() for c in ("key", "salt", "doc", "n", "place"))
         at = np.lexsort((doc, n, salt, key))
-        key, salt, doc, n = key[at], salt[at], doc[at], n[at]
+        key, salt, doc, n, place = key[at], salt[at], doc[at], n[at].astype(np.int64), place[at].astype(np.int64)
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
         size = np.diff(np.r_[np.flatnonzero(new), len(key)])
         alone = (np.repeat(size, size) == 1) & (salt == 0) & (most_of_level(key.view(np.uint64) >> np.uint64(64 - LEVEL_BITS)) <= GROUP)
-        key, doc, n, new = key[~alone], doc[~alone], n[~alone], new[~alone]
+        key, doc, n, place, new = key[~alone], doc[~alone], n[~alone], place[~alone], new[~alone]
         group = np.cumsum(new) - 1
         rep = np.full(len(key), -1)
         while (open_ := np.flatnonzero(rep < 0)).size:
             first = open_[np.r_[True, group[open_][1:] != group[open_][:-1]]]
             lead = np.repeat(first, np.diff(np.r_[np.searchsorted(open_, first), len(open_)]))
             fits = n[open_] * percent <= n[lead] * 100
-            rep[open_[fits]] = lead[fits]
+            # of those of fitting size, the one with the fewest rarer n-grams stands for all: it is most like the others
+            some, lead = open_[fits], lead[fits]
+            begin = np.flatnonzero(np.r_[True, lead[1:] != lead[:-1]])
+            least = np.minimum.reduceat(place[some] * len(key) + some, begin) % len(key)
+            rep[some] = np.repeat(least, np.diff(np.r_[begin, len(some)]))
         # where a new size begins, the document just before it may still fit
-        before = np.where((rep == np.arange(len(key))) & ~new, np.arange(len(key)) - 1, -1)
-        ok = (before >= 0) & (n * percent <= n[before] * 100)
-        yield pa.record_batch({"key": pa.array(key), "doc": pa.array(doc), "n": pa.array(n), "rep": pa.array(doc[rep]), "before": pa.array(doc[before], mask=~ok)})
-
-    spread_out = rep.select("doc", "n", "prefix").mapInArrow(spread, "key long, salt int, doc long, n long").repartition("key", "salt")
-    return stash(spread_out.mapInArrow(pair, "key long, doc long, n long, rep long, before long"))
-
-
-def _untested(groups: DataFrame, label: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one prefix n-gram and fitting sizes, in different components and not tried before."""
-    named = groups.select("key", "doc", "n").join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", F.coalesce("component", "doc").alias("component"))
+        begins = np.r_[False, rep[1:] != rep[:-1]] & ~new
+        before = np.where(begins, np.arange(len(key)) - 1, -1)
+
+        def may_link(i: np.ndarray) -> np.ndarray:
+            """Whether what is left of both sets from this n-gram on can be overlap enough."""
+            return (i >= 0) & ((100 + percent) * np.minimum(n - place, n[i] - place[i]) >= percent * (n + n[i]))
+
+        # rows without any partner in a small group are done with; whole n-grams stand in one group up to GROUP
+        inner, size = _inside(group)
+        keep = (size > SMALL) | (most_of_level(key.view(np.uint64) >> np.uint64(64 - LEVEL_BITS)) > GROUP)
+        for step in range(1, SMALL):
+            i = np.flatnonzero((inner + step < size) & (size <= SMALL))
+            if not len(i):
+                break
+            j = i + step  # not smaller than i
+            ok = (n[j] * percent <= n[i] * 100) & ((100 + percent) * np.minimum(n[i] - place[i], n[j] - place[j]) >= percent * (n[i] + n[j]))
+            keep[i[ok]] = keep[j[ok]] = True
+        partner = lambda i: pa.array(doc[i][keep], mask=~may_link(i)[keep])
+        yield pa.record_batch({"key": pa.array(key[keep]), "doc": pa.array(doc[keep]), "n": pa.array(n[keep]), "place": pa.array(place[keep]), "rep": partner(rep), "before": partner(before)})
+
+    spread_out = rep.select("doc", "n", "prefix").mapInArrow(spread, "key long, salt int, doc long, n int, place int").repartition("key", "salt")
+    return stash(spread_out.mapInArrow(pair, "key long, doc long, n long, place long, rep long, before long"))
+
+
+def _inside(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each row in its group and the group's size, for group numbers in order."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    size = np.diff(np.r_[first, len(group)])
+    return np.arange(len(group)) - np.repeat(first, size), np.repeat(size, size)
+
+
+def _untested(groups: DataFrame, counts: DataFrame, label: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+    """Pairs of one prefix n-gram, of fitting sizes, in different components and not tried before.
+
+    What follows the n-gram in both sets must be enough for a link: if an earlier one is shared
+    too, the pair is found there. What both differ in from the document they were paired with tells that they differ at
+    least by the difference of the two numbers; pairs for which that is too much are left out.
+    """
+    off = counts.select(F.col("a").alias("rep"), F.col("b").alias("doc"), (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("off"))
+    off = off.unionAll(off.select(F.col("doc").alias("rep"), F.col("rep").alias("doc"), "off"))
+    named = groups.select("key", "doc", "n", "place", "rep").join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "place", "rep", F.coalesce("component", "doc").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = stash(named.join(mixed, "key", "left_semi"))
-    a, b = left.select("key", *(F.col(c).alias(c + "_a") for c in ("doc", "n", "component"))), left.select("key", *(F.col(c).alias(c + "_b") for c in ("doc", "n", "component")))
-    pairs = a.join(b, "key").where(f"doc_a < doc_b and component_a <> component_b and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    left = named.join(mixed, "key", "left_semi").join(off, ["rep", "doc"], "left")
+    left = stash(left.withColumn("off", F.when(F.col("rep") == F.col("doc"), 0).otherwise(F.col("off"))))
+    columns = ("doc", "n", "place", "rep", "component", "off")
+    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
+    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    rest = f"{100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
+    near = f"(coalesce(rep_a <> rep_b, true) or off_a is null or off_b is null or {100 + percent} * abs(off_a - off_b) <= {100 - percent} * (n_a + n_b))"
+    pairs = a.join(b, "key").where(f"doc_a < doc_b and component_a <> component_b and {fits} and {rest} and {near}")
     return stash(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int, ranks, pivots: np.ndarray) -> DataFrame:
-    """The pairs (a, b) that link: overlaps counted fragment by fragment and summed."""
-    wanted = bloom(pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct(), "doc")
+def _cut(docs: DataFrame, size: int, ranks, pivots: np.ndarray):
+    """A function from wanted documents (a Bloom filter) to their fragments: (doc, fragment, n, part)."""
     f_all = len(pivots) + 1
 
-    def cut(batches: Batches) -> Batches:
-        for batch in batches:
-            batch = batch.filter(pa.array(wanted.value.has(batch["doc_id"].to_numpy())))
-            for lo, rows, bound, keys in sets(batch, size, ranks.value):
-                row = np.repeat(np.arange(rows), np.diff(bound))
-                cell = row * f_all + np.searchsorted(pivots, keys, "right")
-                edge = np.searchsorted(cell, np.arange(rows * f_all + 1))
-                doc = np.repeat(batch["doc_id"].to_numpy()[lo : lo + rows], f_all)
-                yield pa.record_batch({"doc": pa.array(doc), "fragment": pa.array(np.tile(np.arange(f_all, dtype=np.int32), rows)), "n": pa.array(np.repeat(np.diff(bound), f_all)), "part": pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys.view(np.int64)))})
-
-    parts = stash(docs.where("doc_id is not null").mapInArrow(cut, "doc long, fragment int, n long, part array<long>"))
-
-    def counted(pairs: DataFrame, where: str) -> DataFrame:
-        part = parts.where(where)
-        a = part.select(F.col("doc").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("part").alias("part_a"))
-        b = part.select(F.col("doc").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("part").alias("part_b"))
-        each = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("both"), (F.size("part_a") + F.size("part_b")).alias("either"))
-        return each.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("both").alias("both"), F.sum("either").alias("either"))
-
-    # a link differs in at most (100 - percent) / (100 + percent) of n_a + n_b
-    first = stash(counted(pairs, "fragment = 0").where(f"({100 + percent}) * (either - 2 * both) <= {100 - percent} * (n_a + n_b)"))
-    rest = counted(first.select("a", "b", F.col("both").alias("both_0")).select("a", "b"), "fragment > 0").select("a", "b", F.col("both").alias("more"))
-    total = first.join(rest, ["a", "b"], "left").select("a", "b", "n_a", "n_b", (F.col("both") + F.coalesce("more", F.lit(0))).alias("both"))
-    return total.where(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b")
+    def of(wanted) -> DataFrame:
+        def cut(batches: Batches) -> Batches:
+            for batch in batches:
+                batch = batch.filter(pa.array(wanted.value.has(batch["doc_id"].to_numpy())))
+                for lo, rows, bound, keys in sets(batch, size, ranks.value):
+                    row = np.repeat(np.arange(rows), np.diff(bound))
+                    cell = row * f_all + np.searchsorted(pivots, keys, "right")
+                    edge = np.searchsorted(cell, np.arange(rows * f_all + 1))
+                    doc = np.repeat(batch["doc_id"].to_numpy()[lo : lo + rows], f_all)
+                    yield pa.record_batch({"doc": pa.array(doc), "fragment": pa.array(np.tile(np.arange(f_all, dtype=np.int32), rows)), "n": pa.array(np.repeat(np.diff(bound), f_all)), "part": pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(keys.view(np.int64)))})
+
+        return docs.where("doc_id is not null").mapInArrow(cut, "doc long, fragment int, n long, part array<long>")
+
+    return of
+
+
+def _parts(cut, pairs: DataFrame) -> DataFrame:
+    return stash(cut(bloom(pairs.select(F.col("a").alias("doc")).unionAll(pairs.select(F.col("b").alias("doc"))).distinct(), "doc")))
+
+
+def _counted(pairs: DataFrame, parts: DataFrame, fragments: range) -> DataFrame:
+    """Partial overlaps of pairs (a, b) in each chosen fragment, summed for each pair: both, either, n_a, n_b.
+
+    Both joins are on (document, fragment), so the parts are dealt out once for the two.
+    """
+    part = parts.where(F.col("fragment").between(fragments[0], fragments[-1]))
+    a, b = (part.select(F.col("doc").alias(side), "fragment", F.col("n").alias(f"n_{side}"), F.col("part").alias(f"part_{side}")) for side in "ab")
+    each = pairs.withColumn("fragment", F.explode(F.array(*(F.lit(f) for f in fragments))))
+    each = each.join(a, ["a", "fragment"]).join(b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("both"), (F.size("part_a") + F.size("part_b")).alias("either"))
+    return each.groupBy("a", "b").agg(F.max("n_a").alias("n_a"), F.max("n_b").alias("n_b"), F.sum("both").alias("both"), F.sum("either").alias("either"))
+
+
+def _overlaps(pairs: DataFrame, parts: DataFrame, percent: int, fragments: int) -> DataFrame:
+    """(a, b, n_a, n_b, both) of the pairs that may link. A link differs in at most
+    (100 - percent) / (100 + percent) of n_a + n_b, so a pair that differs more in the first
+    fragment alone goes no further."""
+    first = stash(_counted(pairs, parts, range(1)).where(f"{100 + percent} * (either - 2 * both) <= {100 - percent} * (n_a + n_b)"))
+    rest = _counted(first.select("a", "b"), parts, range(1, fragments)).select("a", "b", F.col("both").alias("more"))
+    return first.join(rest, ["a", "b"], "left").select("a", "b", "n_a", "n_b", (F.col("both") + F.coalesce("more", F.lit(0))).alias("both"))
