@@ -80,6 +80,7 @@ def search(x: np.ndarray, offsets: np.ndarray, targets: np.ndarray, low: float)
     table = np.full((n, most), -1)
     table[np.repeat(np.arange(n), degree), np.arange(len(targets)) - np.repeat(offsets[:-1], degree)] = targets
     medoid = int(np.argmax(x @ x.mean(0)))
+    cosine = x @ x.T  # a shard is small: looking cosines up needs far less memory than gathering vectors
     seen = np.zeros((n, n), bool)
     query = np.arange(n)
     beam = np.full((n, BEAM), -1)
@@ -99,7 +100,7 @@ def search(x: np.ndarray, offsets: np.ndarray, targets: np.ndarray, low: float)
         near = table[beam[active, best]]
         fresh = (near >= 0) & ~seen[active[:, None], near]
         seen[np.repeat(active, fresh.sum(1)), near[fresh]] = True
-        new = np.where(fresh, np.einsum("qd,qnd->qn", x[active], x[near]), -np.inf)
+        new = np.where(fresh, cosine[active[:, None], near], -np.inf)
         all_sims = np.concatenate([sims[active], new], 1)
         top = np.argsort(-all_sims, axis=1, kind="stable")[:, :BEAM]
         sims[active] = np.take_along_axis(all_sims, top, 1)
@@ -118,7 +119,7 @@ def search(x: np.ndarray, offsets: np.ndarray, targets: np.ndarray, low: float)
         q, v = key // n, key % n
         keep = ~reached[q, v]
         q, v = q[keep], v[keep]
-        near = np.einsum("nd,nd->n", x[q], x[v]) >= low
+        near = cosine[q, v] >= low
         q, v = q[near], v[near]
     return np.argwhere(reached)
 

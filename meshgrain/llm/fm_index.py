@@ -63,7 +63,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
 
 
 class FMIndex:
-    """Index of a symbol sequence for patterns of up to `depth` symbols.
+    """Index of a symbol sequence for patterns of up to `depth` symbols. Its last symbol is one that no pattern holds.
 
     Rows stand in the order of the first `depth` symbols that follow; a pattern of up to
     that many symbols has its rows together, as in a full suffix order.

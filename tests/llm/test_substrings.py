@@ -88,7 +88,7 @@ def test_induced_sort(budget):
 
 def test_backward_search():
     rng = np.random.default_rng(5)
-    text = rng.integers(1, 4, 400)
+    text = np.r_[rng.integers(1, 4, 400), 0]
     index = FMIndex(text, 8)
     for _ in range(50):
         p = rng.integers(1, 4, int(rng.integers(1, 8)))
