@@ -33,7 +33,7 @@ def test_integration_is_exact(spark):
 
 def test_currents_add_one_by_one(spark):
     s = spark.createDataFrame([(0, 3)] * 7, "nid long, tick int")
-    assert dynamics.currents(s, 10, 0.4).first()["i"] == sum([0.4] * 7, 0.0)
+    assert dynamics.currents(s, 10, 0.4).first()["i"] == 0.4 + 0.4 + 0.4 + 0.4 + 0.4 + 0.4 + 0.4
 
 
 def test_delivery_needs_a_delay(spark):
