@@ -105,14 +105,14 @@ def _representative(anchor: np.ndarray, content: np.ndarray, uid: np.ndarray, at
 @dataclass
 class Routed:
     """segments: uid, doc_id, anchor, content, at, windows. classes: segments with the same
-    content, with the first of them. texts: symbols of first segments whose anchor has other contents too."""
+    content, with the first of them and, if asked for, whether its document has them `again`. texts: symbols of first segments whose anchor has other contents too."""
 
     segments: DataFrame
     classes: DataFrame
     texts: DataFrame
 
 
-def route(docs: DataFrame, kind: Alphabet) -> Routed:
+def route(docs: DataFrame, kind: Alphabet, again: bool = False) -> Routed:
     """docs: uid, doc_id, text, none null but text."""
     spark = docs.sparkSession
     level = spark.sparkContext.broadcast(levels(sketch(docs.select("text"), lambda b: grams(b["text"], kind))))
@@ -126,7 +126,12 @@ def route(docs: DataFrame, kind: Alphabet) -> Routed:
 
     made = stash(docs.mapInArrow(cut, "uid long, doc_id long, anchor long, content long, at long, windows int"))
     first = F.min(F.struct("doc_id", "uid", "at"))
-    classes = stash(made.groupBy("anchor", "content").agg(first.alias("first"), F.count("*").alias("n")).select("anchor", "content", "n", "first.doc_id", "first.uid", "first.at"))
+    found, columns = [first.alias("first"), F.count("*").alias("n")], ["anchor", "content", "n", "first.doc_id", "first.uid", "first.at"]
+    if again:  # the last segment of the least document: doc_id turned round, as it may be any number
+        last = F.max(F.struct(F.bitwise_not("doc_id").alias("turned"), "uid", "at"))
+        found.append(last.alias("last"))
+        columns.append(F.expr("last.uid <> first.uid or last.at <> first.at").alias("again"))
+    classes = stash(made.groupBy("anchor", "content").agg(*found).select(*columns))
     several = stash(classes.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"))
     # what a filter lets pass beyond these is a text alone in its anchor, which changes nothing
     wanted = bloom(classes.mapInArrow(_keyed(bloom(several, "anchor")), "key long"), "key")
@@ -184,8 +189,8 @@ def covered(parts: DataFrame) -> DataFrame:
     return runs.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
-def marked(table: pa.Table, hit: np.ndarray, bounds: np.ndarray, width: int) -> pa.RecordBatch:
-    """(uid, start, end) of runs of hit windows; bounds: first window of each text of the table in `hit`."""
+def marked(table: pa.Table, hit: np.ndarray, bounds: np.ndarray, width: int, *columns: str) -> pa.RecordBatch:
+    """(uid, start, end) of runs of hit windows, with more columns of their texts; bounds: first window of each text of the table in `hit`."""
     step = np.diff(np.r_[False, hit, False].astype(np.int8))
     # runs may not go on from one text to the next
     edge = np.zeros(len(hit) + 1, bool)
@@ -194,4 +199,4 @@ def marked(table: pa.Table, hit: np.ndarray, bounds: np.ndarray, width: int) ->
     down = np.flatnonzero((step == -1) | (edge & np.r_[False, hit]))
     text = np.searchsorted(bounds, up, "right") - 1
     at = table["at"].to_numpy()[text] - bounds[text]
-    return pa.record_batch({"uid": pa.array(table["uid"].to_numpy()[text]), "start": pa.array(at + up), "end": pa.array(at + down + width - 1)})
+    return pa.record_batch({"uid": pa.array(table["uid"].to_numpy()[text]), "start": pa.array(at + up), "end": pa.array(at + down + width - 1)} | {c: pa.array(table[c].to_numpy()[text]) for c in columns})

@@ -4,7 +4,8 @@ Windows are routed to shards by anchor (anchors.py). A shard's texts become one
 FM-index, and every text is streamed against it backwards: each step extends the match by one
 word to the left, and once it is as long as a window it is reported with the smallest document
 among its rows and widened by dropping its last word (matching statistics, capped at
-the window). Texts that are the same from end to end need no index: they meet by their hash.
+the window). Texts that are the same from end to end need no index: they meet by their hash,
+and what is found in the first of them counts for every other one of the same document.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meshgrain.llm.anchors import Alphabet, covered, marked, route, sharded
-from meshgrain.llm.common import Batches
+from meshgrain.llm.common import Batches, stash
 from meshgrain.llm.fm_index import FMIndex
 from meshgrain.llm.words import word_hash, word_sums
 
@@ -58,7 +59,7 @@ def repeated(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
     windows = sizes - width + 1
     bounds = np.r_[0, np.cumsum(windows)]
     own = np.repeat(begin[:-1] - bounds[:-1], windows) + np.arange(bounds[-1])
-    yield marked(table, hit[own], bounds[:-1], width)
+    yield marked(table, hit[own], bounds[:-1], width, "doc_id", "anchor", "content", "at")
 
 
 def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 10) -> DataFrame:
@@ -72,10 +73,15 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 10) -> DataFra
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     kind = Alphabet("word", gram, width)
-    routed = route(docs.where("doc_id is not null").select("uid", "doc_id", "text"), kind)
+    routed = route(docs.where("doc_id is not null").select("uid", "doc_id", "text"), kind, again=True)
     same = routed.segments.join(routed.classes.where("n > 1").select("anchor", "content", F.col("doc_id").alias("least")), ["anchor", "content"])
     whole = same.where("doc_id > least").select("uid", F.col("at").alias("start"), (F.col("at") + F.col("windows") + (width - 1)).alias("end"))
-    some = sharded(routed.texts, lambda t: repeated(t, width), "uid long, start long, end long", most_bytes=2 << 20)
+    some = sharded(routed.texts, lambda t: repeated(t, width), "uid long, start long, end long, doc_id long, anchor long, content long, at long", most_bytes=2 << 20)
+    # where the least document has a segment again, what was found in one of them is found in all
+    key = ["anchor", "content", "doc_id"]
+    others = stash(routed.segments.join(routed.classes.where("again").select(*key), key, "left_semi").select(*key, F.col("uid").alias("to"), F.col("at").alias("to_at")))
+    shift = F.coalesce(F.col("to_at") - F.col("at"), F.lit(0))
+    some = some.join(others, key, "left").select(F.coalesce("to", "uid").alias("uid"), (F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))
     runs = covered(whole.unionAll(some).distinct())
     return docs.join(runs, "uid", "left").select("doc_id", "text", "runs").mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string, runs array<struct<start:long,end:long>>")
 

@@ -9,7 +9,7 @@ from meshgrain.llm.fm_index import FMIndex
 from meshgrain.llm.induced_sort import suffix_array
 from meshgrain.llm.substring_dedup import digest as words_digest, substring_dedup
 from meshgrain.llm.suffix_dedup import digest as bytes_digest, suffix_dedup
-from tests.llm.data import documents, texts
+from tests.llm.data import documents, texts, words
 
 AWKWARD = list(enumerate(texts())) + [(2, texts()[11]), (40, "ab" * 300 + "\0" + "ab" * 300), (41, "é" * 250), (41, "é" * 250)]
 
@@ -58,6 +58,18 @@ def test_word_windows_equal_brute_force(spark, monkeypatch, most):
     assert sorted(tuple(r) for r in got.collect()) == brute_words(AWKWARD, 50)
 
 
+@pytest.mark.parametrize("most", [1024, 7])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_windows_repeated_inside_a_document(spark, monkeypatch, most, seed):
+    """Document 2 has a passage again and again, also in rows of another text, document 1 has it once; so for a passage of 12 words."""
+    monkeypatch.setattr(anchors, "MOST_WINDOWS", most)
+    passage, short = words(200 + seed, 60), words(300 + seed, 12)
+    rows = [(1, " ".join(words(5, 30) + passage + words(6, 30))), (2, " ".join(passage * 40)), (2, " ".join(words(7, 20) + passage * 3 + words(8, 20)))]
+    rows += [(3, " ".join(words(9, 30) + short * 6)), (4, " ".join(short * 50)), (-(2**63), " ".join(passage[:55] + words(10, 5)))]
+    got = words_digest(substring_dedup(documents(spark, rows)))
+    assert sorted(tuple(r) for r in got.collect()) == brute_words(rows, 50)
+
+
 @pytest.mark.parametrize("most", [1024, 7])
 def test_byte_windows_equal_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(anchors, "MOST_WINDOWS", most)
