@@ -251,9 +251,10 @@ def _parts(cut, pairs: DataFrame) -> DataFrame:
 def _counted(pairs: DataFrame, parts: DataFrame, fragments: range) -> DataFrame:
     """Partial overlaps of pairs (a, b) in each chosen fragment, summed for each pair: both, either, n_a, n_b.
 
-    Both joins are on (document, fragment), so the parts are dealt out once for the two.
+    Both joins are on (document, fragment), so the parts are dealt out once for the two, and
+    those of a repeated row become one there.
     """
-    part = parts.where(F.col("fragment").between(fragments[0], fragments[-1]))
+    part = parts.where(F.col("fragment").between(fragments[0], fragments[-1])).dropDuplicates(["doc", "fragment"])
     a, b = (part.select(F.col("doc").alias(side), "fragment", F.col("n").alias(f"n_{side}"), F.col("part").alias(f"part_{side}")) for side in "ab")
     each = pairs.withColumn("fragment", F.explode(F.array(*(F.lit(f) for f in fragments))))
     each = each.join(a, ["a", "fragment"]).join(b, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("part_a", "part_b")).alias("both"), (F.size("part_a") + F.size("part_b")).alias("either"))

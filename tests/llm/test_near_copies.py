@@ -30,6 +30,18 @@ def test_equals_brute_force(spark, monkeypatch, size, percent, group):
     assert found(nj.ngram_join(documents(spark), size, percent)) == brute(rows, size, percent)
 
 
+@pytest.mark.parametrize("times", [2, 7])
+def test_repeated_rows_with_near_partners(spark, times):
+    """Every row, or every third one, several times."""
+    rows = list(enumerate(texts()))
+    half = [(50 + d, " ".join(f"v{d}x{i}" for i in range(60)) + " " + " ".join(f"u{d // 2}x{i}" for i in range(60))) for d in range(8)]
+    common = [(100 + i, " ".join([f"s{i}x{j}" for j in range(6)] + [f"c{j}" for j in range(97)])) for i in range(3)]
+    for rows in (rows + half + common, common):
+        for repeated in (rows, rows[::3]):
+            got = nj.ngram_join(documents(spark, rows + repeated * (times - 1)), 4, 85)
+            assert found(got) == brute(rows, 4, 85)
+
+
 def test_empty_repeated_and_null(spark):
     assert nj.ngram_join(documents(spark, [])).count() == 0
     rows = [(3, "a b c d e f"), (3, "a b c d e f"), (7, "a b c d e f"), (None, "a b c d e f"), (9, None)]
