@@ -1,6 +1,7 @@
-"""External induced suffix sorting in bulk: array steps over disk-backed bucket queues.
+"""Induced suffix sorting in bulk: array steps over bucket queues that can spill to disk.
 
-The suffixes at left-most S positions (LMS) are sorted by recursive naming. From them the
+The suffixes at left-most S positions (LMS) are ranked by sorting and prefix doubling in
+memory, and the text and the order are arrays in memory: only queues go to disk. From them the
 rest follows by induction: buckets of the first symbol are taken in order, and each suffix
 taken puts the one that starts a symbol earlier at the end of its bucket's queue. A queue
 keeps its tuples in order of arrival, which is suffix order, so nothing is compared again; a
