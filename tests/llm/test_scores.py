@@ -104,6 +104,27 @@ def test_embeddings_equal_brute_force(spark, shard_rows):
     assert ed.audit(df, ed.embedding_links(df, shard_rows=shard_rows)).first()["recall"] >= 0.95
 
 
+@pytest.mark.parametrize("noise", [0.012, 0.002, 1e-10])
+def test_one_dense_cluster(spark, noise):
+    """Many unequal vectors round one centre, far more than a shard holds: nearly all pairs link, in the tighter ones all."""
+    r = np.random.default_rng(1)
+    centre = r.normal(size=64)
+    x = centre / np.linalg.norm(centre) + noise * r.normal(size=(2000, 64))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = (unit @ unit.T >= 0.98).sum(1) - 1
+    df = spark.createDataFrame([(i, [float(a) for a in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = ed.embedding_links(df, shard_rows=600).collect()
+    assert len(got) == 2000 and {g["component_id"] for g in got} == {0}
+    assert all(g["n_links"] <= true[g["vec_id"]] for g in got)
+    assert sum(g["n_links"] for g in got) >= 0.99 * true.sum()
+
+
+def test_one_number_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0], 0), (2, [1.0, 0.01], 0), (3, [0.01, 1.0], 0), (3, [0.01, 1.0], 0)]
+    got = ed.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((g["vec_id"], g["n_links"], g["component_id"]) for g in got) == [(1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (3, 2, 1)]
+
+
 def test_no_embeddings(spark):
     assert ed.embedding_links(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
