@@ -40,6 +40,18 @@ def stash(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """(doc_id long, label int): rows of label 0 or 1, one for each doc_id, which has its largest label."""
+    known = labels.where("doc_id is not null and label in (0, 1)")
+    return known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
+
+
+def one_text(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """sample (doc_id and more, of a bounded number of rows) with one text for each doc_id: the least, null if there is no other."""
+    found = docs.join(F.broadcast(sample.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return found.join(F.broadcast(sample), "doc_id")
+
+
 def summed(parts: DataFrame) -> DataFrame:
     """Adds up arrays of uint32 counters: rows (slot, part, counts) to one row for each slot, in two steps."""
 

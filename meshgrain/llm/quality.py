@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshgrain.llm.common import Batches, stash
+from meshgrain.llm.common import Batches, labelled, one_text, stash
 from meshgrain.llm.words import ALNUM, LOWER, NOT_SPACE, _BYTES, byte_sums, chunks, mix, range_hash
 
 BITS = 18
@@ -71,11 +71,12 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_384, shards: int
     """Weights of all places, the intercept last. labels: doc_id, label (0 or 1; other rows are left out).
 
     The most_rows labelled rows with the least hash of doc_id are taken; each shard of them
-    trains in the order of that hash, and the shards' weights are averaged.
+    trains in the order of that hash, and the weights of the shards that have rows are averaged. A doc_id
+    labelled more than once has its largest label; of several texts under one doc_id the least
+    counts. No labels: all weights are 0.
     """
-    labels = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
-    sample = stash(labels.withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(most_rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    sample = stash(labelled(labels).withColumn("at", F.xxhash64("doc_id")).orderBy("at", "doc_id").limit(most_rows))
+    texts = one_text(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), sample)
 
     def count(batches: Batches) -> Batches:
         for batch in batches:
@@ -95,20 +96,24 @@ def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 16_384, shards: int
                 model.learn(row, places.flatten().to_numpy().astype(np.int64), vals.flatten().to_numpy().astype(float), label[i : i + batch_rows])
         w = model.weights(np.arange((1 << BITS) + 1))
         at = np.flatnonzero(w)
-        return pa.table({"place": pa.array(at.astype(np.int32)), "weight": pa.array(w[at])})
+        return pa.table({"place": pa.array(np.r_[-1, at].astype(np.int32)), "weight": pa.array(np.r_[1.0, w[at]])})  # place -1 counts shards
 
     counted = texts.mapInArrow(count, "at long, label int, places array<int>, vals array<float>").withColumn("shard", F.pmod("at", F.lit(shards)))
     trained = counted.groupBy("shard").applyInArrow(train, "place int, weight double").groupBy("place").agg(F.sum("weight").alias("weight"))
-    out = np.zeros((1 << BITS) + 1)
+    out, held = np.zeros((1 << BITS) + 1), 1.0
     for r in trained.toLocalIterator():  # 2**18 numbers at most
-        out[r["place"]] = r["weight"] / shards
-    return out
+        if r["place"] < 0:
+            held = r["weight"]
+        else:
+            out[r["place"]] = r["weight"]
+    return out / held
 
 
 def quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, score (0 to 1), predicted (1 from 0.5 on).
 
-    Null and empty texts have no features and score the intercept. Only the text is an input.
+    Null and empty texts have no features and score the intercept. Only the text is an input: repeated
+    rows score alike, very long texts count whole. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 

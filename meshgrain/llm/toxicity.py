@@ -1,12 +1,14 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
-Examples are a bounded, deterministic sample of labelled rows, half of each class. Terms are
-the words that label 1 holds several times as often as label 0, beyond chance (chi-square), so
-similarity is not drowned in words that say nothing. Postings of a term are split by blocks of examples with the largest
-weight of each block; a document takes blocks in the order of their upper bounds and stops
-when no block can hold a nearer example than its k-th. Votes weigh by similarity and by how
-many labelled rows an example stands for; the share of the class with none of the terms is
-the prior that they are shrunk to.
+Terms are all words of a text (A-Z lower-cased), each cut to its first STEM bytes as a plain
+stem that any language has; document frequencies are counted over all documents. Examples are a bounded, deterministic
+sample of labelled rows, half of each class, and keep all their terms. The index files them by term in blocks of BLOCK
+examples with the largest weight of each block. A document meets blocks in the order of their upper
+bounds and stops when no block can hold a nearer example than its k-th, so the k nearest are exact.
+
+The k nearest vote by a power of their cosine and by how many labelled rows they stand for. The examples
+themselves, each judged without itself, choose k and the power (least log loss) and fit the logistic curve that
+makes the vote a probability.
 """
 
 from __future__ import annotations
@@ -16,17 +18,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshgrain.llm.common import Batches, stash
-from meshgrain.llm.words import ALNUM, LOWER, Words, chunks
+from meshgrain.llm.common import Batches, labelled, one_text, stash, summed
+from meshgrain.llm.words import _BYTES, ALNUM, LOWER, Words, byte_sums, chunks, mix, range_hash
 
-BLOCK = 64
+BLOCK, STEM = 64, 4
+#: Numbers of neighbours and powers of the cosine to choose from.
+CHOICES = tuple((k, power) for k in (16, 64, 256) for power in (1, 2, 4))
+#: Terms whose postings are kept as dense columns of their blocks, and documents judged together.
+MOST_DENSE, TOGETHER = 1024, 128
 
 
 def term_counts(column: pa.Array):
-    """(first row, rows, row of each distinct term, term hash, occurrences, words in each row)."""
+    """(first row, rows, row of each distinct term, term hash, occurrences)."""
     for lo, hi, data, offsets in chunks(column):
         words = Words(data, offsets, LOWER, ALNUM)
-        h = words.hashes()
+        h = mix(range_hash(byte_sums(words.data), words.start, np.minimum(words.end, words.start + STEM), _BYTES))
         at = np.lexsort((h, words.row))
         row, h = words.row[at], h[at]
         new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool))
@@ -40,135 +46,253 @@ def _ranges(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 class Examples:
-    """The index: terms by hash, postings in blocks of examples, labels and vote weights."""
-
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, doc: np.ndarray, label: np.ndarray, vote: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, prior: float, k: int) -> None:
-        self.terms, self.idf, self.doc, self.label, self.vote, self.prior, self.k = terms, idf, doc, label, vote, prior, k
-        weight = self.weights(row, term, tf, len(doc))
-        at = np.lexsort((row, term))
-        self.row, self.weight = row[at], weight[at]
-        self.edge = np.searchsorted(term[at], np.arange(len(terms) + 1))
-        # one entry for each term and block that has postings
-        cell = term[at] * (len(doc) // BLOCK + 1) + self.row // BLOCK
-        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, np.int64)
-        self.cell_block, self.cell_at = self.row[first] // BLOCK, np.r_[first, len(cell)]
-        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cell_edge = np.searchsorted(term[at][first] if len(first) else np.zeros(0, np.int64), np.arange(len(terms) + 1))
-        self.seen: dict[bytes, tuple[float, np.ndarray, np.ndarray]] = {}
-
-    def weights(self, row: np.ndarray, term: np.ndarray, tf: np.ndarray, rows: int) -> np.ndarray:
-        w = (1 + np.log(tf)) * self.idf[term]
-        return w / np.sqrt(np.bincount(row, w * w, minlength=rows))[row]
+    """The index: terms and their weights, postings of examples in blocks, labels, votes and the curve.
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples and their cosines; ties go to the earlier example."""
-        cells = _ranges(self.cell_edge[term], self.cell_edge[term + 1])
-        w = np.repeat(weight, self.cell_edge[term + 1] - self.cell_edge[term])
-        if not len(cells):
-            return cells, w
-        block = self.cell_block[cells]
-        bound = np.bincount(block, w * self.cell_most[cells])
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        place = np.empty(len(bound), np.int64)
-        place[order] = np.arange(len(order))
-        by_bound = np.argsort(place[block], kind="stable")
-        cells, w = cells[by_bound], w[by_bound]
-        edge = np.searchsorted(place[block][by_bound], np.arange(len(order) + 1))
-        found, score, at, step = np.zeros(0, np.int64), np.zeros(0), 0, 4
-        while at < len(order):
-            if len(score) >= self.k and score[self.k - 1] > bound[order[at]] + 1e-9:
-                break
-            end = min(at + step, len(order))
-            c = slice(edge[at], edge[end])
-            lo, hi = self.cell_at[cells[c]], self.cell_at[cells[c] + 1]
-            post = _ranges(lo, hi)
-            dots = np.bincount(self.row[post], np.repeat(w[c], hi - lo) * self.weight[post])
-            new = np.flatnonzero(dots)
-            found, score = np.r_[found, new], np.r_[score, dots[new]]
-            top = np.lexsort((found, -np.round(score, 12)))[: self.k]
-            found, score = found[top], score[top]
-            at, step = end, 4 * step
-        return found, score
-
-    def judge(self, term: np.ndarray, tf: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """(score, nearest examples, cosines) of a document's terms."""
-        if not len(term):
-            return self.prior, term, np.zeros(0)
-        key = term.astype(np.int32).tobytes() + tf.astype(np.int32).tobytes()
-        if key not in self.seen:
-            if len(self.seen) > 50_000:
-                self.seen.clear()
-            found, cosine = self.nearest(term, self.weights(np.zeros(len(term), np.int64), term, tf, 1))
-            vote = self.vote[found] * cosine**2
-            self.seen[key] = (float((vote @ self.label[found] + 0.1 * self.prior) / (vote.sum() + 0.1)), found, cosine)
-        return self.seen[key]
+    terms are sorted hashes, df counts documents with a term out of `total`; row, term, tf are the
+    examples' postings. A term that no example holds counts as one that no document holds.
+    """
+
+    def __init__(self, terms: np.ndarray, df: np.ndarray, total: int, doc: np.ndarray, label: np.ndarray, vote: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, prior: float) -> None:
+        self.terms, self.df, self.total, self.prior, self.curve = terms, df, total, prior, (0.0, 1.0)
+        self.k, self.power = CHOICES[0]
+        # alike examples share blocks: by which of the commonest terms they hold, then by label
+        many = np.argsort(-np.bincount(term, minlength=len(terms)), kind="stable")[:24]
+        code = np.zeros(len(doc), np.int64)
+        for bit, t in enumerate(many):
+            code[row[term == t]] |= 1 << (23 - bit)
+        order = np.lexsort((doc, label, code))
+        place = np.empty(len(doc), np.int64)
+        place[order] = np.arange(len(doc))
+        self.doc, self.label, self.vote = doc[order], label[order], vote[order]
+        at = np.lexsort((place[row], term))
+        self.row, self.term, self.tf = place[row][at].astype(np.int32), term[at].astype(np.int32), tf[at].astype(np.int32)
+        self._ready()
 
     def __getstate__(self):
-        return self.__dict__ | {"seen": {}}
+        return {k: getattr(self, k) for k in ("terms", "df", "total", "prior", "k", "power", "curve", "doc", "label", "vote", "row", "term", "tf")}
+
+    def __setstate__(self, state) -> None:
+        self.__dict__.update(state)
+        self._ready()
+
+    def _ready(self) -> None:
+        n, blocks = len(self.doc), -(-len(self.doc) // BLOCK)
+        self.idf = np.maximum(np.log((1 + self.total) / (1 + self.df)), 1e-9)
+        self.new = max(np.log(1 + self.total), 1e-9)
+        weight = self.weights(self.row, self.idf[self.term], self.tf, n)
+        count = np.bincount(self.term, minlength=len(self.terms))
+        head = np.argsort(-count, kind="stable")[:MOST_DENSE]
+        head = head[count[head] * BLOCK > n]
+        self.column = np.full(len(self.terms), -1)
+        self.column[head] = np.arange(len(head))
+        dense = self.column[self.term] >= 0
+        self.block = np.zeros((blocks * BLOCK, len(head)), np.float32)
+        self.block[self.row[dense], self.column[self.term[dense]]] = weight[dense]
+        self.block = self.block.reshape(blocks, BLOCK, len(head))
+        self.most = self.block.max(1)
+        self.rare_row, self.rare_weight = self.row[~dense], weight[~dense]
+        self.edge = np.searchsorted(self.term[~dense], np.arange(len(self.terms) + 1))
+
+    @staticmethod
+    def weights(row: np.ndarray, idf: np.ndarray, tf: np.ndarray, rows: int) -> np.ndarray:
+        w = (1 + np.log(tf)) * idf
+        return w / np.sqrt(np.bincount(row, w * w, minlength=rows))[row]
+
+    def nearest(self, row: np.ndarray, h: np.ndarray, tf: np.ndarray, rows: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+        """(rows, k) example numbers and cosines, nearest first (ties: the earlier example), and how many blocks were looked into.
+
+        row, h, tf: terms of the texts; skip: an example that each row leaves out.
+        """
+        n, blocks = len(self.doc), len(self.block)
+        k = min(self.k, n)
+        if not n or not rows:
+            return np.zeros((rows, 0), np.int64), np.zeros((rows, 0)), 0
+        at = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        known = self.terms[at] == h
+        w = self.weights(row, np.where(known, self.idf[at], self.new), tf, rows)
+        row, at, w = row[known], at[known], w[known]
+        dense = self.column[at] >= 0
+        text = np.zeros((rows, self.block.shape[2]), np.float32)
+        text[row[dense], self.column[at[dense]]] = w[dense]
+        lo, hi = self.edge[at[~dense]], self.edge[at[~dense] + 1]
+        post = _ranges(lo, hi)
+        cell = np.repeat(row[~dense], hi - lo) * (blocks * BLOCK) + self.rare_row[post]
+        rare = np.bincount(cell, np.repeat(w[~dense], hi - lo) * self.rare_weight[post], minlength=rows * blocks * BLOCK).reshape(rows, blocks, BLOCK)
+        bound = text @ self.most.T + rare.max(2) + 1e-5
+        order = np.argsort(-bound, axis=1, kind="stable")
+        sims = np.full((rows, blocks, BLOCK), -1.0)
+        least, looked, step, done = np.full(rows, -1.0), 0, -(-4 * k // BLOCK), 0
+        while done < blocks:
+            todo = order[:, done : done + step]
+            need = np.take_along_axis(bound, todo, 1) > least[:, None]
+            if not need.any():
+                break
+            who, slot = np.nonzero(need)
+            which = todo[who, slot]
+            by = np.argsort(which, kind="stable")
+            edge = np.flatnonzero(np.r_[True, np.diff(which[by]) > 0, True])
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                q, one = who[by[a:b]], which[by[a]]
+                sims[q, one] = text[q] @ self.block[one].T + rare[q, one]
+            looked += len(who)
+            if skip is not None:
+                sims.reshape(rows, -1)[np.arange(rows), skip] = -1.0
+            flat = sims.reshape(rows, -1)[:, :n]
+            least = np.partition(flat, n - k, axis=1)[:, n - k]
+            done += step
+            step *= 2
+        flat = np.round(sims.reshape(rows, -1)[:, :n], 6)
+        # exact up to rounding: the k-th and what ties with it, the earlier first
+        top = np.argpartition(-flat, k - 1, axis=1)[:, :k] if k < n else np.tile(np.arange(n), (rows, 1))
+        kth = np.take_along_axis(flat, top, 1).min(1)
+        for i in np.flatnonzero((flat == kth[:, None]).sum(1) > (np.take_along_axis(flat, top, 1) == kth[:, None]).sum(1)):
+            sure = np.flatnonzero(flat[i] > kth[i])
+            top[i] = np.r_[sure, np.flatnonzero(flat[i] == kth[i])[: k - len(sure)]]
+        top = np.take_along_axis(top, np.lexsort((top, -np.take_along_axis(flat, top, 1)), axis=1), 1)
+        return top, np.clip(np.take_along_axis(flat, top, 1), 0, 1), looked
+
+    def votes(self, found: np.ndarray, cosine: np.ndarray, power: float | None = None) -> np.ndarray:
+        """Log odds of label 1 by distance-weighted votes, shrunk to the prior by half a vote; no neighbour: the prior."""
+        vote = self.vote[found] * cosine ** (power or self.power)
+        total = vote.sum(1)
+        share = np.where(total > 0, (vote * self.label[found]).sum(1) / np.where(total > 0, total, 1), self.prior)
+        size = (cosine > 0).sum(1)
+        p = np.clip((share * size + 0.5 * self.prior) / (size + 0.5), 1e-9, 1 - 1e-9)
+        return np.log(p / (1 - p))
+
+    def scores(self, found: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Probabilities of label 1; the prior where there is no neighbour."""
+        a, b = self.curve
+        p = 1 / (1 + np.exp(-np.clip(a + b * self.votes(found, cosine), -35, 35)))
+        return np.where((cosine > 0).any(1), p, self.prior)
+
+    def calibrate(self, odds: np.ndarray, label: np.ndarray, weight: np.ndarray) -> None:
+        """Chooses k and power and fits the curve by the log odds of examples judged without themselves, a column
+        for each of CHOICES; all stays as it is with one class only."""
+        if len(np.unique(label)) < 2:
+            return
+        weight, best = weight / weight.mean(), np.inf
+        for (k, power), column in zip(CHOICES, odds.T, strict=True):
+            curve = _logistic(column, label, weight)
+            p = np.clip(1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * column, -35, 35))), 1e-9, 1 - 1e-9)
+            loss = -(weight * (label * np.log(p) + (1 - label) * np.log(1 - p))).mean()
+            if curve[1] > 0 and loss < best - 1e-9:
+                best, self.k, self.power, self.curve = loss, k, power, curve
+
+
+def _logistic(odds: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Offset and slope of a weighted logistic fit by Newton steps, held near (0, 1) by a small penalty."""
+    x, beta = np.c_[np.ones(len(odds)), odds], np.array([0.0, 1.0])
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -35, 35)))
+        h = (x * (weight * np.maximum(p * (1 - p), 1e-9))[:, None]).T @ x + np.eye(2) * 0.1
+        step = np.clip(np.linalg.solve(h, x.T @ (weight * (label - p)) - 0.1 * (beta - [0.0, 1.0])), -1, 1)
+        beta = beta + step
+        if np.abs(step).max() < 1e-10:
+            break
+    return float(beta[0]), float(beta[1])
+
+
+def _neighbours(column: pa.Array, model: Examples, skip: np.ndarray | None = None):
+    """(first row, rows, nearest examples, cosines) of runs of rows."""
+    for lo, rows, row, h, tf in term_counts(column):
+        edge = np.searchsorted(row, np.arange(rows + 1))
+        for a in range(0, rows, TOGETHER):
+            b = min(a + TOGETHER, rows)
+            s = slice(edge[a], edge[b])
+            found, cosine, _ = model.nearest(row[s] - a, h[s], tf[s], b - a, None if skip is None else skip[lo + a : lo + b])
+            yield lo + a, b - a, found, cosine
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 8192, most_terms: int = 1024, k: int = 16, least_chi: float = 20.0, least_ratio: float = 3.0) -> Examples:
+def fit(docs: DataFrame, labels: DataFrame, most_examples: int = 4096, most_postings: int = 4_000_000) -> Examples:
     """The index of labelled examples. labels: doc_id, label (0 or 1; other rows are left out).
 
-    Of each class the most_examples / 2 rows with the least hash of doc_id are taken, which
-    bounds all that is gathered; a term is kept if examples of label 1 hold it least_ratio times as
-    often as the others, with a chi-square of least_chi or more. Class totals count every labelled row. A doc_id labelled more
-    than once has its largest label.
+    Of each class the most_examples / 2 rows with the least hash of doc_id are taken, or fewer where their
+    texts together have more than most_postings / 2 distinct terms; that bounds all that is gathered. Class totals count
+    every labelled row, document frequencies every row of docs. A doc_id labelled more than once has its
+    largest label; of several texts under one doc_id the least counts. No labels: an index of no examples.
     """
-    labels = labels.where("doc_id is not null and label in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("label").cast("int").alias("label"))
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    labels = labelled(labels)
     totals = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count("*").alias("n")).collect()}
     some = [labels.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_examples // 2) for c in (0, 1)]
-    sample = stash(some[0].unionAll(some[1]))  # most_examples rows at most
+    sample = stash(some[0].unionAll(some[1]).withColumn("at", F.xxhash64("doc_id")))  # most_examples rows at most
+    texts = stash(one_text(docs, sample))
 
     def count(batches: Batches) -> Batches:
         for batch in batches:
             for lo, rows, row, h, n in term_counts(batch["text"]):
-                edge = pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32))
-                yield pa.record_batch({"doc_id": batch["doc_id"].slice(lo, rows), "label": batch["label"].slice(lo, rows), "terms": pa.ListArray.from_arrays(edge, pa.array(h.view(np.int64))), "tf": pa.ListArray.from_arrays(edge, pa.array(n.astype(np.int32)))})
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
-    counted = stash(texts.mapInArrow(count, "doc_id long, label int, terms array<long>, tf array<int>"))
-    size = {r["label"]: r["n"] for r in counted.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = size.get(0, 0), size.get(1, 0)
-    n = max(n0 + n1, 1)
-    df = counted.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("pos"))
-    gap = F.col("pos") * F.lit(float(n)) - F.col("df") * F.lit(float(n1))
-    chi = F.lit(float(n)) * gap * gap / (F.col("df").cast("double") * F.greatest(F.lit(float(n)) - F.col("df"), F.lit(1.0)) * float(max(n0, 1)) * float(max(n1, 1)))
-    often = F.col("pos") * float(max(n0, 1)) >= least_ratio * (F.col("df") - F.col("pos")) * float(max(n1, 1))
-    chosen = df.where((gap > 0) & often).withColumn("chi", chi).where(F.col("chi") >= least_chi).orderBy(F.desc("chi"), "term").limit(most_terms)
-    chosen = sorted((np.int64(r["term"]).view(np.uint64), r["df"]) for r in chosen.collect())
-    terms = np.array([t for t, _ in chosen], np.uint64)
-    idf = np.log((1 + n) / (1 + np.array([d for _, d in chosen], float))) + 1
-    wanted = docs.sparkSession.sparkContext.broadcast(terms.view(np.int64))
+                edge = np.searchsorted(row, np.arange(rows + 1))
+                cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edge, edge[1:], strict=False)], pa.binary())  # noqa: B023, E731
+                yield pa.record_batch({**{c: batch[c].slice(lo, rows) for c in ("doc_id", "label", "at")}, "n": pa.array(np.diff(edge)), "terms": cut(h), "tf": cut(n.astype(np.int32))})
+
+    counted = stash(texts.mapInArrow(count, "doc_id long, label int, at long, n long, terms binary, tf binary"))
+    chosen = []
+    for c in (0, 1):
+        sizes = sorted((r["at"], r["doc_id"], r["n"]) for r in counted.where(F.col("label") == c).select("at", "doc_id", "n").collect())
+        chosen += [d for (_, d, _), upto in zip(sizes, np.cumsum([n for *_, n in sizes]), strict=True) if upto <= most_postings // 2]
+    keep = set(chosen)
+    got = sorted((r for r in counted.toLocalIterator() if r["doc_id"] in keep), key=lambda r: r["doc_id"])  # most_postings numbers at most
+    lists = [(np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["tf"], np.int32)) for r in got]
+    row = np.repeat(np.arange(len(got)), [len(t) for t, _ in lists])
+    terms, term = np.unique(np.concatenate([t for t, _ in lists] or [np.zeros(0, np.uint64)]), return_inverse=True)
+    tf = np.concatenate([n for _, n in lists] or [np.zeros(0, np.int32)])
+    df, total = _frequencies(docs, terms)
+    label = np.array([r["label"] for r in got], float)
+    stands = {c: totals.get(c, 0) / max((label == c).sum(), 1) for c in (0, 1)}
+    prior = totals.get(1, 0) / max(sum(totals.values()), 1)
+    model = Examples(terms, df, total, np.array([r["doc_id"] for r in got], np.int64), label, np.array([stands[int(y)] for y in label], float), row, term, tf, float(prior))
+    if len(keep) > 1:
+        place = {int(d): i for i, d in enumerate(model.doc)}
+        shared = spark.sparkContext.broadcast((model, place))
+
+        def judge(batches: Batches) -> Batches:
+            known, at = shared.value
+            known.k = max(k for k, _ in CHOICES)
+            for batch in batches:
+                batch = batch.filter(pa.array([d in at for d in batch["doc_id"].to_pylist()], pa.bool_()))
+                skip = np.array([at[d] for d in batch["doc_id"].to_pylist()], np.int64)
+                for lo, rows, found, cosine in _neighbours(batch["text"], known, skip):
+                    odds = np.stack([known.votes(found[:, :k], cosine[:, :k], power) for k, power in CHOICES], 1)
+                    yield pa.record_batch({"label": batch["label"].slice(lo, rows), "odds": pa.array(list(odds), pa.list_(pa.float64()))})
+
+        judged = sorted((r["odds"], r["label"]) for r in texts.mapInArrow(judge, "label int, odds array<double>").collect())  # a row for each example
+        y = np.array([y for _, y in judged], float)
+        model.calibrate(np.array([x for x, _ in judged]).reshape(len(y), len(CHOICES)), y, np.array([stands[int(c)] for c in y]))
+    return model
+
+
+def _frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray, int]:
+    """How many rows of docs hold each of the terms, and how many rows there are."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    width = 1 << 18
 
-    def keep(batches: Batches) -> Batches:
+    def count(batches: Batches) -> Batches:
+        known = shared.value
+        seen = np.zeros(len(known) + 1, np.uint32)
         for batch in batches:
-            out = {"terms": [], "tf": []}
-            for t, f in zip(batch["terms"].to_pylist(), batch["tf"].to_pylist(), strict=True):
-                ok = np.isin(np.array(t, np.int64), wanted.value)
-                out["terms"].append(np.array(t, np.int64)[ok].tolist())
-                out["tf"].append(np.array(f, np.int32)[ok].tolist())
-            yield pa.record_batch([batch["doc_id"], batch["label"], pa.array(out["terms"], pa.list_(pa.int64())), pa.array(out["tf"], pa.list_(pa.int32()))], names=["doc_id", "label", "terms", "tf"])
-
-    got = counted.mapInArrow(keep, counted.schema).collect()  # most_examples rows of most_terms numbers at most
-    stands = {c: totals.get(c, 0) / max(size.get(c, 0), 1) for c in (0, 1)}
-    empty = [stands[r["label"]] * np.array([r["label"], 1]) for r in got if not r["terms"]]
-    prior = (sum(empty) + [0, 1])[0] / (sum(empty) + [0, 1])[1] if empty else 0.0
-    rows = sorted((r for r in got if r["terms"]), key=lambda r: (max(r["terms"]), r["doc_id"]))  # alike ones share blocks
-    row = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows])
-    term = np.searchsorted(terms, np.array([t for r in rows for t in r["terms"]], np.int64).view(np.uint64))
-    tf = np.array([f for r in rows for f in r["tf"]], float)
-    label = np.array([r["label"] for r in rows], float)
-    return Examples(terms, idf, np.array([r["doc_id"] for r in rows], np.int64), label, np.array([stands[r["label"]] for r in rows], float), row, term, tf, float(prior), k)
+            seen[-1] += len(batch)
+            for _, _, _, h, _ in term_counts(batch["text"]):
+                at = np.minimum(np.searchsorted(known, h), max(len(known) - 1, 0))
+                ok = known[at] == h if len(known) else np.zeros(len(h), bool)
+                seen[: len(known)] += np.bincount(at[ok], minlength=len(known)).astype(np.uint32)
+        for slot in range(-(-len(seen) // width)):
+            yield pa.record_batch({"slot": pa.array([slot], pa.int32()), "counts": pa.array([seen[slot * width : (slot + 1) * width].tobytes()], pa.binary())})
+
+    parts = docs.select("text").mapInArrow(count, "slot int, counts binary").withColumn("part", F.expr("spark_partition_id() % 64"))
+    rows = sorted((r["slot"], r["counts"]) for r in summed(parts.select("slot", "part", "counts")).collect())  # as many numbers as terms
+    out = np.concatenate([np.frombuffer(x, np.uint32) for _, x in rows]) if rows else np.zeros(len(terms) + 1, np.uint32)
+    return out[:-1].astype(float), int(out[-1])
 
 
 def toxicity(docs: DataFrame, examples: Examples) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, score, predicted, evidence.
 
-    score is 0 to 1, predicted 1 from 0.5 on; evidence lists the nearest labelled examples
-    (doc_id, cosine, label). Texts without any of the index's terms, empty and null ones
-    included, score the prior and have no evidence. Only the text is an input.
+    score is the probability of label 1, predicted 1 from 0.5 on; evidence lists the nearest labelled
+    examples (doc_id, cosine, label), at most three. Texts without words, empty and null ones included, have no
+    neighbours: they score by the prior and have no evidence. Only the text is an input; repeated rows are
+    judged alike, very long texts whole. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(examples)
 
@@ -176,34 +300,23 @@ def toxicity(docs: DataFrame, examples: Examples) -> DataFrame:
         model = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("label", pa.int32())]))
         for batch in batches:
-            evidence: list = [[] for _ in range(len(batch))]
-            scores = _scores(batch["text"], model, evidence)
-            yield pa.record_batch([batch["doc_id"], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, kind)], names=["doc_id", "score", "predicted", "evidence"])
+            for lo, rows, found, cosine in _neighbours(batch["text"], model):
+                p = model.scores(found, cosine)
+                first = [[{"doc_id": int(model.doc[f]), "cosine": float(c), "label": int(model.label[f])} for f, c in zip(fs[:3], cs[:3], strict=True) if c > 0] for fs, cs in zip(found, cosine, strict=True)]
+                yield pa.record_batch([batch["doc_id"].slice(lo, rows), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), pa.array(first, kind)], names=["doc_id", "score", "predicted", "evidence"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, predicted int, evidence array<struct<doc_id:long,cosine:double,label:int>>"
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(score, schema)
 
 
 def without_toxic(docs: DataFrame, examples: Examples, threshold: float = 0.5) -> DataFrame:
-    """docs without rows whose text scores the threshold or more; all columns stay as they are."""
+    """docs without rows whose text scores the threshold or more; all columns stay as they are, other rows are kept as often as they come."""
     shared = docs.sparkSession.sparkContext.broadcast(examples)
 
     def keep(batches: Batches) -> Batches:
+        model = shared.value
         for batch in batches:
-            yield batch.filter(pa.array(_scores(batch["text"], shared.value) < threshold))
+            scores = np.concatenate([model.scores(found, cosine) for _, _, found, cosine in _neighbours(batch["text"], model)] or [np.zeros(0)])
+            yield batch.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(keep, docs.schema)
-
-
-def _scores(column: pa.Array, model: Examples, evidence: list | None = None) -> np.ndarray:
-    scores = np.full(len(column), model.prior)
-    for lo, rows, row, h, n in term_counts(column):
-        at = np.minimum(np.searchsorted(model.terms, h), max(len(model.terms) - 1, 0))
-        ok = model.terms[at] == h if len(model.terms) else np.zeros(len(h), bool)
-        row, term, tf = row[ok], at[ok], n[ok]
-        edge = np.searchsorted(row, np.arange(rows + 1))
-        for i in np.flatnonzero(np.diff(edge)):
-            scores[lo + i], found, cosine = model.judge(term[edge[i] : edge[i + 1]], tf[edge[i] : edge[i + 1]])
-            if evidence is not None:
-                evidence[lo + i] = [{"doc_id": int(model.doc[f]), "cosine": float(c), "label": int(model.label[f])} for f, c in zip(found[:3], cosine[:3], strict=True)]
-    return scores

@@ -50,20 +50,94 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r["score"] for r in toxicity.toxicity(docs, nothing).collect()} == {0.0}
 
 
-def test_nearest_equals_brute_force(spark):
-    rows, labels = corpus(400, 2, ["a1", "b2", "c3", "d4"])
-    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, label int"), least_chi=1.0, k=5)
-    dense = np.zeros((len(model.doc), len(model.terms)))
-    dense[model.row, np.repeat(np.arange(len(model.terms)), np.diff(model.edge))] = model.weight
-    r = np.random.default_rng(0)
-    for _ in range(60):
-        term = np.sort(r.choice(len(model.terms), min(6, len(model.terms)), replace=False))
-        w = model.weights(np.zeros(len(term), int), term, r.integers(1, 4, len(term)).astype(float), 1)
-        found, cosine = model.nearest(term, w)
-        true = dense[:, term] @ w
-        order = np.lexsort((np.arange(len(true)), -np.round(true, 12)))[:5]
-        order = order[true[order] > 0]
-        assert np.allclose(np.sort(cosine), np.sort(true[order])) and len(found) == len(order)
+def brute_toxicity(rows, labels, texts, k, prior):
+    """The k nearest of each text and their votes, with dictionaries: {(doc_id, cosine)}, log odds."""
+    import math
+    import re
+    from collections import Counter
+
+    def stems(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+        return Counter(w[:4] for w in words)
+
+    df = Counter(t for _, x in rows for t in stems(x))
+    vocabulary = {t for d, x in rows if d in labels for t in stems(x)}
+
+    def vector(text):
+        w = {t: (1 + math.log(n)) * math.log((1 + len(rows)) / (1 + (df[t] if t in vocabulary else 0))) for t, n in stems(text).items()}
+        size = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {t: x / size for t, x in w.items()}
+
+    examples = {d: vector(x) for d, x in rows if d in labels}
+    n = Counter(labels.values())
+    out = []
+    for text in texts:
+        v = vector(text)
+        cosine = sorted(((sum(x * e.get(t, 0) for t, x in v.items()), d) for d, e in examples.items()), reverse=True)[:k]
+        vote = sum(c**4 for c, _ in cosine)
+        share = sum(c**4 * labels[d] for c, d in cosine) / vote if vote else prior
+        size = sum(c > 0 for c, _ in cosine)
+        p = min(max((share * size + 0.5 * prior) / (size + 0.5), 1e-9), 1 - 1e-9)
+        out.append((cosine, math.log(p / (1 - p))))
+    return out
+
+
+@pytest.mark.parametrize("dense", [1024, 3])
+def test_scores_equal_brute_force(spark, monkeypatch, dense):
+    """Cosines of the nearest and the final score, recomputed with dictionaries; most terms in postings, or most in dense blocks."""
+    monkeypatch.setattr(toxicity, "MOST_DENSE", dense)
+    rows, labels = corpus(420, 2, ["a1xx", "b2yy", "c3zz"])
+    docs = documents(spark, rows)
+    model = toxicity.fit(docs, spark.createDataFrame(labels[:330], "doc_id long, label int"))
+    model.k, model.power = 9, 4
+    known = dict(labels[:330])
+    prior = sum(known.values()) / len(known)
+    texts = [x for _, x in rows[300:]] + [None, "", "unseen words alone", rows[0][1] * 50]
+    want = brute_toxicity(rows, known, texts, 9, prior)
+    got = toxicity.toxicity(documents(spark, list(enumerate(texts))), model).orderBy("doc_id").collect()
+    for r, (cosine, odds) in zip(got, want, strict=True):
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-model.curve[0] - model.curve[1] * odds)) if cosine[0][0] > 1e-9 else prior, abs=2e-4)
+        assert [e["cosine"] for e in r["evidence"]] == pytest.approx([c for c, _ in cosine[:3] if c > 1e-6], abs=2e-6)
+    assert model.curve != (0.0, 1.0)
+
+
+def test_repeated_numbers_do_not_widen_the_sample(spark):
+    rows, labels = corpus(60, 4, ["vileword"])
+    known = spark.createDataFrame(labels, "doc_id long, label int")
+    once, often = toxicity.fit(documents(spark, rows), known), toxicity.fit(documents(spark, rows + rows[:9] * 40), known)
+    assert len(often.doc) == len(once.doc) == 60
+    same = [quality.fit(documents(spark, r), known) for r in (rows, rows + rows[:9] * 40)]
+    assert np.abs(same[0] - same[1]).max() < 1e-9
+
+
+def test_training_equals_a_plain_loop(spark):
+    """Follow the regularised leader written out feature by feature, one row at a time in one shard; empty shards change nothing."""
+    import math
+    from collections import defaultdict
+
+    rows, labels = corpus(40, 6, ["$$$"])
+    known = spark.createDataFrame(labels, "doc_id long, label int")
+    docs = documents(spark, rows)
+    weights = quality.fit(docs, known, shards=1, epochs=3, batch_rows=1)
+    order = [r["doc_id"] for r in known.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    import pyarrow as pa
+
+    z, n, a, b, l1, l2 = defaultdict(float), defaultdict(float), 1.0, 1.0, 0.01, 0.1
+    w = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((b + math.sqrt(n[i])) / a + l2)
+    texts, y = dict(rows), dict(labels)
+    for _ in range(3):
+        for d in order:
+            ((_, _, _, place, value),) = quality.features(pa.array([texts[d]]))
+            x = {int(p): float(np.float32(v)) for p, v in zip(place, value, strict=True)} | {1 << quality.BITS: 1.0}
+            p = 1 / (1 + math.exp(-sum(w(i) * v for i, v in x.items())))
+            for i, v in x.items():
+                g = (p - y[d]) * v
+                sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / a
+                z[i] += g - sigma * w(i)
+                n[i] += g * g
+    assert np.allclose(weights, [w(i) for i in range((1 << quality.BITS) + 1)], atol=1e-6)
+    one = spark.createDataFrame([(order[0], 1)], "doc_id long, label int")
+    assert np.allclose(quality.fit(docs, one, shards=1), quality.fit(docs, one, shards=4))
 
 
 def test_quality_on_held_out_rows(spark):
