@@ -28,9 +28,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of whole texts small, so that a Python worker's memory is a few batches."""
+def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
+    """Keeps Arrow batches of whole texts small, in rows and in bytes, so that a Python worker's memory is a few batches.
+
+    Both are settings of the session: the registered queries call this, the operators leave settings alone.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def stash(df: DataFrame) -> DataFrame:

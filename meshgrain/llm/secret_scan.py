@@ -9,7 +9,7 @@ reported only when their ownership makes them look live.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshgrain.llm.common import stash
@@ -24,21 +24,26 @@ KINDS = ("assign", "access", "hex", "token")
 #: A value of this many owners or more is a widely copied example.
 EXAMPLE_OWNERS = 3
 
-_SPAN = "array<struct<kind_no:int,start:long,end:long,value:string>>"
+#: A value's owners meet its spans in this many groups, as one value may be in a third of all rows.
+SALTS = 16
 
 
-def _spans(text: Column, kind: int, pattern: str, value: Column | None = None, least: int = 0) -> Column:
-    """Matches with their places: what stands between matches and the matches themselves add up to positions."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
+def _matches(text: Column, kind: int, pattern: str, least: int = 0) -> Column:
+    """Matches in order: (kind_no, gap, size, sha); gap is what lies between a match and the one before it, sha null for what fails `least`."""
+    pairs = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("gap")), lambda p: p["m"].isNotNull())
 
-    def of(m: Column, i: Column) -> Column:
-        start = F.aggregate(F.slice(between, 1, i + 1), F.lit(0).cast("long"), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(found, 1, i), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-        kept = F.regexp_extract(m, pattern, 2) if kind == 0 else m
-        return F.struct(F.lit(kind).cast("int").alias("kind_no"), start.alias("start"), (start + F.length(m)).alias("end"), kept.alias("value"))
+    def of(p: Column) -> Column:
+        value = F.regexp_extract(p["m"], pattern, 2) if kind == 0 else p["m"]
+        return F.struct(F.lit(kind).alias("kind_no"), F.length(p["gap"]).cast("long").alias("gap"), F.length(p["m"]).cast("long").alias("size"), F.when(F.length(value) >= least, F.sha2(value, 256)).alias("sha"))
 
-    spans = F.when(F.size(found) > 0, F.transform(found, of)).otherwise(F.array().cast(_SPAN))
-    return F.filter(spans, lambda s: F.length(s["value"]) >= least) if least else spans
+    return F.transform(pairs, of)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, made longer until no column has it."""
+    while name in columns:
+        name += "_"
+    return name
 
 
 def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "source", example_owners: int = EXAMPLE_OWNERS, out: str = "spans") -> DataFrame:
@@ -48,42 +53,56 @@ def secret_spans(docs: DataFrame, repository: str = "doc_id", owner: str = "sour
     Places are code points, end exclusive. status is `example` for values that example_owners
     owners or more hold, else `live`. Spans of kind token appear only when live and outside
     every other span. A null text is empty; a null owner or repository counts as one of its
-    own. The table is written once with its spans and read again for the counts.
+    own. Very long texts are scanned whole, in time that grows with their length and matches; repeated rows
+    have the same spans, and an empty table gives an empty result. The table is written once with its matches and read again for the counts.
     """
+    found = _judged(docs, repository, owner, example_owners, out)
+    names = ("start", "kind_no", "kind", "end", "value_sha256", "n_repositories", "n_owners", "status")
+    return found.select("_kept.*", F.transform("_spans", lambda s: F.struct(*(s[n].alias(n) for n in names))).alias(out))
+
+
+def _judged(docs: DataFrame, repository: str, owner: str, example_owners: int, out: str) -> DataFrame:
+    """_kept (the columns of docs but `out`) and _spans, each with `reach`: how far the spans before it go."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = F.concat(_spans(text, 0, ASSIGN, least=8), _spans(text, 1, ACCESS), _spans(text, 2, HEX), _spans(text, 3, TOKEN))
+    found = F.concat(_matches(text, 0, ASSIGN, least=8), _matches(text, 1, ACCESS), _matches(text, 2, HEX), _matches(text, 3, TOKEN))
     keep = [c for c in docs.columns if c != out]
-    scanned = stash(docs.select(F.col(repository).cast("string").alias("_repository"), F.col(owner).cast("string").alias("_owner"), F.monotonically_increasing_id().alias("_row"), F.array_sort(F.transform(found, _ordered)).alias("_found"), F.struct(*[f"`{c}`" for c in keep]).alias("_kept")))
-    each = scanned.where("size(_found) > 0").select("_row", "_repository", "_owner", F.explode("_found").alias("f")).select("_row", "_repository", "_owner", "f", F.col("f.sha").alias("sha"))
-    held = lambda c: each.select("sha", F.struct(c).alias("x")).distinct().groupBy("sha").agg(F.count("*").alias("n"))
+    scanned = stash(docs.select(F.col(repository).cast("string").alias("_repository"), F.col(owner).cast("string").alias("_owner"), F.monotonically_increasing_id().alias("_row"), found.alias("_found"), F.struct(*[f"`{c}`" for c in keep]).alias("_kept")))
+    each = scanned.where("size(_found) > 0").select("_row", "_repository", "_owner", F.posexplode("_found").alias("at", "f")).select("_row", "_repository", "_owner", "at", "f.*")
+    named = each.where("sha is not null")
+    held = lambda c: named.select("sha", F.struct(c).alias("x")).distinct().groupBy("sha").agg(F.count("*").alias("n"))
     owners = held("_repository").withColumnRenamed("n", "n_repositories").join(held("_owner").withColumnRenamed("n", "n_owners"), "sha")
+    owners = owners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    # places are running sums; all windows share one exchange by row
+    upto = Window.partitionBy("_row", "kind_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    placed = each.repartition("_row").withColumn("end", F.sum(F.col("gap") + F.col("size")).over(upto)).withColumn("start", F.col("end") - F.col("size")).where("sha is not null")
+    order = Window.partitionBy("_row").orderBy("start", "kind_no")
+    base = F.col("kind_no") < 3
+    reached = F.max(F.when(base, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    follows = F.min(F.when(base, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    placed = placed.withColumn("clear", base | (F.coalesce(reached <= F.col("start"), F.lit(True)) & F.coalesce(follows >= F.col("end"), F.lit(True)))).where("clear")
     status = F.when(F.col("n_owners") >= example_owners, "example").otherwise("live")
-    span = F.struct(F.col("f.start").alias("start"), F.col("f.kind_no").alias("kind_no"), F.element_at(F.array(*map(F.lit, KINDS)), F.col("f.kind_no") + 1).alias("kind"), F.col("f.end").alias("end"), F.col("sha").alias("value_sha256"), "n_repositories", "n_owners", status.alias("status"))
-    judged = each.join(owners, "sha").select("_row", span.alias("span")).groupBy("_row").agg(F.array_sort(F.collect_list("span")).alias("_spans"))
-    fixed = F.filter("_spans", lambda s: s["kind_no"] < 3)
-    clear = lambda s: ~F.exists(fixed, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    judged = judged.select("_row", F.filter("_spans", lambda s: (s["kind_no"] < 3) | ((s["status"] == "live") & clear(s))).alias("_spans"))
-    none = F.array().cast(judged.schema["_spans"].dataType)
-    return scanned.join(judged, "_row", "left").select("_kept.*", F.coalesce("_spans", none).alias(out))
-
-
-def _ordered(s: Column) -> Column:
-    return F.struct(s["start"].alias("start"), s["kind_no"].alias("kind_no"), s["end"].alias("end"), F.sha2(s["value"], 256).alias("sha"))
+    judged = placed.withColumn("salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS)).cast("int")).join(owners, ["sha", "salt"]).withColumn("status", status).where("kind_no < 3 or status = 'live'")
+    judged = judged.repartition("_row").withColumn("reach", F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    span = F.struct("start", "kind_no", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind_no") + 1).alias("kind"), "end", F.col("sha").alias("value_sha256"), "n_repositories", "n_owners", "status", "reach")
+    spans = judged.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("_spans"))
+    none = F.array().cast(spans.schema["_spans"].dataType)
+    return scanned.join(spans, "_row", "left").select("_kept", F.coalesce("_spans", none).alias("_spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """docs with every secret span in text replaced by a mark, n_chars brought up to date where it is there; other columns as they are."""
-    scanned = secret_spans(docs, out="_secrets")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # spans that overlap become one: a span counts where no earlier one reaches its start
-    reach = lambda i: F.aggregate(F.slice("_secrets", 1, i), F.lit(0).cast("long"), lambda a, s: F.greatest(a, s["end"]))
-    piece = lambda s, i: F.concat(text.substr(reach(i).cast("int") + 1, F.greatest(F.lit(0), s["start"] - reach(i)).cast("int")), F.when((i == 0) | (s["start"] >= reach(i)), F.lit(mark)).otherwise(""))
-    whole = F.concat(F.array_join(F.transform("_secrets", piece), ""), text.substr(reach(F.size("_secrets")).cast("int") + 1, F.length(text)))
-    new = F.when(F.size("_secrets") > 0, whole).otherwise(F.col("text"))
-    out = scanned.withColumn("text", new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("_secrets") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+    """docs with every secret span in text replaced by a mark, n_chars brought up to date where it is there; other columns as they are.
+
+    Spans that overlap become one mark. Null and empty texts stay as they are, repeated rows become
+    the same, very long texts are redacted whole; an empty table gives an empty result.
+    """
+    found = _judged(docs, "doc_id", "source", EXAMPLE_OWNERS, unused(docs.columns, "_secrets"))
+    text = F.coalesce(F.col("_kept.text").cast("string"), F.lit(""))
+    piece = lambda s: F.concat(F.when(s["start"] > s["reach"], text.substr(s["reach"].cast("int") + 1, (s["start"] - s["reach"]).cast("int"))).otherwise(""), F.when(s["start"] >= s["reach"], F.lit(mark)).otherwise(""))
+    last = F.array_max(F.transform("_spans", lambda s: s["end"]))
+    some = F.size("_spans") > 0
+    new = F.when(some, F.concat(F.array_join(F.transform("_spans", piece), ""), text.substr(last.cast("int") + 1, F.length(text)))).otherwise(F.col("_kept.text"))
+    now = {"text": new, "n_chars": F.when(some, F.length(new).cast("long")).otherwise(F.col("_kept.n_chars")) if "n_chars" in docs.columns else None}
+    return found.select(*[now[c].alias(c) if c in now else F.col(f"_kept.`{c}`") for c in docs.columns])
 
 
 def digest(scanned: DataFrame) -> DataFrame:

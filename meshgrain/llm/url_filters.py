@@ -9,6 +9,7 @@ the token, and only those regular expressions run. Work grows with the number of
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
@@ -82,7 +83,8 @@ def url_filter(pages: DataFrame, host_rules: Sequence[HostRule] = HOST_RULES, pa
     rule is the longest host rule that fits (null if none) and gives the verdict; else a
     matching pattern rule with verdict block blocks, one with allow allows, and `default`
     holds. patterns lists the pattern rules that match. A null url, or one without `://`, has
-    an empty host and path, fits no rule and gets the default. Repeated urls are judged once.
+    an empty host and path, fits no rule and gets the default; so does an empty one. Repeated urls are judged once,
+    very long ones whole, and every row keeps its result. Of matching pattern rules of both verdicts block wins. An empty table gives an empty result.
     A rule without any literal token is an error: it would have to run on every url.
     """
     spark = pages.sparkSession
@@ -92,7 +94,9 @@ def url_filter(pages: DataFrame, host_rules: Sequence[HostRule] = HOST_RULES, pa
     rows = [(r.name, i < len(host_rules), r.verdict, r.regex(), r.tokens()) for i, r in enumerate([*host_rules, *pattern_rules])]
     if blind := [r[0] for r in rows if not r[4]]:
         raise ValueError(f"no literal token to file these rules under: {blind}")
-    rules = spark.createDataFrame(rows, "rule string, by_host boolean, rule_verdict string, regex string, literals array<string>")
+    names = ("rule", "by_host", "rule_verdict", "regex", "literals")
+    listed = F.from_json(F.lit(json.dumps([dict(zip(names, r, strict=True)) for r in rows])), "array<struct<rule:string,by_host:boolean,rule_verdict:string,regex:string,literals:array<string>>>")
+    rules = spark.range(1).select(F.inline(listed))
     small = F.broadcast if len(rows) <= BROADCAST_RULES else (lambda df: df)
 
     tokens = places.withColumn("token", F.explode(F.array_distinct(F.split(lower_ascii(F.col("at")), "[^a-z0-9]+"))))

@@ -1,6 +1,8 @@
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from meshgrain.llm import decontaminate, mixing, secret_scan
 from meshgrain.llm.url_filters import PatternRule, url_filter
@@ -45,20 +47,55 @@ def test_redaction(spark):
     assert secret_scan.redacted(documents(spark, rows)).columns == documents(spark, rows).columns
 
 
+def brute_spans(text):
+    """Base spans of one text by Python's own regular expressions: (start, kind, end)."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32])
+
+
+def test_a_text_of_many_matches(spark):
+    """Three thousand matches of all kinds in one text, some of them overlapping; the time is in proportion."""
+    r = random.Random(8)
+    parts = ["token=abcdefgh%d", "é token=x%d", "AKIA%016d", "%032x", "secret: %040x", "Passwd='AKIA%014d'", "word%d \n"]
+    text = " ".join(r.choice(parts) % r.randrange(10**9) for _ in range(3000))
+    rows = [(0, text), (1, "plain"), (2, text[: len(text) // 2])]
+    got = {x["doc_id"]: x for x in secret_scan.secret_spans(documents(spark, rows)).collect()}
+    for d, t in rows:
+        assert [(s["start"], s["kind_no"], s["end"]) for s in got[d]["spans"]] == brute_spans(t)
+    out = {x["doc_id"]: x["text"] for x in secret_scan.redacted(documents(spark, rows)).collect()}
+    want, at = [], 0
+    for start, _, end in brute_spans(text):
+        want += [text[at:start], "[secret]"] if start >= at else []
+        at = max(at, end)
+    assert out[0] == "".join(want) + text[at:] and out[1] == "plain"
+
+
+def test_columns_with_inner_names(spark):
+    docs = documents(spark, [(0, "a token=abcdefgh1"), (1, None)]).withColumns({c: F.lit(c) for c in ("_secrets", "_kept", "_found", "_spans", "_items", "_hit_words", "at", "sha", "salt")})
+    out = secret_scan.redacted(docs).orderBy("doc_id").collect()
+    assert out[0]["text"] == "a [secret]" and all(r[c] == c for r in out for c in ("_secrets", "_kept", "_spans", "_items"))
+    bench = spark.createDataFrame([("b", "only this")], "item_id string, text string")
+    kept = decontaminate.without_contaminated(docs, bench)
+    assert kept.columns == docs.columns and all(r["_items"] == "_items" and r["_hit_words"] == "_hit_words" for r in kept.collect())
+
+
 def test_contamination(spark, monkeypatch):
     item = words(50, 15)
     bench = spark.createDataFrame([("b", " ".join(item)), ("a", "Two, words"), ("c", None), (None, "lonely item here"), ("d", "!!!"), ("b", " ".join(item))], "item_id string, text string")
     rows = [(0, "pre " + "".join(c.upper() if c.isascii() else c for c in ", ".join(item[2:13])) + " post"), (1, "x two WORDS y two words"), (2, None), (3, ""), (4, " ".join(item[:9])), (5, "a lonely item here"), (5, "a lonely item here")]
-    for part in (10**9, 10):
-        monkeypatch.setattr(decontaminate, "PART_CHARS", part)
-        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], [tuple(s) for s in r["spans"]]) for r in decontaminate.contamination(documents(spark, rows), bench).collect()]
+    for part, piece in ((10**9, 1000), (4, 1000), (4, 2)):
+        monkeypatch.setattr(decontaminate, "PART_WINDOWS", part)
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        got = [(r["doc_id"], r["n_words"], r["n_hit"], r["items"], [tuple(s) for s in r["spans"]]) for r in decontaminate.contamination(documents(spark, rows), bench).orderBy("doc_id").collect()]
         text = rows[0][1]
         assert got[0] == (0, 13, 11, ["b"], [(4, len(text) - 5)])
         assert got[1] == (1, 6, 4, ["a"], [(2, 11), (14, 23)])
         assert [g[2] for g in got[2:]] == [0, 0, 0, 3, 3] and got[5][3] == []
     docs = documents(spark, rows)
     kept = decontaminate.without_contaminated(docs, bench)
-    assert [r["doc_id"] for r in kept.collect()] == [2, 3, 4] and kept.columns == docs.columns
+    assert [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == [2, 3, 4] and kept.columns == docs.columns
     assert decontaminate.without_contaminated(docs, bench.limit(0)).count() == len(rows)
 
 
