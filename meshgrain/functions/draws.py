@@ -8,7 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType
+from pyspark.sql.types import DoubleType, LongType, StringType
 
 DIGITS = 13  # hexadecimal digits of a draw: 52 bits, exact in a double
 
@@ -62,3 +62,13 @@ def keyed_uniform(source: Column, salt: Column, seed: int, population: int, vers
         return pd.Series([keyed_int(seed, a, population, version, b, 1) / 2.0**64 for a, b in zip(s, k, strict=True)], dtype="float64")
 
     return scaled(source.cast("long"), salt.cast("long"))
+
+
+def virtual_ids(module: Column, lineage: Column, generation: Column, index: Column, seed: int) -> Column:
+    """virtual_id of each row as a decimal of 20 digits, as 64 bits without a sign need; an Arrow-batched function."""
+
+    @F.pandas_udf(StringType())
+    def made(m: pd.Series, li: pd.Series, g: pd.Series, i: pd.Series) -> pd.Series:
+        return pd.Series([str(virtual_id(seed, *x)) for x in zip(m, li, g, i, strict=True)], dtype="object")
+
+    return made(*(c.cast("long") for c in (module, lineage, generation, index))).cast("decimal(20,0)")

@@ -45,24 +45,23 @@ def triad_census(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
 
     # from lower to higher (degree, id): u → v
     d = degree.select("u", "deg")
-    sided = dyads.join(d.select(F.col("u").alias("a"), F.col("deg").alias("da")), "a").join(d.select(F.col("u").alias("b"), F.col("deg").alias("db")), "b")
+    sided = dyads.join(d.select(F.col("u").alias("a"), F.col("deg").alias("da")), "a").join(d.select(F.col("u").alias("b"), F.col("deg").alias("db")), "b").persist()
     up = F.struct("da", "a") < F.struct("db", "b")
-    arcs = sided.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"))
-    p, q = arcs.select("u", F.col("v").alias("v1")), arcs.select("u", F.col("v").alias("v2"))
-    wedge = p.join(q, "u").where("v1 < v2").join(dyads.select(F.col("a").alias("v1"), F.col("b").alias("v2")), ["v1", "v2"])
-    xyz = wedge.select(F.array_sort(F.array("u", "v1", "v2")).alias("s")).select(F.col("s")[0].alias("x"), F.col("s")[1].alias("y"), F.col("s")[2].alias("z"))
-    kind = lambda a, b, name: dyads.select(F.col("a").alias(a), F.col("b").alias(b), F.col("t").alias(name))
-    tri = xyz.join(kind("x", "y", "xy"), ["x", "y"]).join(kind("x", "z", "xz"), ["x", "z"]).join(kind("y", "z", "yz"), ["y", "z"]).groupBy("xy", "xz", "yz").agg(F.count("*").alias("n"))
+    # kinds go along as seen from u, so a triangle knows its three kinds when it is closed
+    arcs = sided.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(up, F.col("t")).otherwise(flip(F.col("t"))).alias("t"))
+    p, q = arcs.select("u", F.col("v").alias("v1"), F.col("t").alias("xy")), arcs.select("u", F.col("v").alias("v2"), F.col("t").alias("xz"))
+    wedge = p.join(q, "u").where("v1 < v2").select("v1", "v2", "xy", "xz")
+    tri = wedge.join(dyads.select(F.col("a").alias("v1"), F.col("b").alias("v2"), F.col("t").alias("yz")), ["v1", "v2"]).groupBy("xy", "xz", "yz").agg(F.count("*").alias("n"))
 
     comb3 = F.expr("cast(cast(n as decimal(38,0)) * (n - 1) * (n - 2) / 6 as decimal(38,0))")
     sums = degree.agg(
         *(F.coalesce(F.sum(F.expr(f"cast(d{k} as decimal(38,0)) * (d{k} - 1) / 2")), F.lit(0)).alias(f"s{k}{k}") for k in (1, 2, 3)),
         *(F.coalesce(F.sum(F.expr(f"cast(d{i} as decimal(38,0)) * d{j}")), F.lit(0)).alias(f"s{i}{j}") for i, j in ((1, 2), (1, 3), (2, 3))),
     )
-    by_type = dyads.join(d.select(F.col("u").alias("a"), F.col("deg").alias("da")), "a").join(d.select(F.col("u").alias("b"), F.col("deg").alias("db")), "b")
-    pairs = by_type.agg(*(F.coalesce(F.sum(F.when(c, F.lit(1))), F.lit(0)).alias(f"p_{m}") for m, c in (("one", F.col("t") != 3), ("two", F.col("t") == 3))), *(F.coalesce(F.sum(F.when(c, F.col("da") + F.col("db"))), F.lit(0)).alias(f"g_{m}") for m, c in (("one", F.col("t") != 3), ("two", F.col("t") == 3))))
+    pairs = sided.agg(*(F.coalesce(F.sum(F.when(c, F.lit(1))), F.lit(0)).alias(f"p_{m}") for m, c in (("one", F.col("t") != 3), ("two", F.col("t") == 3))), *(F.coalesce(F.sum(F.when(c, F.col("da") + F.col("db"))), F.lit(0)).alias(f"g_{m}") for m, c in (("one", F.col("t") != 3), ("two", F.col("t") == 3))))
     whole = nodes.agg(F.count("*").alias("n")).withColumn("all3", comb3).join(F.broadcast(sums)).join(F.broadcast(pairs)).first()  # one row
     triangles = tri.collect()  # 27 rows at most
+    sided.unpersist()
     dyads.unpersist()
     degree.unpersist()
     return spark.createDataFrame(_totals(whole.asDict(), [r.asDict() for r in triangles]), "code int, count long, concentration double, n_edges int, n_mutual int, cyclic boolean").orderBy("code")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshgrain.functions.draws import below, uniform
+from meshgrain.operators.ranks import running
 
 
 def currents(spikes: DataFrame, ticks: int, each: float) -> DataFrame:
@@ -61,6 +62,35 @@ def queue_order(events: DataFrame) -> DataFrame:
     return events.withColumn("seq", F.row_number().over(Window.partitionBy("tick").orderBy("event_id")))
 
 
+def drained(queue: DataFrame, upto: int) -> DataFrame:
+    """What a queue in order (tick, seq) gives out up to and with a tick."""
+    return queue.where(F.col("tick") <= upto)
+
+
+def queue_head(queue: DataFrame, after: int) -> DataFrame:
+    """One row: what is left after a drain up to `after`: how many events, the next tick and the first event (nulls: none)."""
+    left = queue.where(F.col("tick") > after)
+    return left.agg(F.count("*").alias("waiting"), F.min("tick").alias("next_tick"), F.min(F.struct("tick", "seq", "event_id", "nid")).alias("first")).select("waiting", "next_tick", F.col("first.event_id").alias("event_id"), F.col("first.nid").alias("nid"))
+
+
+def peak_resident(observations: DataFrame, keep: int) -> DataFrame:
+    """One row (tick, resident): the first tick at which most nodes are resident, each for `keep` ticks after an observation."""
+    seen = observations.select("nid", "tick").distinct()
+    until = F.least(F.coalesce(F.lead("tick").over(Window.partitionBy("nid").orderBy("tick")), F.lit(2**31 - 1)), F.col("tick") + keep + 1)
+    stays = seen.withColumn("until", until)
+    step = stays.select(F.explode(F.array(F.struct("tick", F.lit(1).alias("d")), F.struct(F.col("until").alias("tick"), F.lit(-1).alias("d")))).alias("s")).select("s.*")
+    change = step.groupBy("tick").agg(F.sum("d").alias("d"))
+    count = running(change, "tick", [], F.col("d"), "before").select("tick", (F.col("before") + F.col("d")).alias("resident"))
+    return count.agg(F.max(F.struct("resident", (-F.col("tick")).alias("t"))).alias("m")).select((-F.col("m.t")).alias("tick"), F.col("m.resident").alias("resident"))
+
+
+def drive_slots(ticks: int, slots: int, nodes: DataFrame, n: int, amplitude: float, seed: int = 0) -> DataFrame:
+    """(tick, nid, i): `slots` draws with replacement from ids 0..n-1 in each tick, a node drawn twice gets twice the input; only nodes of `nodes` count."""
+    rows = nodes.sparkSession.range(ticks).select(F.col("id").alias("tick"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
+    drawn = rows.select("tick", below(n, "slot", seed, F.col("tick"), F.col("slot")).alias("nid")).join(nodes.select(F.col("id").alias("nid")), "nid", "left_semi")
+    return drawn.groupBy("tick", "nid").agg((F.count("*") * amplitude).alias("i"))
+
+
 def drive_blocks(nodes: DataFrame, ticks: int, density: float, block: int = 100, seed: int = 0) -> DataFrame:
     """(block, nid): nodes driven in each block; the first and last third of the time share one pattern (A-B-A)."""
     blocks = nodes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((ticks - 1) // block))))

@@ -1,28 +1,57 @@
 """Scaled and null-model graphs from keyed draws.
 
 Nodes of a source graph are 0..n-1 (operators.ranks.dense_ids makes them so); edges are
-(src, tgt, pos, weight), pos numbering a source's edges. No generator looks at all pairs of nodes: where a
-pair exists with probability p, every node draws how many partners it has (the expected
-number, rounded at random) and then which, so the work is the number of edges made.
+(src, tgt, weight). No generator looks at all pairs of nodes: where a pair exists with probability p,
+every node goes through its possible partners in skips of geometric length, which is the law of one coin
+for each pair at the work of the edges made. Drawn edges have the mean weight of the source graph.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshgrain.functions.draws import below, draw, uniform
 from meshgrain.operators.ranks import running
 
-MEAN_WEIGHT = 0.5
+#: Weight of drawn edges where the source graph has no edges.
+NO_WEIGHT = 0.5
+#: Hits expected in a stretch of possible partners, and skips tried there; more hits have a chance below 1e-70.
+HITS, SKIPS = 16, 128
+
+
+def mean_weight(edges: DataFrame) -> DataFrame:
+    """One row, `mean`: the mean weight of the edges."""
+    return edges.agg(F.coalesce(F.avg("weight"), F.lit(NO_WEIGHT)).alias("mean"))
+
+
+def _with_mean(drawn: DataFrame, edges: DataFrame) -> DataFrame:
+    return drawn.select("src", "tgt").join(F.broadcast(mean_weight(edges))).select("src", "tgt", F.col("mean").alias("weight"))
 
 
 def partners(nodes: DataFrame, among: Column, p: float, *key: Column | str | int) -> DataFrame:
-    """nodes (id) with `k` and `pick`, one row for each drawn partner number in [0, among), each once."""
-    want = among * F.lit(p)
-    k = F.floor(want).cast("int") + (uniform(*key, "count", F.col("id")) < want - F.floor(want)).cast("int")
-    rows = nodes.withColumn("k", F.explode(F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))))
-    return rows.withColumn("pick", below(among, *key, "pick", F.col("id"), F.col("k"))).dropDuplicates(["id", "pick"])
+    """nodes (id and more) with `pick`: each number in [0, among) with probability p, independently.
+
+    The numbers are cut into stretches of HITS / p; in each the distance from hit to hit is geometric.
+    """
+    if p <= 0:
+        return nodes.withColumn("pick", F.lit(0).cast("long")).where("false")
+    stretch = max(1, math.ceil(HITS / p))
+    skip = lambda k: F.lit(0).cast("long") if p >= 1 else F.floor(F.log(1 - uniform(*key, F.col("id"), F.col("stretch"), k)) / math.log1p(-p)).cast("long")
+    rows = nodes.withColumn("among", among.cast("long")).where("among > 0")
+    rows = rows.withColumn("stretch", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(among - 1) div {stretch}"))))
+    rows = rows.withColumn("size", F.least(F.lit(stretch), F.col("among") - F.col("stretch") * stretch))
+    start = F.struct(F.lit(-1).cast("long").alias("at"), F.array().cast("array<long>").alias("hits"))
+
+    def step(s: Column, k: Column) -> Column:
+        at = s["at"] + 1 + skip(k)
+        new = F.struct(at.alias("at"), F.when(at < F.col("size"), F.concat(s["hits"], F.array(at))).otherwise(s["hits"]).alias("hits"))
+        return F.when(s["at"] < F.col("size"), new).otherwise(s)
+
+    hits = F.aggregate(F.sequence(F.lit(0), F.lit(min(stretch, SKIPS) - 1)), start, step, lambda s: s["hits"])
+    return rows.withColumn("hit", F.explode(hits)).withColumn("pick", F.col("stretch") * stretch + F.col("hit")).drop("among", "stretch", "size", "hit")
 
 
 def copies(edges: DataFrame, n: int, times: int) -> DataFrame:
@@ -32,17 +61,15 @@ def copies(edges: DataFrame, n: int, times: int) -> DataFrame:
 
 
 def replication(edges: DataFrame, n: int, times: int, p_cross: float = 0.0, seed: int = 0) -> DataFrame:
-    """Tiles, with drawn edges both ways between nodes of different tiles."""
+    """Tiles; each pair of nodes of different tiles is joined both ways with probability p_cross."""
     out = copies(edges, n, times)
     if p_cross <= 0:
         return out
-    nodes = edges.sparkSession.range(n * times)
-    other = partners(nodes, F.lit(n * (times - 1)), p_cross / 2, "replicate", seed)  # half from either end
-    tile = F.expr(f"id div {n}")
-    tgt = F.pmod((tile + 1) * n + F.col("pick"), F.lit(n * times))
-    cross = other.select(F.col("id").alias("src"), tgt.alias("tgt"))
-    both = cross.unionAll(cross.select(F.col("tgt").alias("src"), F.col("src").alias("tgt"))).distinct()
-    return out.unionAll(both.withColumn("weight", F.lit(MEAN_WEIGHT)))
+    first = F.expr(f"(id div {n} + 1) * {n}")  # nodes of later tiles begin here; an edge either way for each pair
+    other = partners(edges.sparkSession.range(n * times), n * times - first, p_cross, "replicate", seed)
+    ends = other.select(F.col("id").alias("a"), (first + F.col("pick")).alias("b"))
+    both = ends.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("tgt")), F.struct(F.col("b").alias("src"), F.col("a").alias("tgt")))).alias("e")).select("e.*")
+    return out.unionAll(_with_mean(both, edges))
 
 
 def duplication(edges: DataFrame, n: int, p_drop: float = 0.1, p_rewire: float = 0.05, seed: int = 0) -> DataFrame:
@@ -54,7 +81,8 @@ def duplication(edges: DataFrame, n: int, p_drop: float = 0.1, p_rewire: float =
 
 
 def modular(edges: DataFrame, n: int, modules: int, times: int, p_inter: float = 0.0, seed: int = 0) -> DataFrame:
-    """Edges inside modules (id mod modules), each module numbered on its own and tiled; drawn edges one way between modules.
+    """Edges inside modules (id mod modules), each module numbered on its own and
+    tiled; from each made node an edge to each later one with probability p_inter.
 
     Node (module m, copy c, place i) is base(m) + c * size(m) + i, modules one after another.
     """
@@ -66,14 +94,8 @@ def modular(edges: DataFrame, n: int, modules: int, times: int, p_inter: float =
     out = inner.select((start + F.expr(f"src div {modules}")).alias("src"), (start + F.expr(f"tgt div {modules}")).alias("tgt"), "weight")
     if p_inter <= 0:
         return out
-    # module of a made node, from where it stands
-    nodes = edges.sparkSession.range(n * times)
-    large = (n // modules + 1) * times
-    cut = (n % modules) * large
-    m = F.when(F.col("id") < cut, F.expr(f"id div {large}")).otherwise(F.lit(n % modules) + F.expr(f"(id - {cut}) div {max(n // modules, 1) * times}"))
-    nodes = nodes.withColumn("after", F.lit(n * times) - (base(m + 1) * times))
-    inter = partners(nodes.where("after > 0"), F.col("after"), p_inter, "modules", seed)
-    return out.unionAll(inter.select(F.col("id").alias("src"), (F.lit(n * times) - F.col("after") + F.col("pick")).alias("tgt"), F.lit(MEAN_WEIGHT).alias("weight")))
+    later = partners(edges.sparkSession.range(n * times), F.lit(n * times - 1) - F.col("id"), p_inter, "modules", seed)
+    return out.unionAll(_with_mean(later.select(F.col("id").alias("src"), (F.col("id") + 1 + F.col("pick")).alias("tgt")), edges))
 
 
 def population(edges: DataFrame, n: int, size: int, p_intra: float = 1.0, p_inter: float = 1.0, seed: int = 0) -> DataFrame:
@@ -82,7 +104,7 @@ def population(edges: DataFrame, n: int, size: int, p_intra: float = 1.0, p_inte
     pairs = lambda df: df.withColumn("i", F.explode(members)).withColumn("j", F.explode(members))
     intra = pairs(edges.sparkSession.range(n)).where("i <> j").where(uniform("intra", seed, F.col("id"), F.col("i"), F.col("j")) < p_intra)
     inter = pairs(edges).where(uniform("inter", seed, F.col("src"), F.col("tgt"), F.col("i"), F.col("j")) < p_inter)
-    return intra.select((F.col("id") * size + F.col("i")).alias("src"), (F.col("id") * size + F.col("j")).alias("tgt"), F.lit(MEAN_WEIGHT).alias("weight")).unionAll(
+    return _with_mean(intra.select((F.col("id") * size + F.col("i")).alias("src"), (F.col("id") * size + F.col("j")).alias("tgt")), edges).unionAll(
         inter.select((F.col("src") * size + F.col("i")).alias("src"), (F.col("tgt") * size + F.col("j")).alias("tgt"), "weight")
     )
 
@@ -93,18 +115,22 @@ def hybrid(edges: DataFrame, n: int, modules: int, times: int, p_drop: float = 0
 
 
 def gnp(nodes: DataFrame, n: int, p: float, seed: int = 0) -> DataFrame:
-    """Directed edges from each node (id in 0..n-1) to drawn other nodes, n * (n - 1) * p expected."""
+    """Each directed edge between two different nodes (id in 0..n-1) with probability p."""
     other = partners(nodes, F.lit(n - 1), p, "gnp", seed)
     return other.select(F.col("id").alias("src"), F.pmod(F.col("id") + 1 + F.col("pick"), F.lit(n)).alias("tgt"))
 
 
 def planted(nodes: DataFrame, n: int, modules: int, p_in: float, p_out: float, seed: int = 0) -> DataFrame:
-    """As gnp, more likely inside a module (id mod modules) than between modules; n is a multiple of modules."""
-    each = n // modules
-    inside = partners(nodes, F.lit(each - 1), p_in, "in", seed).select(F.col("id").alias("src"), F.pmod(F.col("id") + (F.col("pick") + 1) * modules, F.lit(n)).alias("tgt"))
-    # numbers in 0..n-each-1 to the nodes of the other modules
-    shift = F.expr(f"pick div {modules - 1} * {modules}") + F.pmod("pick", F.lit(modules - 1)) + 1
-    outside = partners(nodes, F.lit(n - each), p_out, "out", seed).select(F.col("id").alias("src"), F.pmod(F.col("id") + shift, F.lit(n)).alias("tgt"))
+    """As gnp, with p_in inside a module (id mod modules) and p_out between modules."""
+    rows = nodes.select("id").withColumn("m", F.pmod("id", F.lit(modules)))
+    size = F.expr(f"{n} div {modules}") + (F.col("m") < n % modules).cast("int")
+    own = F.expr(f"id div {modules}")
+    inside = partners(rows, size - 1, p_in, "in", seed).select(F.col("id").alias("src"), ((F.col("pick") + (F.col("pick") >= own).cast("int")) * modules + F.col("m")).alias("tgt"))
+    if modules < 2:
+        return inside
+    # of `modules` ids in a row, all but one are of other modules
+    turn = F.pmod("pick", F.lit(modules - 1))
+    outside = partners(rows, n - size, p_out, "out", seed).select(F.col("id").alias("src"), (F.expr(f"pick div {modules - 1} * {modules}") + turn + (turn >= F.col("m")).cast("int")).alias("tgt"))
     return inside.unionAll(outside)
 
 
@@ -119,6 +145,17 @@ def stamped(instances: DataFrame, code: int) -> DataFrame:
     return instances.withColumn("e", F.explode(pairs)).select((F.col("id") * 3 + F.col("e.a")).alias("src"), (F.col("id") * 3 + F.col("e.b")).alias("tgt"))
 
 
+def motif_fill(instances: DataFrame, n: int, code: int, p_inter: float = 0.01, weight: float = 0.5, seed: int = 0) -> DataFrame:
+    """(src, tgt, weight): the triad of a code for each instance number in 0..n-1, and an edge from each node that
+    has edges in it to each later such node with probability p_inter."""
+    own = sorted({a for a, _ in motif_edges(code)})
+    m = len(own)
+    node = lambda i: F.expr(f"{i} div {m}") * 3 + F.element_at(F.array(*map(F.lit, own)), (F.expr(f"{i} % {m}") + 1).cast("int"))
+    senders = instances.select(F.explode(F.array(*((F.col("id") * m + k) for k in range(m)))).alias("id"))
+    drawn = partners(senders, F.lit(m * n - 1) - F.col("id"), p_inter, "motif", seed).withColumn("to", F.col("id") + 1 + F.col("pick"))
+    return stamped(instances, code).unionAll(drawn.select(node("id").alias("src"), node("to").alias("tgt"))).withColumn("weight", F.lit(weight))
+
+
 def _shuffled(edges: DataFrame, value: Column, *key: str | int) -> DataFrame:
     """Sources in order, each with a value of an edge at the same place of a drawn order: (src, value)."""
     left = running(edges, "src", ["tgt"], F.lit(1), "place").select("src", "place")
@@ -143,19 +180,28 @@ def motif_destroyed(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return moved.select("src", F.least(F.greatest(F.col("src") + F.col("value"), F.lit(0)), F.lit(n - 1)).alias("tgt"))
 
 
-def spatial(points: DataFrame, length: float, edges: float, reach: float = 4.0, seed: int = 0) -> DataFrame:
-    """(src, tgt) between points (id, x, y), likelier the nearer they are: probability base * exp(-distance / length).
+def spatial(points: DataFrame, n: int, length: float, edges: float, reach: float = 4.0, draws: int = 64, seed: int = 0) -> DataFrame:
+    """(src, tgt) between points (id in 0..n-1, x, y), likelier the nearer they are: probability base * exp(-distance / length).
 
-    base is set so that `edges` are expected, one at most per ordered pair. Pairs farther than
-    `reach` lengths apart are left out (their share is below e**-reach of a pair at hand); the others
-    meet in grid cells of that size, so no point looks beyond its nine cells.
+    base is set so that about `edges` are expected, one at most per ordered pair. Pairs within `reach` lengths meet in
+    grid cells of that size, with a coin each. No farther pair is likelier than base * e**-reach: candidates
+    are drawn at that rate and kept at the rest of their probability, which is exact. The sum that sets base
+    is exact for near pairs; for the far ones `draws` partners of each point stand for all.
     """
     far = reach * length
     cell = points.withColumn("cx", F.floor(F.col("x") / far)).withColumn("cy", F.floor(F.col("y") / far))
     near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
     around = cell.withColumn("d", F.explode(near)).select(F.col("id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"))
-    pairs = around.join(cell.withColumnRenamed("id", "tgt"), ["cx", "cy"]).where("src <> tgt")
     distance = F.sqrt((F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0")))
-    pairs = pairs.select("src", "tgt", distance.alias("distance")).where(F.col("distance") <= far).withColumn("pull", F.exp(-F.col("distance") / length))
-    base = pairs.agg(F.least(F.lit(1.0), F.lit(float(edges)) / F.sum("pull")).alias("base"))
-    return pairs.join(F.broadcast(base)).where(uniform("spatial", seed, F.col("src"), F.col("tgt")) < F.col("base") * F.col("pull")).select("src", "tgt")
+    pairs = around.join(cell.withColumnRenamed("id", "tgt"), ["cx", "cy"]).where("src <> tgt").select("src", "tgt", distance.alias("distance")).where(F.col("distance") <= far)
+    pull = F.exp(-F.col("distance") / length)
+    ends = lambda df: df.join(points.select(F.col("id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0")), "src").join(points.withColumnRenamed("id", "tgt"), "tgt").select("src", "tgt", distance.alias("distance")).where(F.col("distance") > far)
+    other = lambda pick: F.pmod(F.col("id") + 1 + pick, F.lit(n))
+    some = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k")).select(F.col("id").alias("src"), other(below(max(n - 1, 1), "sum", seed, F.col("id"), F.col("k"))).alias("tgt"))
+    total = pairs.agg(F.sum(pull)).first()[0] or 0.0  # two numbers
+    total += (ends(some).agg(F.sum(pull)).first()[0] or 0.0) * (n - 1) / draws
+    base = min(1.0, edges / total) if total else 0.0
+    close = pairs.where(uniform("spatial", seed, F.col("src"), F.col("tgt")) < base * pull).select("src", "tgt")
+    drawn = partners(points.select("id"), F.lit(n - 1), base * math.exp(-reach), "far", seed).select(F.col("id").alias("src"), other(F.col("pick")).alias("tgt"))
+    kept = ends(drawn).where(uniform("keep", seed, F.col("src"), F.col("tgt")) < F.exp((far - F.col("distance")) / length))
+    return close.unionAll(kept.select("src", "tgt"))

@@ -1,7 +1,7 @@
 """Ranks, prefix sums and order statistics without a single-task sort.
 
 Rows are split into ranges of the ordering key; sums over ranges are added up in two levels
-of at most 256 rows per task, and only rows of one range are sorted together.
+of at most 16 rows per task, and only rows of one range are sorted together.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ def _before(df: DataFrame, keys: list[str], by: str, value: str) -> Column:
 
 
 def running(df: DataFrame, key: str, ties: list[str], weight: Column, out: str) -> DataFrame:
-    """df with `out`: the sum of weight over rows before each row in the order of the long column key, then ties."""
-    ends = df.agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    width = F.expr("greatest((_hi - _lo) div 65536 + 1, 1)")
-    rows = df.join(F.broadcast(ends)).withColumn("_w", weight).withColumn("_range", F.expr(f"({key} - _lo)") / width).withColumn("_range", F.floor("_range"))
-    rows = rows.withColumn("_r1", F.floor(F.col("_range") / 256)).drop("_lo", "_hi")
+    """df with `out`: the sum of weight over rows before each row in the order of the column key (a number, not null), then ties."""
+    # 255 quantiles of the key, whatever its spread, found in two steps of at most 16 comparisons
+    cuts = df.agg(F.percentile_approx(key, [i / 256 for i in range(1, 256)], 10_000).alias("_cuts"))
+    over = lambda part: F.size(F.filter(part, lambda c: c <= F.col(key)))
+    rows = df.join(F.broadcast(cuts)).withColumn("_w", weight)
+    rows = rows.withColumn("_r1", over(F.array(*(F.expr(f"_cuts[{16 * i - 1}]") for i in range(1, 16)))))
+    rows = rows.withColumn("_range", F.col("_r1") * 16 + over(F.slice("_cuts", F.col("_r1") * 16 + 1, F.lit(15)))).drop("_cuts")
     inner = rows.groupBy("_r1", "_range").agg(F.sum("_w").alias("_s"))
     outer = inner.groupBy("_r1").agg(F.sum("_s").alias("_s"))
     outer = outer.select(F.lit(0).alias("_all"), "_r1", "_s")
@@ -27,7 +29,7 @@ def running(df: DataFrame, key: str, ties: list[str], weight: Column, out: str)
     inner = inner.select("_r1", "_range", _before(inner, ["_r1"], "_range", "_s").alias("_b2"))
     own = F.sum("_w").over(Window.partitionBy("_r1", "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_b3", F.coalesce(own, F.lit(0)))
-    rows = rows.join(F.broadcast(outer), "_r1").join(inner, ["_r1", "_range"])  # outer has 257 rows at most
+    rows = rows.join(F.broadcast(outer), "_r1").join(inner, ["_r1", "_range"])  # outer has 16 rows at most
     return rows.withColumn(out, F.col("_b1") + F.col("_b2") + F.col("_b3")).drop("_r1", "_range", "_w", "_b1", "_b2", "_b3")
 
 
@@ -44,6 +46,6 @@ def upper_median(values: DataFrame, column: str) -> DataFrame:
 def at_place(values: DataFrame, column: str, place: str) -> DataFrame:
     """One row: the value at a place (from 0) of the sorted values; place is an SQL expression over count_all."""
     hist = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    upto = hist.withColumn("upto", F.sum("n").over(Window.orderBy(column)))  # distinct values only
+    upto = running(hist, column, [], F.col("n"), "before")
     total = hist.agg(F.sum("n").alias("count_all"))
-    return upto.join(F.broadcast(total)).where(f"upto > {place}").agg(F.min(column).alias(column))
+    return upto.join(F.broadcast(total)).where(f"before + n > {place}").agg(F.min(column).alias(column))

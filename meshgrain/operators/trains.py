@@ -16,8 +16,9 @@ def tick_histogram(spikes: DataFrame, ticks: int) -> DataFrame:
     return spikes.where(F.col("tick").between(0, ticks - 1)).groupBy("tick").agg(F.count("*").alias("n"))
 
 
-def health(spikes: DataFrame, nodes: DataFrame, ticks: int, dt_ms: float = 0.1, max_hz: float = 100.0, sync_max: float = 0.5, gini_max: float = 0.9, isolation_max: float = 0.9) -> DataFrame:
-    """(check, value, threshold, passed): exploding, dead, synchrony, hub_dominated, isolation.
+def health(spikes: DataFrame, nodes: DataFrame, ticks: int, dt_ms: float = 0.1, max_hz: float = 100.0, sync_max: float = 0.5, gini_max: float = 0.9, isolation_max: float = 0.9, active_min: float = 0.01) -> DataFrame:
+    """(check, value, threshold, passed): exploding, dead, synchrony, hub_dominated, isolation, and sparse_activity,
+    which passes but warns, where a smaller share than active_min of the nodes is active.
 
     The Gini coefficient comes from the histogram of counts: nodes of one count take
     consecutive ranks, so their rank sum has a closed form.
@@ -36,9 +37,18 @@ def health(spikes: DataFrame, nodes: DataFrame, ticks: int, dt_ms: float = 0.1,
         F.struct(F.lit("synchrony").alias("check"), F.expr("if(total = 0, 0D, busiest / total)").alias("value"), F.lit(sync_max).alias("threshold")),
         F.struct(F.lit("hub_dominated").alias("check"), F.expr(gini).alias("value"), F.lit(gini_max).alias("threshold")),
         F.struct(F.lit("isolation").alias("check"), F.expr("1D - active / nodes").alias("value"), F.lit(isolation_max).alias("threshold")),
+        F.struct(F.lit("sparse_activity").alias("check"), F.expr("active / nodes").alias("value"), F.lit(active_min).alias("threshold")),
     )
     passed = F.when(F.col("check") == "dead", F.col("value") > 0).otherwise(F.col("value") <= F.col("threshold"))
-    return one.select(F.explode(rows).alias("c")).select("c.*").withColumn("passed", passed)
+    warned = (F.col("c.check") != "sparse_activity") | ((F.col("c.value") < F.col("c.threshold")) & (F.col("total") > 0))
+    return one.select("total", F.explode(rows).alias("c")).where(warned).select("c.*").withColumn("passed", passed)
+
+
+def key_gaps(reference: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(nid, missing_in): nodes that only one of two sets of trains has; none where they may be compared as they are."""
+    a, b = (df.select("nid").distinct().withColumn(side, F.lit(True)) for df, side in ((reference, "a"), (candidate, "b")))
+    both = a.join(b, "nid", "full").where("a is null or b is null")
+    return both.select("nid", F.when(F.col("a").isNull(), "reference").otherwise("candidate").alias("missing_in"))
 
 
 def fidelity(reference: DataFrame, candidate: DataFrame, nodes: DataFrame, ticks: int, width: int = 10) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 _RAW = """raw AS (SELECT * FROM (SELECT user_id AS pre, lead(user_id) OVER (PARTITION BY floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) ORDER BY ts, event_id) AS post,
   CASE WHEN value > 150 THEN 255 WHEN event_type = 'error' THEN 0 WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' THEN 2 WHEN event_type = 'signup' THEN 3 ELSE 4 END AS nt,
   CASE WHEN event_id % 50 = 0 THEN NULL ELSE value / 600 END AS conf, event_id FROM events) WHERE post IS NOT NULL)"""
@@ -45,21 +47,26 @@ def _below(n: str, *parts: str) -> str:
     return f"({_draw(*parts)} % ({n}))"
 
 
-def _partners(nodes: str, among: str, p: float, *key: str) -> str:
-    """(all columns of nodes, pick) of drawn partner numbers."""
-    want = f"(({among})::DOUBLE * {p}::DOUBLE)"
-    return f"""(SELECT DISTINCT * EXCLUDE (k), {_below(among, *key, "'pick'", "id", "k")} AS pick FROM
-  (SELECT *, unnest(range(0, floor({want})::BIGINT + CASE WHEN {_u(*key, "'count'", "id")} < {want} - floor({want}) THEN 1 ELSE 0 END)) AS k FROM {nodes}))"""
+def _partners(nodes: str, among: str, p: float | str, *key: str) -> str:
+    """(all columns of nodes, pick): numbers in [0, among) by skips of geometric length, in stretches of 16 / p numbers."""
+    width, slope = (f"greatest(1, ceil(16 / ({p})))", f"ln(1 - ({p}))") if isinstance(p, str) else (str(max(1, math.ceil(16 / p))), f"{math.log1p(-p)!r}::DOUBLE" if p < 1 else "")
+    skip = f"floor(ln(1 - {_u(*key, 'id', 'stretch', 'k_')}) / {slope})::BIGINT" if slope else "0"
+    return f"""(WITH RECURSIVE c_ AS (SELECT *, ({among})::BIGINT AS among_, ({width})::BIGINT AS width_ FROM {nodes}),
+  t_ AS (SELECT *, unnest(range(0, (among_ + width_ - 1) // width_)) AS stretch, 0 AS k_ FROM c_ WHERE among_ > 0),
+  s_ AS (SELECT *, {skip} AS hit_ FROM t_ UNION ALL SELECT * REPLACE (hit_ + 1 + {skip.replace('k_', '(k_ + 1)')} AS hit_, k_ + 1 AS k_) FROM s_ WHERE hit_ < least(width_, among_ - stretch * width_))
+  SELECT * EXCLUDE (among_, width_, stretch, k_, hit_), stretch * width_ + hit_ AS pick FROM s_ WHERE hit_ < least(width_, among_ - stretch * width_))"""
 
 
 _SIZE = "(n // 4 + CASE WHEN m < n % 4 THEN 1 ELSE 0 END)"
-_MODULAR = f"""(SELECT (m * (n // 4) + least(m, n % 4)) * 2 + c * {_SIZE} + src // 4 AS src, (m * (n // 4) + least(m, n % 4)) * 2 + c * {_SIZE} + tgt // 4 AS tgt
-  FROM (SELECT src, tgt, src % 4 AS m, unnest([0, 1]) AS c FROM g WHERE src % 4 = tgt % 4), n)"""
+_W = "((1 + (src + tgt) % 4) / 4.0::DOUBLE)"
+_MEAN = f"(SELECT avg({_W}) FROM g)"
+_MODULAR = f"""(SELECT (m * (n // 4) + least(m, n % 4)) * 2 + c * {_SIZE} + src // 4 AS src, (m * (n // 4) + least(m, n % 4)) * 2 + c * {_SIZE} + tgt // 4 AS tgt, w
+  FROM (SELECT {_W} AS w, src, tgt, src % 4 AS m, unnest([0, 1]) AS c FROM g WHERE src % 4 = tgt % 4), n)"""
 
 
 def _duplicated(edges: str, n: str, drop: float, rewire: float, seed: int) -> str:
-    return f"""SELECT src, CASE WHEN r < {drop}::DOUBLE + {rewire}::DOUBLE THEN {_below(f"2 * ({n})", "'rewire'", str(seed), "src", "tgt")} ELSE tgt END AS tgt, 0.25::DOUBLE AS weight
-  FROM (SELECT src, tgt, n, {_u("'duplicate'", str(seed), "src", "tgt")} AS r FROM (SELECT n, src + c * ({n}) AS src, tgt + c * ({n}) AS tgt FROM {edges}, (VALUES (0), (1)) AS v(c))) WHERE r >= {drop}::DOUBLE"""
+    return f"""SELECT src, CASE WHEN r < {drop}::DOUBLE + {rewire}::DOUBLE THEN {_below(f"2 * ({n})", "'rewire'", str(seed), "src", "tgt")} ELSE tgt END AS tgt, w AS weight
+  FROM (SELECT src, tgt, n, w, {_u("'duplicate'", str(seed), "src", "tgt")} AS r FROM (SELECT n, w, src + c * ({n}) AS src, tgt + c * ({n}) AS tgt FROM {edges}, (VALUES (0), (1)) AS v(c))) WHERE r >= {drop}::DOUBLE"""
 
 
 def _shuffled(value: str, key: str) -> str:
@@ -67,7 +74,15 @@ def _shuffled(value: str, key: str) -> str:
   JOIN (SELECT value, row_number() OVER (ORDER BY o, src, tgt) AS p FROM (SELECT src, tgt, {value} AS value, {_draw(f"'{key}'", "4", "src", "tgt")} AS o FROM g)) USING (p)"""
 
 
-_LARGE = "((n // 4 + 1) * 2)"
+_ASCII = [("—", "--"), ("–", "-"), ("→", "->"), ("µ", "u"), ("·", "-"), ("≈", "~"), ("✓", "OK"), ("✗", "X"), ("█", "#"), ("▄", "#"), ("▀", "#"), ("░", "."), ("▒", "+"), ("▓", "*")]
+
+
+def _nested(text: str, pairs: list[tuple[str, str]]) -> str:
+    for a, b in pairs:
+        text = f"replace({text}, '{a}', '{b}')"
+    return text
+
+
 _FID = """WITH {spikes}, ref AS (SELECT nid, tick FROM s WHERE tick BETWEEN 0 AND 719), cand AS ({cand}),
 c AS (SELECT id, (SELECT count(*) FROM ref WHERE nid = id) AS r, (SELECT count(*) FROM cand WHERE nid = id) AS c FROM u),
 a AS (SELECT count(*) AS n, sum(r) AS sr, sum(c) AS sc, sum(r * r) AS srr, sum(c * c) AS scc, sum(r * c) AS src, max(abs(r - c)) AS m FROM c),
@@ -92,7 +107,7 @@ _DECAY = "0.9950124791926823::DOUBLE"
 
 ORACLES: dict[str, str] = {
     "triad_census": f"WITH {_GRAPH}, {_census('SELECT * FROM g', 'SELECT id FROM u')} SELECT * FROM census",
-    "census_sources_only": f"WITH {_GRAPH}, h AS (SELECT * FROM g WHERE src % 3 <> 0), {_census('SELECT * FROM h', 'SELECT DISTINCT src AS id FROM h')} SELECT * FROM census",
+    "census_sources_only": f"WITH {_GRAPH}, h AS (SELECT DISTINCT pre AS src, post AS tgt FROM raw WHERE nt = 255 AND pre <> 0 AND post <> 0 AND pre <> post AND (conf IS NULL OR conf >= 0.05::DOUBLE)), {_census('SELECT * FROM h', 'SELECT DISTINCT src AS id FROM h')} SELECT * FROM census",
     "motif_query_top": f"WITH {_GRAPH}, {_census('SELECT * FROM g', 'SELECT id FROM u')} SELECT code, count, n_edges, n_mutual, cyclic FROM census WHERE n_edges >= 3 AND n_mutual >= 1 ORDER BY count DESC, code LIMIT 5",
     "census_part_supplier": f"WITH h AS (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000000 AS tgt FROM lineitem), {_census('SELECT * FROM h', 'SELECT src AS id FROM h UNION SELECT tgt FROM h')} SELECT code, count FROM census",
     "edge_scan_filter": f"WITH {_CLEAN} SELECT pre, post, nt, event_id FROM clean",
@@ -117,7 +132,8 @@ SELECT count(*) AS neurons, any_value(e) AS edges, max(out_deg) AS max_out_degre
 p AS (SELECT src, count(*) AS n, sum(abs(tgt - src)) AS r FROM f GROUP BY src), q AS (SELECT *, coalesce(sum(n) OVER (ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM p)
 SELECT sum(n)::BIGINT AS n, sum(r)::DOUBLE / sum(n)::DOUBLE / (SELECT greatest(greatest(max(src), max(tgt)) - least(min(src), min(tgt)), 1) FROM g) AS locality FROM q WHERE b < 2000""",
     "node_subset": f"WITH {_GRAPH}{_DEG}, k AS (SELECT id FROM d ORDER BY out_deg DESC, id LIMIT 40) SELECT src, tgt FROM g WHERE src IN (SELECT id FROM k) AND tgt IN (SELECT id FROM k)",
-    "assign_roles": f"""WITH {_RAW}, u AS (SELECT DISTINCT user_id AS id FROM events), g AS (SELECT DISTINCT pre AS src, post AS tgt FROM raw WHERE pre <> post AND pre % 5 <> 0 AND post % 7 <> 0){_DEG},
+    "assign_roles": """WITH g AS (SELECT l_orderkey AS src, l_partkey + 1000000000000 AS tgt FROM lineitem UNION SELECT l_partkey + 1000000000000, l_suppkey + 2000000000000 FROM lineitem),
+d AS (SELECT id, sum(o)::BIGINT AS out_deg, sum(i)::BIGINT AS in_deg FROM (SELECT src AS id, 1 AS o, 0 AS i FROM g UNION ALL SELECT tgt, 0, 1 FROM g) GROUP BY id),
 h AS (SELECT list_sort(list(out_deg + in_deg))[1 + least(count(*) - 1, count(*) * 90 // 100)] AS hub FROM d)
 SELECT id, CASE WHEN in_deg = 0 AND out_deg > 0 THEN 'sensory' WHEN out_deg = 0 AND in_deg > 0 THEN 'goal' WHEN hub > 0 AND out_deg + in_deg >= hub THEN 'association' ELSE 'unassigned' END AS role FROM d, h""",
     "control_hub_removed": f"WITH {_GRAPH}{_DEG}, r AS (SELECT id, row_number() OVER (ORDER BY out_deg DESC, id) AS k, count(*) OVER () AS n FROM d), k AS (SELECT id FROM r WHERE k <= greatest(1, n // 100)) SELECT src, tgt FROM g WHERE src NOT IN (SELECT id FROM k) AND tgt NOT IN (SELECT id FROM k)",
@@ -125,30 +141,36 @@ SELECT id, CASE WHEN in_deg = 0 AND out_deg > 0 THEN 'sensory' WHEN out_deg = 0
     "id_gap_stats": """WITH i AS (SELECT DISTINCT l_orderkey * 7 + l_partkey AS id FROM lineitem), p AS (SELECT id - lag(id) OVER (ORDER BY id) AS gap FROM i)
 SELECT (SELECT count(*) FROM i) AS n, list_sort(list(gap))[count(*) // 2 + 1] AS median_gap, (SELECT (max(id) - min(id))::DOUBLE / (count(*) - 1) FROM i) AS mean_gap, (SELECT count(*)::DOUBLE / (max(id) - min(id) + 1) FROM i) AS density FROM p WHERE gap IS NOT NULL""",
     "resume_anti_join": "SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')",
-    "gen_replication": f"WITH {_GRAPH}{_N} SELECT src + c * n AS src, tgt + c * n AS tgt, 0.25::DOUBLE AS weight FROM g, n, (VALUES (0), (1), (2)) AS v(c)",
-    "gen_replication_cross": f"""WITH {_GRAPH}{_N}, r AS (SELECT unnest(range(0, 3 * n)) AS id, n FROM n), x AS (SELECT id AS src, ((id // n + 1) * n + pick) % (3 * n) AS tgt FROM {_partners("r", "n * 2", 0.005, "'replicate'", "7")})
-SELECT src + c * n AS src, tgt + c * n AS tgt, 0.25::DOUBLE AS weight FROM g, n, (VALUES (0), (1), (2)) AS v(c) UNION ALL SELECT src, tgt, 0.5::DOUBLE FROM (SELECT src, tgt FROM x UNION SELECT tgt, src FROM x)""",
-    "gen_duplication": f"WITH {_GRAPH}{_N} " + _duplicated("g, n", "n", 0.1, 0.05, 3),
-    "gen_modular": f"WITH {_GRAPH}{_N} SELECT src, tgt, 0.25::DOUBLE AS weight FROM {_MODULAR}",
-    "gen_modular_inter": f"""WITH {_GRAPH}{_N}, r AS (SELECT unnest(range(0, 2 * n)) AS id, n FROM n),
-q AS (SELECT id, n, CASE WHEN id < (n % 4) * {_LARGE} THEN id // {_LARGE} ELSE n % 4 + (id - (n % 4) * {_LARGE}) // (greatest(n // 4, 1) * 2) END + 1 AS m1 FROM r),
-a AS (SELECT id, n, after FROM (SELECT *, n * 2 - (m1 * (n // 4) + least(m1, n % 4)) * 2 AS after FROM q) WHERE after > 0)
-SELECT src, tgt, 0.25::DOUBLE AS weight FROM {_MODULAR} UNION ALL SELECT id, n * 2 - after + pick, 0.5::DOUBLE FROM {_partners("a", "after", 0.02, "'modules'", "5")}""",
+    "gen_replication": f"WITH {_GRAPH}{_N} SELECT src + c * n AS src, tgt + c * n AS tgt, {_W} AS weight FROM g, n, (VALUES (0), (1), (2)) AS v(c)",
+    "gen_replication_cross": f"""WITH {_GRAPH}{_N}, r AS (SELECT unnest(range(0, 3 * n)) AS id, n FROM n), x AS (SELECT id AS src, (id // n + 1) * n + pick AS tgt FROM {_partners("r", "n * 3 - (id // n + 1) * n", 0.01, "'replicate'", "7")})
+SELECT src + c * n AS src, tgt + c * n AS tgt, {_W} AS weight FROM g, n, (VALUES (0), (1), (2)) AS v(c) UNION ALL SELECT src, tgt, {_MEAN} FROM (SELECT src, tgt FROM x UNION ALL SELECT tgt, src FROM x)""",
+    "gen_duplication": f"WITH {_GRAPH}{_N} " + _duplicated(f"(SELECT *, {_W} AS w FROM g), n", "n", 0.1, 0.05, 3),
+    "gen_modular": f"WITH {_GRAPH}{_N} SELECT src, tgt, w AS weight FROM {_MODULAR}",
+    "gen_modular_inter": f"""WITH {_GRAPH}{_N}, r AS (SELECT unnest(range(0, 2 * n)) AS id, n FROM n)
+SELECT src, tgt, w AS weight FROM {_MODULAR} UNION ALL SELECT id, id + 1 + pick, {_MEAN} FROM {_partners("r", "n * 2 - 1 - id", 0.02, "'modules'", "5")}""",
     "gen_population": f"""WITH {_GRAPH}{_N}, k AS (SELECT i, j FROM (VALUES (0), (1), (2)) AS a(i), (VALUES (0), (1), (2)) AS b(j))
-SELECT id * 3 + i AS src, id * 3 + j AS tgt, 0.5::DOUBLE AS weight FROM (SELECT unnest(range(0, n)) AS id FROM n), k WHERE i <> j UNION ALL SELECT src * 3 + i, tgt * 3 + j, 0.25::DOUBLE FROM g, k WHERE src % 10 = 0""",
+SELECT id * 3 + i AS src, id * 3 + j AS tgt, {_MEAN} AS weight FROM (SELECT unnest(range(0, n)) AS id FROM n), k WHERE i <> j UNION ALL SELECT src * 3 + i, tgt * 3 + j, {_W} FROM g, k""",
     "gen_hybrid": f"WITH {_GRAPH}{_N}, w AS (SELECT * FROM {_MODULAR}) " + _duplicated("w, n", "2 * n", 0.1, 0.1, 3),
     "gen_gnp": f"WITH {_GRAPH}{_N}, r AS (SELECT id, n FROM u, n) SELECT id AS src, (id + 1 + pick) % n AS tgt FROM {_partners('r', 'n - 1', 0.05, chr(39) + 'gnp' + chr(39), '1')}",
-    "gen_planted": f"""WITH {_GRAPH}, n AS (SELECT (max(id) + 1) // 3 * 3 AS n FROM u), r AS (SELECT id, n FROM u, n WHERE id < n)
-SELECT id AS src, (id + (pick + 1) * 3) % n AS tgt FROM {_partners("r", "n // 3 - 1", 0.08, "'in'", "1")} UNION ALL SELECT id, (id + pick // 2 * 3 + pick % 2 + 1) % n FROM {_partners("r", "n - n // 3", 0.005, "'out'", "1")}""",
-    "gen_spatial": f"""WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-q AS (SELECT a.id AS src, b.id AS tgt, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM p a JOIN p b ON a.id <> b.id),
-r AS (SELECT src, tgt, exp(-d / 0.05::DOUBLE) AS pull FROM q WHERE d <= 4.0::DOUBLE * 0.05::DOUBLE), b AS (SELECT least(1.0::DOUBLE, 4000.0::DOUBLE / sum(pull)) AS base FROM r)
-SELECT src, tgt FROM r, b WHERE {_u("'spatial'", "6", "src", "tgt")} < base * pull""",
+    "gen_gnp_certain": f"WITH {_GRAPH}{_N} SELECT a.id AS src, count(*) AS n, sum(b.id)::BIGINT AS total FROM u a JOIN u b ON a.id <> b.id GROUP BY a.id",
+    "gen_planted": f"""WITH {_GRAPH}{_N}, r AS (SELECT id, n, id % 4 AS m, n // 4 + CASE WHEN id % 4 < n % 4 THEN 1 ELSE 0 END AS size FROM u, n)
+SELECT id AS src, (pick + CASE WHEN pick >= id // 4 THEN 1 ELSE 0 END) * 4 + m AS tgt FROM {_partners("r", "size - 1", 0.08, "'in'", "1")}
+UNION ALL SELECT id, pick // 3 * 4 + pick % 3 + CASE WHEN pick % 3 >= m THEN 1 ELSE 0 END FROM {_partners("r", "n - size", 0.005, "'out'", "1")}""",
+    "gen_spatial": f"""WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), n AS (SELECT count(*) AS n FROM p),
+q AS MATERIALIZED (SELECT a.id AS src, b.id AS tgt, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM p a JOIN p b ON a.id <> b.id),
+h AS (SELECT id, (id + 1 + {_below("n - 1", "'sum'", "6", "id", "k")}) % n AS j FROM (SELECT id, n, unnest(range(0, 64)) AS k FROM p, n)),
+b AS MATERIALIZED (SELECT least(1.0::DOUBLE, 8 * n / ((SELECT sum(exp(-d / 0.05::DOUBLE)) FROM q WHERE d <= 0.2::DOUBLE) + (SELECT coalesce(sum(exp(-d / 0.05::DOUBLE)), 0) FROM h JOIN q ON src = id AND tgt = j WHERE d > 0.2::DOUBLE) * (n - 1) / 64)) AS base, n FROM n),
+r AS (SELECT id, n, base FROM p, b), f AS (SELECT id AS src, (id + 1 + pick) % n AS tgt FROM {_partners("r", "n - 1", "base * exp(-4.0::DOUBLE)", "'far'", "6")})
+SELECT src, tgt FROM q, b WHERE d <= 0.2::DOUBLE AND {_u("'spatial'", "6", "src", "tgt")} < base * exp(-d / 0.05::DOUBLE)
+UNION ALL SELECT src, tgt FROM f JOIN q USING (src, tgt) WHERE d > 0.2::DOUBLE AND {_u("'keep'", "6", "src", "tgt")} < exp((0.2::DOUBLE - d) / 0.05::DOUBLE)""",
+    "gen_motif_fill": f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), n AS (SELECT max(id) + 1 AS n FROM u), r AS (SELECT unnest(range(0, 3 * n)) AS id, n FROM n)
+SELECT id * 3 + a AS src, id * 3 + b AS tgt, 0.5::DOUBLE AS weight FROM u, (VALUES (0, 1), (1, 0), (2, 0), (1, 2)) AS e(a, b)
+UNION ALL SELECT id, id + 1 + pick, 0.5::DOUBLE FROM {_partners("r", "3 * n - 1 - id", 0.01, "'motif'", "8")}""",
     "motif_instantiate": "SELECT id * 3 + a AS src, id * 3 + b AS tgt FROM (SELECT DISTINCT user_id AS id FROM events), (VALUES (0, 1), (1, 0), (2, 0), (1, 2)) AS e(a, b)",
     "gen_random_control": f"WITH {_GRAPH} SELECT src, value AS tgt FROM ({_shuffled('tgt', 'stubs')})",
     "control_uniform": f"WITH {_GRAPH}{_N} SELECT src, {_below('n', chr(39) + 'uniform' + chr(39), '4', 'src', 'tgt')} AS tgt FROM g, n",
     "control_motif_destroyed": f"WITH {_GRAPH}{_N} SELECT src, least(greatest(src + value, 0), n - 1) AS tgt FROM ({_shuffled('tgt - src', 'spans')}), n",
-    "spike_counts": f"WITH {_SPIKES} SELECT id AS nid, (SELECT count(*) FROM s WHERE nid = id AND kind = 'error' AND tick BETWEEN 0 AND 719) AS n FROM u",
+    "spike_counts": f"WITH {_SPIKES} SELECT id AS nid, (SELECT count(*) FROM s WHERE nid = id AND tick BETWEEN 0 AND 719) AS n FROM u",
     "rate_histogram": f"WITH {_SPIKES} SELECT tick, count(*) AS n FROM s WHERE tick BETWEEN 0 AND 719 GROUP BY tick",
     "graph_health": f"""WITH {_SPIKES}, c AS (SELECT id, (SELECT count(*) FROM s WHERE nid = id AND tick BETWEEN 0 AND 719) AS n FROM u),
 r AS (SELECT n, row_number() OVER (ORDER BY n, id) AS i FROM c),
@@ -158,10 +180,34 @@ v AS (SELECT 'exploding' AS "check", t::DOUBLE / k / 0.072::DOUBLE AS value, 100
 SELECT "check", round(value, 9) AS value, threshold, CASE WHEN "check" = 'dead' THEN value > 0 ELSE value <= threshold END AS passed FROM v""",
     "fidelity": _FID.format(spikes=_SPIKES, cand="SELECT nid, tick FROM s WHERE kind <> 'error'"),
     "fidelity_shifted": _FID.format(spikes=_SPIKES, cand="SELECT nid, tick + 5 AS tick FROM s WHERE tick + 5 < 720"),
-    "fidelity_by_kind": """WITH c AS (SELECT event_type AS kind, user_id AS nid, count(*) AS n FROM events GROUP BY ALL),
-r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, nid) AS k, sum(n) OVER (PARTITION BY kind) AS total, count(*) OVER (PARTITION BY kind) AS size FROM c),
-p AS (SELECT kind, f, sum(n) * 10 >= max(total) * 6 AS ok FROM r, (VALUES (1), (2), (4), (8), (16)) AS v(f) WHERE k <= greatest(1, size // f) GROUP BY ALL)
-SELECT kind, max(f) FILTER (ok) AS least_fraction, bool_or(NOT ok) AS knee_found FROM p GROUP BY kind""",
+    "graph_health_sparse": f"""WITH {_SPIKES}, c AS (SELECT id, (SELECT count(*) FROM s WHERE nid = id AND tick BETWEEN 0 AND 11) AS n FROM u),
+r AS (SELECT n, row_number() OVER (ORDER BY n, id) AS i FROM c),
+a AS (SELECT count(*) AS k, sum(n) AS t, count(*) FILTER (n > 0) AS act, CASE WHEN sum(n) > 0 THEN 2::DOUBLE * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0::DOUBLE) / count(*) ELSE 0 END AS gini, (SELECT max(m) FROM (SELECT count(*) AS m FROM s WHERE tick < 12 GROUP BY tick)) AS busy FROM r),
+v AS (SELECT 'exploding' AS "check", t::DOUBLE / k / 0.0012::DOUBLE AS value, 100.0::DOUBLE AS threshold FROM a UNION ALL SELECT 'dead', t::DOUBLE, 1.0 FROM a UNION ALL SELECT 'synchrony', busy::DOUBLE / t::DOUBLE, 0.5 FROM a
+  UNION ALL SELECT 'hub_dominated', gini, 0.9 FROM a UNION ALL SELECT 'isolation', 1.0::DOUBLE - act::DOUBLE / k, 0.9 FROM a UNION ALL SELECT 'sparse_activity', act::DOUBLE / k, 0.999 FROM a WHERE act::DOUBLE / k < 0.999 AND t > 0)
+SELECT "check", round(value, 9) AS value, threshold, CASE WHEN "check" = 'dead' THEN value > 0 ELSE value <= threshold END AS passed FROM v""",
+    "sweep_knee": """WITH e AS (SELECT event_type AS condition, user_id AS nid FROM events UNION ALL SELECT 'real', user_id FROM events),
+c AS (SELECT condition, nid, count(*) AS n FROM e GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY condition ORDER BY n DESC, nid) AS k, sum(n) OVER (PARTITION BY condition) AS total, count(*) OVER (PARTITION BY condition) AS size FROM c),
+p AS (SELECT condition, 1.0::DOUBLE / f AS budget_fraction, greatest(1, max(size) // f)::DOUBLE / max(size) AS resident_fraction, sum(n) >= max(total) * 0.6::DOUBLE AS ok FROM r, (VALUES (1), (2), (4), (8), (16)) AS v(f) WHERE k <= greatest(1, size // f) GROUP BY condition, f),
+l AS (SELECT condition, min(resident_fraction) FILTER (ok) AS low, bool_or(NOT ok) AS failed FROM p GROUP BY condition),
+m AS (SELECT l.*, (SELECT max(budget_fraction) FROM p WHERE p.condition = l.condition AND ok AND resident_fraction = low) AS budget, (SELECT low FROM l WHERE condition = 'real') AS best, (SELECT bool_or(failed) FROM l) AS knee_found FROM l)
+SELECT condition, low AS least_resident, budget AS budget_fraction, CASE WHEN condition <> 'real' THEN low / best END AS ratio,
+  CASE WHEN condition <> 'real' AND low > best THEN 'real_wins' WHEN condition <> 'real' AND low IS NOT NULL AND best IS NOT NULL THEN 'control_ties_or_wins' END AS verdict, failed, knee_found FROM m""",
+    "train_key_gaps": f"WITH {_SPIKES}, a AS (SELECT DISTINCT nid FROM s WHERE kind = 'error' AND tick < 240), b AS (SELECT DISTINCT nid FROM s WHERE kind = 'purchase' AND tick < 240) SELECT nid, 'candidate' AS missing_in FROM a WHERE nid NOT IN (FROM b) UNION ALL SELECT nid, 'reference' FROM b WHERE nid NOT IN (FROM a)",
+    "queue_drain": f"WITH {_SPIKES} SELECT tick, row_number() OVER (PARTITION BY tick ORDER BY event_id) AS seq, event_id FROM s WHERE tick <= 100",
+    "queue_next": f"WITH {_SPIKES} SELECT count(*) AS waiting, min(tick) AS next_tick, arg_min(event_id, (tick, event_id)) AS event_id, arg_min(nid, (tick, event_id)) AS nid FROM s WHERE tick > 100",
+    "peak_resident": f"WITH {_SPIKES}, t AS (SELECT DISTINCT tick FROM s), c AS (SELECT t.tick, count(DISTINCT nid) AS resident FROM t JOIN s ON s.tick BETWEEN t.tick - 15 AND t.tick GROUP BY t.tick) SELECT tick, resident FROM c ORDER BY resident DESC, tick LIMIT 1",
+    "drive_slots": f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), n AS (SELECT 2 * (max(id) + 1) AS n FROM u), k AS (SELECT tick, unnest(range(0, 40)) AS slot, n FROM (SELECT unnest(range(0, {_HOURS})) AS tick), n),
+x AS (SELECT tick, {_below("n", "'slot'", "5", "tick", "slot")} AS nid FROM k) SELECT tick, nid, count(*) * 0.5::DOUBLE AS i FROM x WHERE nid IN (SELECT id FROM u) GROUP BY tick, nid""",
+    "closed_form": f"""SELECT event_id, round(user_id % 7 + (value / 100 - user_id % 7) * pow({_DECAY}, event_id % 50), 9) AS v, round_even(round(value, 1) / 0.1::DOUBLE, 0)::BIGINT AS tick, event_id % 10 = 2 IS FALSE AND event_id % 10 > 1 AS finite FROM events""",
+    "readable_numbers": """WITH o AS (SELECT o_orderkey, floor(o_totalprice * 100)::BIGINT AS c, ([1, 1024, 1048576, 1073741824, 1099511627776])[o_orderkey % 5 + 1] * (o_custkey % 3000) AS z, (o_orderkey % 997) * ([1e-7::DOUBLE, 1e-4::DOUBLE, 0.03::DOUBLE, 4.0::DOUBLE])[o_custkey % 4 + 1] AS s, o_orderdate FROM orders)
+SELECT o_orderkey, format('{:,}', c) AS amount, CASE WHEN z < 1024 THEN z::VARCHAR || ' B' WHEN z < 1048576 THEN format('{:.1f} KiB', z / 1024.0::DOUBLE) WHEN z < 1073741824 THEN format('{:.1f} MiB', z / 1048576.0::DOUBLE) WHEN z < 1099511627776 THEN format('{:.1f} GiB', z / 1073741824.0::DOUBLE) ELSE format('{:.1f} TiB', z / 1099511627776.0::DOUBLE) END AS size,
+  CASE WHEN s < 1e-3::DOUBLE THEN format('{:.0f} us', s * 1e6::DOUBLE) WHEN s < 1 THEN format('{:.1f} ms', s * 1e3::DOUBLE) WHEN s < 60 THEN format('{:.2f} s', s) ELSE format('{}m {:04.1f}s', floor(s / 60.0::DOUBLE)::BIGINT, s - floor(s / 60.0::DOUBLE) * 60.0::DOUBLE) END AS took, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at FROM o""",
+    "plain_texts": "SELECT doc_id, md5(regexp_replace(" + _nested("coalesce(text, '')", _ASCII) + ", '[^\\x00-\\x7F]', '?', 'g')) AS ascii, md5(" + _nested("coalesce(text, '')", [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")]) + ") AS html FROM documents",
+    "retry_hints": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN user_id::DOUBLE END AS seconds FROM events",
+    "learned_updates": f"""WITH {_SPIKES}, c AS (SELECT nid, kind, count(*) FILTER (tick < 360) AS old, count(*) FILTER (tick >= 360) AS new FROM s GROUP BY ALL), m AS (SELECT nid, kind, CASE WHEN new > 0 THEN new ELSE old END AS n FROM c)
+SELECT nid, coalesce(max(n) FILTER (kind = 'click'), 0) AS click, coalesce(max(n) FILTER (kind = 'error'), 0) AS error, coalesce(max(n) FILTER (kind = 'purchase'), 0) AS purchase, count(*) AS kinds FROM m GROUP BY nid""",
     "drive_blocks": f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), b AS (SELECT id, unnest(range(0, 15)) AS block FROM u)
 SELECT block, id AS nid FROM b WHERE {_u("'drive'", "1", "CASE WHEN least(2, block * 100 * 3 // 1500) = 1 THEN 'B' ELSE 'A' END", "id", "block")} < 0.4::DOUBLE""",
     "drive_hot_carry": f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), f AS (SELECT * FROM (SELECT id, unnest(range(0, 8)) AS block FROM u) WHERE {_u("'fresh'", "1", "id", "block")} < 0.2::DOUBLE)
@@ -180,11 +226,11 @@ f AS (SELECT id, list_reduce(list_concat([struct_pack(v := 0::DOUBLE, until := 0
   n := a.n + CASE WHEN x.t >= a.until AND x.i + (a.v - x.i) * {_DECAY} >= 1 THEN 1 ELSE 0 END, t := x.t, i := x.i)) AS r FROM l)
 SELECT id AS nid, r.n AS n_spikes, round(r.v, 9) AS v FROM f""",
     "event_order": f"WITH {_SPIKES} SELECT tick, nid, event_id, row_number() OVER (PARTITION BY tick ORDER BY event_id) AS seq FROM s",
-    "event_delivery": f"WITH {_GRAPH}, s AS (SELECT user_id AS nid, floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600)::INT + 2 AS tick FROM events WHERE event_type = 'purchase') SELECT tick, tgt AS nid, count(*) AS n FROM s JOIN g ON src = nid WHERE tick < {_HOURS} GROUP BY ALL",
+    "event_delivery": f"WITH {_GRAPH}, s AS (SELECT user_id AS nid, floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600)::INT + 2 AS tick FROM events) SELECT tick, tgt AS nid, count(*) AS n FROM s JOIN g ON src = nid WHERE tick < {_HOURS} GROUP BY ALL",
     "frontier_fold": _FRONTIER + " SELECT * FROM f",
     "frontier_states": _FRONTIER + " SELECT state, count(*) AS n, sum(evictions)::BIGINT AS evictions FROM f GROUP BY state",
     "budget_evict": f"WITH {_SPIKES}, b AS (SELECT nid, tick // 24 AS day, max(tick) AS last FROM s GROUP BY ALL) SELECT day, nid, last FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY last DESC, nid DESC) AS k FROM b) WHERE k > 20",
     "stream_window_counts": """WITH w AS (SELECT event_type, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '2024-01-01') - INTERVAL 3 HOUR * o AS start FROM events, (VALUES (0), (1)) AS v(o))
 SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL""",
-    "stream_frontier": _FRONTIER + " SELECT nid, activations, reactivations FROM f",
+    "stream_frontier": _FRONTIER + " SELECT * FROM f",
 }

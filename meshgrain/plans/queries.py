@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshgrain.functions import scalars
 from meshgrain.functions.draws import keyed_target, keyed_uniform
-from meshgrain.operators import census, dynamics, generate, structure, trains
+from meshgrain.functions.draws import virtual_ids as virtual_ids_of
+from meshgrain.operators import census, dynamics, generate, structure, sweeps, trains
 from meshgrain.operators.ranks import dense_ids
 from meshgrain.plans.oracles import ORACLES
 from meshgrain.sources import edge_files
-from meshgrain.sources.graph_views import HOURS, edge_rows, graph, raw_edges, spikes, table, users
+from meshgrain.sources.graph_views import HOURS, edge_rows, graph, hour, raw_edges, spikes, table, users
 from meshgrain.streaming import replay
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +33,9 @@ def triad_census(s, d):
 
 @query
 def census_sources_only(s, d):
-    """Over users below 100 as sources: edges to others leave the universe."""
-    return census.triad_census(graph(s, d).where("src % 3 <> 0"))
+    """Over contacts of one transmitter: users without such a contact of their own leave the universe, and edges to them go."""
+    one = edge_files.cleaned(raw_edges(s, d)).where("nt = 255")
+    return census.triad_census(one.select(F.col("pre").alias("src"), F.col("post").alias("tgt")))
 
 
 @query
@@ -129,8 +132,11 @@ def node_subset(s, d):
 
 @query
 def assign_roles(s, d):
-    one_way = graph(s, d).where("src % 5 <> 0 and tgt % 7 <> 0")
-    return structure.roles(users(s, d), one_way)
+    """Orders to parts to suppliers, their numbers set apart: sources, relays and sinks."""
+    line = table(s, d, "lineitem")
+    part, supplier = F.col("l_partkey") + 10**12, F.col("l_suppkey") + 2 * 10**12
+    edges = line.select(F.explode(F.array(F.struct(F.col("l_orderkey").alias("src"), part.alias("tgt")), F.struct(part.alias("src"), supplier.alias("tgt")))).alias("e")).select("e.*").distinct()
+    return structure.roles(edges.select(F.explode(F.array("src", "tgt")).alias("id")).distinct(), edges)
 
 
 @query
@@ -155,7 +161,8 @@ def resume_anti_join(s, d):
 
 
 def _weighted(s, d) -> DataFrame:
-    return graph(s, d).withColumn("weight", F.lit(0.25))
+    """Weights in quarters, so that their mean is the same in any order of adding."""
+    return graph(s, d).withColumn("weight", (1 + (F.col("src") + F.col("tgt")) % 4) / 4.0)
 
 
 def _n(s, d) -> int:
@@ -189,7 +196,7 @@ def gen_modular_inter(s, d):
 
 @query
 def gen_population(s, d):
-    return generate.population(_weighted(s, d).where("src % 10 = 0"), _n(s, d), 3)
+    return generate.population(_weighted(s, d), _n(s, d), 3)
 
 
 @query
@@ -204,15 +211,26 @@ def gen_gnp(s, d):
 
 @query
 def gen_planted(s, d):
-    n = _n(s, d) // 3 * 3
-    return generate.planted(users(s, d).where(F.col("id") < n), n, 3, 0.08, 0.005, seed=1)
+    return generate.planted(users(s, d), _n(s, d), 4, 0.08, 0.005, seed=1)
 
 
 @query
 def gen_spatial(s, d):
     """Points are the first two components of vectors."""
     points = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
-    return generate.spatial(points, 0.05, 4000, seed=6)
+    n = points.count()
+    return generate.spatial(points, n, 0.05, 8 * n, seed=6)
+
+
+@query
+def gen_motif_fill(s, d):
+    return generate.motif_fill(users(s, d), _n(s, d), 27, 0.01, seed=8)
+
+
+@query
+def gen_gnp_certain(s, d):
+    """With probability 1 every pair is there."""
+    return generate.gnp(users(s, d), _n(s, d), 1.0).groupBy("src").agg(F.count("*").alias("n"), F.sum("tgt").alias("total"))
 
 
 @query
@@ -237,7 +255,7 @@ def control_motif_destroyed(s, d):
 
 @query
 def spike_counts(s, d):
-    return trains.counts(spikes(s, d).where("kind = 'error'"), users(s, d), HOURS)
+    return trains.counts(spikes(s, d), users(s, d), HOURS)
 
 
 @query
@@ -265,18 +283,90 @@ def fidelity_shifted(s, d):
 
 
 @query
-def fidelity_by_kind(s, d):
-    """Share of spikes that the most active fraction of users keeps, for each kind; the least fraction that keeps 60 %."""
-    c = spikes(s, d).groupBy("kind", "nid").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
+def graph_health_sparse(s, d):
+    """The first hours alone, where not every user is active yet: the warning comes too."""
+    h = trains.health(spikes(s, d), users(s, d), 12, active_min=0.999)
+    return h.select("check", F.round("value", 9).alias("value"), "threshold", "passed")
+
+
+@query
+def sweep_knee(s, d):
+    """All events as the real condition, each kind of event as a control."""
+    each = spikes(s, d).select(F.explode(F.array(F.lit("real"), F.col("kind"))).alias("condition"), "nid")
+    return sweeps.knee(sweeps.budget_points(each))
+
+
+@query
+def train_key_gaps(s, d):
+    """Users with errors and users with purchases."""
+    all_ = spikes(s, d)
+    return trains.key_gaps(all_.where("kind = 'error' and tick < 240"), all_.where("kind = 'purchase' and tick < 240"))
+
+
+@query
+def queue_drain(s, d):
+    return dynamics.drained(dynamics.queue_order(spikes(s, d)), 100).select("tick", "seq", "event_id")
+
+
+@query
+def queue_next(s, d):
+    return dynamics.queue_head(dynamics.queue_order(spikes(s, d)), 100)
+
+
+@query
+def peak_resident(s, d):
+    return dynamics.peak_resident(spikes(s, d), 15)
+
+
+@query
+def drive_slots(s, d):
+    return dynamics.drive_slots(HOURS, 40, users(s, d), 2 * _n(s, d), 0.5, seed=5)
+
+
+@query
+def closed_form(s, d):
+    v = scalars.closed_form_voltage(F.col("value") / 100, F.col("user_id") % 7, F.col("event_id") % 50, 0.9950124791926823)
+    finite = scalars.is_finite(F.when(F.col("event_id") % 10 == 0, float("inf")).when(F.col("event_id") % 10 == 1, float("nan")).when(F.col("event_id") % 10 != 2, F.col("value")))
+    return table(s, d, "events").select("event_id", F.round(v, 9).alias("v"), scalars.ms_to_tick(F.round("value", 1)).alias("tick"), finite.alias("finite"))
+
+
+@query
+def readable_numbers(s, d):
+    o = table(s, d, "orders")
+    cents = F.floor(F.col("o_totalprice") * 100).cast("long")
+    size = F.element_at(F.array(*(F.lit(1024**k) for k in range(5))), (F.col("o_orderkey") % 5 + 1).cast("int")) * (F.col("o_custkey") % 3000)
+    seconds = (F.col("o_orderkey") % 997) * F.element_at(F.array(*map(F.lit, (1e-7, 1e-4, 0.03, 4.0))), (F.col("o_custkey") % 4 + 1).cast("int"))
+    return o.select("o_orderkey", scalars.fmt_count(cents).alias("amount"), scalars.fmt_bytes(size).alias("size"), scalars.fmt_seconds(seconds).alias("took"), scalars.iso_second(F.col("o_orderdate")).alias("at"))
+
+
+@query
+def plain_texts(s, d):
+    t = F.coalesce("text", F.lit(""))
+    return table(s, d, "documents").select("doc_id", F.md5(scalars.ascii_text(t)).alias("ascii"), F.md5(scalars.html_escape(t)).alias("html"))
+
 
-    rank = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "nid"))
-    total = F.sum("n").over(Window.partitionBy("kind"))
-    size = F.count("*").over(Window.partitionBy("kind"))
-    ranked = c.withColumns({"rank": rank, "total": total, "size": size}).withColumn("f", F.explode(F.array(*(F.lit(x) for x in (1, 2, 4, 8, 16)))))
-    point = ranked.where(F.expr("rank <= greatest(1, size div f)")).groupBy("kind", "f").agg(F.sum("n").alias("kept"), F.max("total").alias("total"))
-    point = point.withColumn("ok", F.col("kept") * 10 >= F.col("total") * 6)
-    return point.groupBy("kind").agg(F.max(F.when(F.col("ok"), F.col("f"))).alias("least_fraction"), F.bool_or(~F.col("ok")).alias("knee_found"))
+@query
+def retry_hints(s, d):
+    """Waiting times named in messages as a server sends them."""
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.format_string("429: {'Retry-After': '%d'}", "user_id")).when(k == 1, F.format_string("429 Client Error: Too Many Requests: %d", "user_id")).when(k == 2, F.format_string("retry-after=%d s", "user_id")).otherwise("timed out")
+    return table(s, d, "events").select("event_id", scalars.retry_after(text).alias("seconds"))
+
+
+@query
+def learned_updates(s, d):
+    """Counts by kind as a map of each user: of the first half of the time, then updated by the second."""
+    c = spikes(s, d).withColumn("late", F.col("tick") >= HOURS // 2).groupBy("nid", "late", "kind").agg(F.count("*").alias("n"))
+    m = lambda late: F.map_from_entries(F.collect_list(F.when(F.col("late") == late, F.struct("kind", "n"))))
+    both = c.groupBy("nid").agg(m(False).alias("old"), m(True).alias("new")).withColumn("now", scalars.map_update(F.col("old"), F.col("new")))
+    return both.select("nid", *(scalars.map_get(F.col("now"), k, F.lit(0)).alias(k) for k in ("click", "error", "purchase")), F.size("now").alias("kinds"))
+
+
+@query
+def virtual_ids(s, d):
+    """64-bit ids of orders; no SQL engine here has the hash, fixed vectors are in the tests."""
+    o = table(s, d, "orders")
+    return o.select("o_orderkey", virtual_ids_of(F.lit(3), F.col("o_custkey"), F.lit(0), F.col("o_orderkey"), 42).alias("id"))
 
 
 @query
@@ -319,7 +409,7 @@ def event_order(s, d):
 
 @query
 def event_delivery(s, d):
-    return dynamics.delivered(spikes(s, d).where("kind = 'purchase'"), graph(s, d), 2, HOURS)
+    return dynamics.delivered(spikes(s, d), graph(s, d), 2, HOURS)
 
 
 @query
@@ -344,9 +434,6 @@ def stream_window_counts(s, d):
 
 @query
 def stream_frontier(s, d):
-    """The frontier machine as keyed stream state; counters up to each node's last observation."""
-    from meshgrain.sources.graph_views import hour
-
+    """The frontier machine as keyed stream state, swept up to the last hour at the end."""
     seen = replay.stream(s, d, "events").select(F.col("user_id").alias("nid"), hour().alias("tick"))
-    end = replay.run_to_table(replay.frontier_stream(seen), "update", ["nid"])
-    return end.select("nid", "activations", "reactivations")
+    return replay.settled(replay.run_to_table(replay.frontier_stream(seen), "update", ["nid"]), HOURS)

@@ -12,8 +12,9 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from email.utils import parsedate_to_datetime
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 class Span(InputPartition):
@@ -36,7 +37,7 @@ def fetch(url: str, start: int, end: int, tries: int = 5, wait: float = 0.5, tim
                 return b""
             if attempt + 1 == tries:
                 raise OSError(f"{url} at {start}: {e}") from e
-            time.sleep(float(e.headers.get("Retry-After") or wait * (attempt + 1)))
+            time.sleep(_asked(e.headers.get("Retry-After"), wait * (attempt + 1)))
         except OSError as e:
             if attempt + 1 == tries:
                 raise OSError(f"{url} at {start}: {e}") from e
@@ -44,6 +45,18 @@ def fetch(url: str, start: int, end: int, tries: int = 5, wait: float = 0.5, tim
     return b""
 
 
+def _asked(hint: str | None, otherwise: float) -> float:
+    """Seconds that a Retry-After header asks for, as a number or as a date; else the usual wait."""
+    try:
+        return max(0.0, float(hint or ""))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(hint or "").timestamp() - time.time())
+    except (TypeError, ValueError):
+        return otherwise
+
+
 class ByteRanges(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -55,6 +68,9 @@ class ByteRanges(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return RangeReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return RangeStream(self.options)
+
 
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
@@ -62,7 +78,9 @@ class RangeReader(DataSourceReader):
 
     def partitions(self) -> list[Span]:
         with urllib.request.urlopen(urllib.request.Request(self.url, method="HEAD"), timeout=30) as answer:
-            size = int(answer.headers["Content-Length"])
+            size = int(answer.headers.get("Content-Length") or -1)
+        if size < 0:
+            raise OSError(f"{self.url} does not tell its length; it cannot be read by ranges")
         return [Span(a, min(a + self.chunk, size)) for a in range(0, size, self.chunk)] or [Span(0, 0)]
 
     def read(self, part: Span) -> Iterator[tuple[int, str]]:
@@ -86,3 +104,21 @@ class RangeReader(DataSourceReader):
             if line:
                 yield at, line.decode("utf-8")
             at += len(line) + 1
+
+
+class RangeStream(RangeReader, DataSourceStreamReader):
+    """The same lines as a stream whose offset is a byte place: a query that is started again goes on
+    where its checkpoint says. The option `start` skips bytes at the first start."""
+
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.start = max(0, int(options.get("start", 0)))
+
+    def initialOffset(self) -> dict:
+        return {"byte": self.start}
+
+    def latestOffset(self) -> dict:
+        return {"byte": max([self.start, *(p.end for p in super().partitions())])}
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        return [Span(a, min(a + self.chunk, end["byte"])) for a in range(start["byte"], end["byte"], self.chunk)]

@@ -103,3 +103,13 @@ def frontier_stream(spikes: DataFrame, activate: int = 2, quiet: int = 15, evict
         yield pd.DataFrame([[key[0], *s]], columns=["nid", *(c.split()[0] for c in STATE.split(", "))])
 
     return spikes.select("nid", "tick").groupBy("nid").applyInPandasWithState(advance, f"nid long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def settled(states: DataFrame, horizon: int, quiet: int = 15, evict: int = 60, timeout: int = 15) -> DataFrame:
+    """(nid, activations, reactivations, abandoned, quieted, evictions, state): what frontier_stream has put out, swept at
+    every tick from each node's last observation to the one before `horizon`."""
+    idle, waits = F.col("idle"), ~F.col("active") & (F.col("seen") > 0)
+    rows = states.withColumn("idle", F.lit(horizon - 1) - F.col("last")).withColumn("waited", F.lit(horizon - 1) - F.col("first"))
+    more = lambda c, when: (F.col(c) + when.cast("int")).cast("long").alias(c)
+    state = F.when(F.col("active"), F.when(idle >= evict + 1, "evicted").when(idle >= evict, "evicting").when(idle >= quiet, "quiescent").otherwise("active")).otherwise(F.when(waits & (F.col("waited") < timeout), "candidate").otherwise("dormant"))
+    return rows.select("nid", F.col("activations").cast("long").alias("activations"), F.col("reactivations").cast("long").alias("reactivations"), more("abandoned", waits & (F.col("waited") >= timeout)), more("quieted", F.col("active") & (idle >= quiet)), more("evictions", F.col("active") & (idle >= evict + 1)), state.alias("state"))

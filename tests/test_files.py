@@ -67,3 +67,13 @@ def test_sinks(spark, tmp_path):
     record = json.loads(sinks.manifest(spark.read.parquet(str(tmp_path / "t")), "t", {"floor": 0.1}, {"odd": "odd"}))
     assert (record["rows"], record["counts"], record["filters"]) == (10, {"odd": 5}, {"floor": 0.1})
     assert json.loads(sinks.report(df.agg(F.count("*").alias("n")))) == {"n": 10}
+
+
+def test_byte_ranges_as_a_stream(spark, server, tmp_path):
+    spark.dataSource.register(ByteRanges)
+    for start, lines in ((0, LINES), (sum(len(x) + 1 for x in LINES[:100]), LINES[100:])):
+        place = str(tmp_path / f"at{start}")
+        stream = spark.readStream.format("byte_ranges").option("url", server).option("chunk_bytes", 700).option("start", start).load()
+        for _ in range(2):  # the second run goes on at the checkpoint and finds nothing new
+            stream.writeStream.format("parquet").option("path", f"{place}/rows").option("checkpointLocation", f"{place}/state").trigger(once=True).start().awaitTermination(120)
+        assert [r["line"] for r in spark.read.parquet(f"{place}/rows").orderBy("offset").collect()] == lines

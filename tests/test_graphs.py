@@ -1,5 +1,5 @@
 import random
-from itertools import combinations
+from itertools import combinations, permutations
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,11 +16,22 @@ def toy(spark):
     return spark.range(12), spark.createDataFrame(TOY, "src long, tgt long").withColumn("weight", F.lit(0.5))
 
 
+def mask(edges, x, y, z):
+    return sum(1 << i for i, e in enumerate([(x, y), (y, x), (x, z), (z, x), (y, z), (z, y)]) if e in edges)
+
+
+def test_codes_are_the_least_of_all_orders():
+    pairs = [(0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1)]
+    for m in range(64):
+        edges = {e for i, e in enumerate(pairs) if m >> i & 1}
+        assert CODES[m] == min(mask(edges, *order) for order in permutations(range(3)))
+
+
 def brute(nodes, edges):
     edges, count = set(edges), {}
     for x, y, z in combinations(sorted(nodes), 3):
-        mask = sum(1 << i for i, e in enumerate([(x, y), (y, x), (x, z), (z, x), (y, z), (z, y)]) if e in edges)
-        count[CODES[mask]] = count.get(CODES[mask], 0) + 1
+        code = min(mask(edges, *order) for order in permutations((x, y, z)))
+        count[code] = count.get(code, 0) + 1
     return {0: 0, 1: 0, 3: 0} | count
 
 
@@ -66,6 +77,59 @@ def test_ranks(spark):
     assert upper_median(spark.range(6), "id").first()["id"] == 3
 
 
+def test_ranks_of_wide_and_crowded_ids(spark):
+    wide = spark.createDataFrame([(x,) for x in (-(2**63), 2**63 - 1, 0, 5)], "id long")
+    assert [r["k"] for r in dense_ids(wide, "id", "k").orderBy("id").collect()] == [0, 1, 2, 3]
+    crowded = spark.range(720 * 10**15, 720 * 10**15 + 5000).unionAll(spark.range(1))
+    got = dense_ids(crowded, "id", "k").orderBy("id").collect()
+    assert [r["k"] for r in got] == list(range(5001))
+
+
+@pytest.mark.parametrize("p", [0.003, 0.05, 0.5, 0.97])
+def test_drawn_pairs_follow_the_law_of_coins(spark, p):
+    """Number of edges and spread of out-degrees of independent coins; every pair at most once."""
+    n = 300
+    got = generate.gnp(spark.range(n), n, p, seed=5).collect()
+    assert len({tuple(r) for r in got}) == len(got) and all(r["src"] != r["tgt"] and 0 <= r["tgt"] < n for r in got)
+    pairs = n * (n - 1)
+    assert abs(len(got) - pairs * p) < 5 * (pairs * p * (1 - p)) ** 0.5
+    degree = [0] * n
+    for r in got:
+        degree[r["src"]] += 1
+    var = sum((d - len(got) / n) ** 2 for d in degree) / n
+    assert 0.6 < var / ((n - 1) * p * (1 - p)) < 1.5
+
+
+def test_sure_and_impossible_pairs(spark, toy):
+    _, edges = toy
+    assert generate.gnp(spark.range(40), 40, 1.0).count() == 40 * 39 and generate.gnp(spark.range(40), 40, 0.0).count() == 0
+    assert generate.planted(spark.range(41), 41, 4, 1.0, 1.0).distinct().count() == 41 * 40
+    inside = generate.planted(spark.range(41), 41, 4, 1.0, 0.0).collect()
+    assert len(inside) == 11 * 10 + 3 * 10 * 9 and all(r["src"] % 4 == r["tgt"] % 4 for r in inside)
+    cross = generate.replication(edges, 12, 3, 1.0).where("src div 12 <> tgt div 12")
+    assert cross.distinct().count() == 36 * 24 and {r["weight"] for r in cross.select("weight").distinct().collect()} == {0.5}
+    quarter = edges.withColumn("weight", F.lit(0.25))
+    assert {r["weight"] for r in generate.population(quarter, 12, 2).collect()} == {0.25}
+    assert {r["weight"] for r in generate.population(quarter.limit(0), 3, 2).collect()} == {0.5}
+    assert generate.modular(edges, 12, 3, 2, 1.0).count() == generate.modular(edges, 12, 3, 2).count() + 24 * 23 // 2
+    filled = generate.motif_fill(spark.range(5), 5, 25, 1.0)
+    assert filled.count() == 15 + 15 * 14 // 2 and filled.where("src >= 15 or tgt >= 15").count() == 0
+
+
+def test_spatial_edges_at_all_distances(spark):
+    r = random.Random(7)
+    points = [(i, r.random(), r.random()) for i in range(400)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    got = {tuple(e) for e in generate.spatial(df, 400, 0.1, 3000, seed=3).collect()}
+    away = lambda a, b: ((points[a][1] - points[b][1]) ** 2 + (points[a][2] - points[b][2]) ** 2) ** 0.5
+    pull = {(a, b): 2.718281828459045 ** (-away(a, b) / 0.1) for a in range(400) for b in range(400) if a != b}
+    total = sum(pull.values())
+    assert abs(len(got) - 3000) < 250
+    far = [e for e in got if away(*e) > 0.4]
+    want = 3000 * sum(v for e, v in pull.items() if away(*e) > 0.4) / total
+    assert abs(len(far) - want) < 5 * want**0.5
+
+
 def test_generators_keep_their_promises(spark, toy):
     _, edges = toy
     assert generate.replication(edges, 12, 3).count() == 48
