@@ -147,6 +147,20 @@ k AS (SELECT doc_id, len(w) AS n_words, coalesce(len(p), 0) AS n_removed,
 SELECT doc_id, n_words, n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k
 """
 
+_OP8_SQL = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT rid, c, substr(h, 2 * c + 1, 1398) AS h FROM (SELECT rid, h, unnest(range(0, len(h) // 2 - 199, 500)) AS c FROM d WHERE len(h) >= 400)),
+w AS (SELECT rid, c + s AS s, md5_number_lower(substr(h, 2 * s + 1, 400)) AS m FROM (SELECT rid, c, h, unnest(range(0, least(500, len(h) // 2 - 199))) AS s FROM c)),
+r AS (SELECT rid, s FROM w JOIN (SELECT m FROM w GROUP BY m HAVING count(*) > 1) USING (m)),
+i AS (SELECT rid, s, CASE WHEN s - lag(s) OVER (PARTITION BY rid ORDER BY s) <= 200 THEN 0 ELSE 1 END AS fresh FROM r),
+j AS (SELECT rid, s, sum(fresh) OVER (PARTITION BY rid ORDER BY s) AS k FROM i),
+u AS (SELECT rid, k, min(s) AS a, max(s) + 200 AS b FROM j GROUP BY ALL),
+p AS (SELECT rid, list_concat([0], list(b ORDER BY a)) AS lo, list(a ORDER BY a) AS hi, sum(b - a) AS n, count(*) AS c FROM u GROUP BY rid)
+SELECT doc_id, len(h) // 2 AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0) AS n_spans,
+  sha256(unhex(CASE WHEN c IS NULL THEN h ELSE array_to_string(list_transform(range(1, c + 2), lambda x: substr(h, 2 * lo[x] + 1, 2 * (coalesce(hi[x], len(h) // 2) - lo[x]))), '') END)) AS kept_sha256
+FROM d LEFT JOIN p USING (rid)
+"""
+
 _WORDS7 = r"regexp_extract_all(" + _LOW.format("text") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _OP7_SQL = rf"""
 WITH i AS (SELECT item_id::VARCHAR AS item, {_WORDS7} AS w FROM benchmark),
@@ -198,5 +212,6 @@ ORACLES: dict[str, str] = {
     "op4_secret_scan": _op4_sql(),
     "op5_substring_dedup": _OP5_SQL,
     "op7_benchmark_decontamination": _OP7_SQL,
+    "op8_suffix_array_dedup": _OP8_SQL,
     "op10_url_filter": _op10_sql(),
 }

@@ -36,7 +36,8 @@ def _matches(text: Column, kind: int, pattern: str, least: int = 0) -> Column:
         value = F.regexp_extract(p["m"], pattern, 2) if kind == 0 else p["m"]
         return F.struct(F.lit(kind).alias("kind_no"), F.length(p["gap"]).cast("long").alias("gap"), F.length(p["m"]).cast("long").alias("size"), F.when(F.length(value) >= least, F.sha2(value, 256)).alias("sha"))
 
-    return F.transform(pairs, of)
+    # most texts hold none: one scan tells
+    return F.when(text.rlike(pattern), F.transform(pairs, of)).otherwise(F.array().cast("array<struct<kind_no:int,gap:long,size:long,sha:string>>"))
 
 
 def unused(columns: list[str], name: str) -> str:
