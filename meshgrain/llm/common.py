@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,11 +39,43 @@ def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+#: Folders of stashes that this driver has made, with the session of each.
+_MADE: dict[str, SparkSession] = {}
+
+
 def stash(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage is cut and lost executors lose nothing."""
+    """df written as Parquet to the shared folder and read back: its lineage is cut and lost executors lose nothing.
+
+    Results read their stashes when they are used, so those go when the driver ends, with `drop_stashes`, or with `discard`.
+    """
     path = f"{shared_folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
+    _MADE[path] = df.sparkSession
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def discard(*stashes: DataFrame) -> None:
+    """Deletes the tables of stashes that nothing will read again."""
+    for df in stashes:
+        delete(df.sparkSession, df.stashed_at)
+        _MADE.pop(df.stashed_at, None)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system holds it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def drop_stashes() -> None:
+    """Deletes all stashes of this driver; results that still read them are lost."""
+    for path, spark in list(_MADE.items()):
+        with contextlib.suppress(Exception):  # the session may be gone, and the cluster's folder with it
+            delete(spark, path)
+        del _MADE[path]
 
 
 def labelled(labels: DataFrame) -> DataFrame:
@@ -173,8 +207,9 @@ def components(edges: DataFrame) -> DataFrame:
             labels = step.select("node", F.col("to").alias("component"))
         else:
             hop = step.select(F.col("node").alias("component"), "to")
-            labels = stash(labels.join(hop, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+            labels = stash(labels.join(hop, "component", "left").select("node", F.coalesce("to", "component").alias("component")))  # stars need one round, so few come here
         left, right = step.select(F.col("node").alias("a"), F.col("to").alias("l")), step.select(F.col("node").alias("b"), F.col("to").alias("r"))
-        edges = stash(edges.join(left, "a").join(right, "b").where("l <> r").select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct())
+        old, edges = edges, stash(edges.join(left, "a").join(right, "b").where("l <> r").select(F.least("l", "r").alias("a"), F.greatest("l", "r").alias("b")).distinct())
+        discard(old)
         if edges.isEmpty():
             return labels

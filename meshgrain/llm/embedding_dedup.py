@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meshgrain.llm.common import Batches, components, stash
+from meshgrain.llm.common import Batches, components, discard, stash
 
 SHARD_ROWS, MOST_PIVOTS, DEGREE, BEAM, SLACK = 1024, 256, 12, 12, 0.05
 #: Queries of one shard that a task takes at a time, queries searched together, entries carried to another shard.
@@ -339,7 +339,7 @@ def _assign(left: pa.Table, right: pa.Table) -> pa.Table:
 def _rounds(ready: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """(node, root, links) of all visits, round by round until no query enters another shard."""
     visits = ready.where("main").select(*_KEY, F.col("node").alias("query"), "vector", F.array().cast("array<long>").alias("entries"), F.array("shard").alias("known"))
-    found = None
+    found = done = None
     while True:
         size = visits.groupBy(*_KEY).agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
         left = ready.join(size, _KEY).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
@@ -357,7 +357,9 @@ def _rounds(ready: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame
         next_ = stash(ways.join(vectors.select(F.col("node").alias("query"), "label", "size", "vector"), "query").select("label", "size", "x.shard", "query", "vector", "x.entries", "known"))
         if next_.isEmpty():
             return found
-        visits = next_
+        if done is not None:
+            discard(done)
+        visits = done = next_
 
 
 def embedding_links(rows: DataFrame, threshold: float = 0.98, number: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS) -> DataFrame:
