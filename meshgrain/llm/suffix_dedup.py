@@ -1,10 +1,9 @@
 """Suffix-array dedup: bytes in strings of a given length that start anywhere else too are removed.
 
 Byte windows are routed to shards by anchor (anchors.py), so equal ones stand in one shard.
-A shard's suffixes are sorted by external induced sorting (induced_sort.py); neighbours whose
-common prefix is at least a window hold it more than once. Whether it is that long is
-told by rolling hashes of the two windows. Texts that are the same from end to end meet by
-their hash and enter a shard once, with their number.
+A shard's suffixes are sorted by external induced sorting (induced_sort.py), which carries the
+prefix that neighbours share: if that is at least a window, both hold it more than once.
+Texts that are the same from end to end meet by their hash and enter a shard once, with their number.
 """
 
 from __future__ import annotations
@@ -19,28 +18,30 @@ from pyspark.sql import functions as F
 
 from meshgrain.llm.anchors import Alphabet, covered, marked, route, sharded
 from meshgrain.llm.common import Batches
-from meshgrain.llm.induced_sort import suffix_array
-from meshgrain.llm.words import byte_hash, byte_sums
+from meshgrain.llm.induced_sort import array, suffixes
 
 
-def repeated(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
+def repeated(table: pa.Table, width: int, budget: int = 64 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of bytes in windows that occur more than once in the shard."""
     sizes = pc.binary_length(table["symbols"]).to_numpy().astype(np.int64)
     begin = np.r_[0, np.cumsum(sizes + 1)]  # each text is followed by a separator, 0
-    raw = np.frombuffer(b"\0".join([*table["symbols"].to_pylist(), b""]), np.uint8)
-    text = raw.astype(np.int32) + 1
-    text[begin[1:] - 1] = 0
+    text, hit = array(int(begin[-1]), np.int16, budget), array(int(begin[-1]), bool, budget)
+    at = 0
+    for batch in table.select(["symbols"]).to_batches():
+        for value in batch.column(0):
+            raw = np.frombuffer(value.as_buffer(), np.uint8)
+            text[at : at + len(raw)] = raw.astype(np.int16) + 1
+            at += len(raw) + 1
+    previous = 0
+    # a window shares `width` bytes with none that reaches into a separator, so equal windows are neighbours
+    for position, common in suffixes(text, 257, width, budget):
+        alike = np.flatnonzero(common >= width)
+        hit[position[alike]] = True
+        hit[np.r_[previous, position[:-1]][alike]] = True
+        previous = position[-1]
     windows = sizes - width + 1
     bounds = np.r_[0, np.cumsum(windows)]
     own = np.repeat(begin[:-1] - bounds[:-1], windows) + np.arange(bounds[-1])
-    is_window = np.zeros(len(text), bool)
-    is_window[own] = True
-    order = suffix_array(text, 257, width)
-    order = order[is_window[order]]
-    prefix = byte_hash(byte_sums(raw), order, order + width)
-    alike = np.r_[False, prefix[1:] == prefix[:-1]]
-    hit = np.zeros(len(text), bool)
-    hit[order] = alike | np.r_[alike[1:], False]
     yield marked(table, hit[own], bounds[:-1], width)
 
 
@@ -51,7 +52,8 @@ def suffix_dedup(docs: DataFrame, width: int = 200, gram: int = 32) -> DataFrame
     also starts anywhere else in the table is removed, in the same document or another;
     overlaps count, strings are judged on the input and never cross documents. runs are the
     maximal removed byte runs [start, end). Rows that repeat a doc_id are documents of their
-    own; a null doc_id is as good as any.
+    own; a null doc_id is as good as any. Other columns are ignored, an empty table gives an empty
+    result, and a text of any length is cut into segments that are sorted apart.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     routed = route(docs.select("uid", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "text"), Alphabet("byte", gram, width))

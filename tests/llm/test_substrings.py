@@ -4,9 +4,9 @@ import re
 import numpy as np
 import pytest
 
-from meshgrain.llm import anchors
+from meshgrain.llm import anchors, induced_sort
 from meshgrain.llm.fm_index import FMIndex
-from meshgrain.llm.induced_sort import suffix_array
+from meshgrain.llm.induced_sort import SuffixQueue, suffixes
 from meshgrain.llm.substring_dedup import digest as words_digest, substring_dedup
 from meshgrain.llm.suffix_dedup import digest as bytes_digest, suffix_dedup
 from tests.llm.data import documents, texts, words
@@ -90,12 +90,38 @@ def test_empty_tables(spark):
     assert suffix_dedup(documents(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("budget", [0, 200, 10**9])
-def test_induced_sort(budget):
+def sorted_suffixes(t, depth):
+    """Positions in falling order of the suffixes, and the prefix each shares with the one before."""
+    order = sorted(range(len(t)), key=lambda i: t[i:].tolist(), reverse=True)
+    shared = lambda a, b: next((k for k in range(depth) if max(a, b) + k >= len(t) or t[a + k] != t[b + k]), depth)
+    return order, [0] + [shared(a, b) for a, b in zip(order, order[1:], strict=False)]
+
+
+@pytest.mark.parametrize("block", [3, 1 << 15])
+@pytest.mark.parametrize("budget", [0, 2000, 10**9])
+def test_induced_sort(monkeypatch, block, budget):
+    monkeypatch.setattr(induced_sort, "BLOCK", block)
     rng = np.random.default_rng(3)
-    for _ in range(60):
-        t = rng.integers(0, rng.integers(1, 5), int(rng.integers(1, 70)))
-        assert suffix_array(t, 5, 1000, budget).tolist() == sorted(range(len(t)), key=lambda i: t[i:].tolist())
+    for i in range(60):
+        t = np.tile(rng.integers(0, rng.integers(1, 5), int(rng.integers(1, 70))), 1 + i % 3)
+        found = list(suffixes(t, 5, 1000, budget))
+        assert tuple(np.concatenate(x).tolist() for x in zip(*found, strict=True)) == sorted_suffixes(t, 1000)
+    assert list(suffixes(np.zeros(0, np.int64), 5, 9)) == []
+
+
+def test_texts_beyond_the_budget_go_to_disk(monkeypatch):
+    """Queues of 8 KB for a text whose tuples take 640 KB: runs are written and the text of names recurses."""
+    monkeypatch.setattr(induced_sort, "BLOCK", 64)
+    spills, levels = [], []
+    spill, texts_of = SuffixQueue._spill, induced_sort.Text.__init__
+    monkeypatch.setattr(SuffixQueue, "_spill", lambda self: (spills.append(self.held), spill(self)))
+    monkeypatch.setattr(induced_sort.Text, "__init__", lambda self, *a: (levels.append(len(a[0])), texts_of(self, *a))[1])
+    t = np.random.default_rng(4).integers(0, 40, 20_000)
+    t[11_000:11_900] = t[500:1_400]
+    found = list(suffixes(t, 40, 200, 8 << 10))
+    position, common = (np.concatenate(x) for x in zip(*found, strict=True))
+    assert len(spills) > 20 and max(spills) < 13 << 10 and len(levels) > 2 and levels == sorted(levels, reverse=True)
+    assert (position.tolist(), common.tolist()) == sorted_suffixes(t, 200)
 
 
 def test_backward_search():
