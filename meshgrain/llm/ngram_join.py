@@ -13,7 +13,8 @@ order into fragments, and every document's sorted set with them.
 3. Overlaps are counted one fragment at a time for the pairs found, and summed for each pair.
    After the first fragment a pair goes on only if what already differs there leaves it a chance.
 4. Where documents of one prefix n-gram are still in different components, those pairs are
-   counted too, but for those that the triangle inequality rules out; components again.
+   counted too, but for those that the triangle inequality or the parities of their sets rule
+   out; a frequent n-gram is dealt to several tasks by a salt. Components again.
 
 Only tables the size of prefixes and of candidate documents are shuffled, never texts. A set
 is held as 64-bit keys: 58 bits of hash under 6 bits of rank.
@@ -35,6 +36,8 @@ from meshgrain.llm.words import LOWER, NOT_SPACE, Words, chunks, mix, word_hash,
 GROUP = 4096
 #: In groups up to this size, documents that no other can link with through this n-gram leave at once.
 SMALL = 64
+#: Bits of a set's parity signature: how many of its n-grams fall in each of them, odd or even.
+PARITIES = 1024
 
 
 def shingles(column: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -67,6 +70,14 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
     return (n * percent + 99) // 100
 
 
+def parities(keys: np.ndarray, bound: np.ndarray) -> pa.Array:
+    """PARITIES bits for each row's set, as longs: two sets differ in at least as many n-grams as in bits."""
+    rows = len(bound) - 1
+    cell = np.repeat(np.arange(rows), np.diff(bound)) * PARITIES + (mix(keys) % np.uint64(PARITIES)).astype(np.int64)
+    odd = (np.bincount(cell, minlength=rows * PARITIES) & 1).astype(np.uint8)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(np.packbits(odd).view(np.int64)))
+
+
 def _packed(keys: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
     """A binary array of slices that follow each other in the given order."""
     sizes = (end - start).astype(np.int64)
@@ -100,9 +111,9 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, fragments: int
                 other = np.r_[np.uint64(0), np.cumsum(mix(keys ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64)]
                 keep = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
                 fp = [(x[bound[1:]] - x[bound[:-1]]).view(np.int64) for x in (total, other)]
-                yield pa.record_batch({"doc_id": batch["doc_id"].slice(lo, rows), "n": pa.array(n.astype(np.int64)), "fp1": pa.array(fp[0]), "fp2": pa.array(fp[1]), "prefix": _packed(keys, bound[:-1], bound[:-1] + keep)})
+                yield pa.record_batch({"doc_id": batch["doc_id"].slice(lo, rows), "n": pa.array(n.astype(np.int64)), "fp1": pa.array(fp[0]), "fp2": pa.array(fp[1]), "prefix": _packed(keys, bound[:-1], bound[:-1] + keep), "sign": parities(keys, bound)})
 
-    made = stash(docs.mapInArrow(prefixes, "doc_id long, n long, fp1 long, fp2 long, prefix binary"))
+    made = stash(docs.mapInArrow(prefixes, "doc_id long, n long, fp1 long, fp2 long, prefix binary, sign array<long>"))
     rep = made.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("doc"), F.first("prefix").alias("prefix"))
     groups = _groups(rep, percent)
     tried = groups.select(F.col("rep").alias("a"), F.col("doc").alias("b")).unionAll(groups.select(F.col("before").alias("a"), F.col("doc").alias("b"))).where("a is not null and a <> b")
@@ -111,7 +122,8 @@ def ngram_join(docs: DataFrame, size: int = 5, percent: int = 80, fragments: int
     counts = stash(_overlaps(tried, _parts(cut, tried), percent, fragments))
     linked = lambda counted: counted.where(f"100 * both >= {percent} * (n_a + n_b - both)").select("a", "b")
     links = stash(linked(counts))
-    more = _untested(groups, counts, components(links), tried, percent)
+    signs = made.where("n > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("doc")).agg(F.first("sign").alias("sign"))
+    more = _untested(groups, counts, components(links), tried, signs, percent)
     label = components(links.unionAll(linked(_overlaps(more, _parts(cut, more), percent, fragments))))
     copy = made.where("n > 0 and doc_id is not null").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("copy_of"))
     out = made.select("doc_id", "n", "fp1", "fp2").join(copy, ["n", "fp1", "fp2"], "left").join(label.withColumnRenamed("node", "copy_of"), "copy_of", "left")
@@ -202,25 +214,30 @@ def _inside(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(len(group)) - np.repeat(first, size), np.repeat(size, size)
 
 
-def _untested(groups: DataFrame, counts: DataFrame, label: DataFrame, tried: DataFrame, percent: int) -> DataFrame:
+def _untested(groups: DataFrame, counts: DataFrame, label: DataFrame, tried: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
     """Pairs of one prefix n-gram, of fitting sizes, in different components and not tried before.
 
     What follows the n-gram in both sets must be enough for a link: if an earlier one is shared
     too, the pair is found there. What both differ in from the document they were paired with tells that they differ at
-    least by the difference of the two numbers; pairs for which that is too much are left out.
+    least by the difference of the two numbers; pairs for which that is too much are left out, and
+    so are those whose parities differ too often. An n-gram of many documents is joined in
+    parts of GROUP documents, each with all of them.
     """
     off = counts.select(F.col("a").alias("rep"), F.col("b").alias("doc"), (F.col("n_a") + F.col("n_b") - 2 * F.col("both")).alias("off"))
     off = off.unionAll(off.select(F.col("doc").alias("rep"), F.col("rep").alias("doc"), "off"))
     named = groups.select("key", "doc", "n", "place", "rep").join(label.withColumnRenamed("node", "doc"), "doc", "left").select("key", "doc", "n", "place", "rep", F.coalesce("component", "doc").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = named.join(mixed, "key", "left_semi").join(off, ["rep", "doc"], "left")
+    mixed = named.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).where("lo < hi").select("key", F.ceil(F.col("held") / GROUP).cast("int").alias("salts"))
+    left = named.join(mixed, "key").join(off, ["rep", "doc"], "left").join(signs, "doc")
     left = stash(left.withColumn("off", F.when(F.col("rep") == F.col("doc"), 0).otherwise(F.col("off"))))
-    columns = ("doc", "n", "place", "rep", "component", "off")
-    a, b = (left.select("key", *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
+    columns = ("doc", "n", "place", "rep", "component", "off", "sign")
+    salt = {"a": F.expr("cast(pmod(xxhash64(doc), salts) as int)"), "b": F.explode(F.expr("sequence(0, salts - 1)"))}
+    a, b = (left.select("key", salt[side].alias("salt"), *(F.col(c).alias(f"{c}_{side}") for c in columns)) for side in "ab")
     fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
     rest = f"{100 + percent} * least(n_a - place_a, n_b - place_b) >= {percent} * (n_a + n_b)"
     near = f"(coalesce(rep_a <> rep_b, true) or off_a is null or off_b is null or {100 + percent} * abs(off_a - off_b) <= {100 - percent} * (n_a + n_b))"
-    pairs = a.join(b, "key").where(f"doc_a < doc_b and component_a <> component_b and {fits} and {rest} and {near}")
+    unlike = " + ".join(f"bit_count(sign_a[{i}] ^ sign_b[{i}])" for i in range(PARITIES // 64))
+    even = f"{100 + percent} * ({unlike}) <= {100 - percent} * (n_a + n_b)"
+    pairs = a.join(b, ["key", "salt"]).where(f"doc_a < doc_b and component_a <> component_b and {fits} and {rest} and {near} and {even}")
     return stash(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
 
 

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -30,6 +31,20 @@ def test_equals_brute_force(spark, monkeypatch, size, percent, group):
     assert found(nj.ngram_join(documents(spark), size, percent)) == brute(rows, size, percent)
 
 
+def test_common_passages_are_not_paired(spark, monkeypatch):
+    """Texts of 8 sentences out of 30, the last ones near copies: pairs that cannot link are not counted."""
+    rng = random.Random(7)
+    pool = [" ".join(f"s{i}w{j}" for j in range(14)) for i in range(30)]
+    rows = [(d, " ".join(rng.sample(pool, 8))) for d in range(160)]
+    rows += [(200 + d, rows[d][1] + f" end{d}") for d in range(0, 160, 5)]
+    seen, tested = [], nj._untested
+    monkeypatch.setattr(nj, "GROUP", 16)
+    monkeypatch.setattr(nj, "_untested", lambda *a: seen.append(tested(*a)) or seen[-1])
+    got = found(nj.ngram_join(documents(spark, rows), 4, 85))
+    assert got == brute(rows, 4, 85)
+    assert seen[0].count() < 400  # of 18,000
+
+
 @pytest.mark.parametrize("times", [2, 7])
 def test_repeated_rows_with_near_partners(spark, times):
     """Every row, or every third one, several times."""
