@@ -160,24 +160,30 @@ def _keyed(anchors):
 
 
 def sharded(texts: DataFrame, solve: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, most_bytes: int = 1 << 20) -> DataFrame:
-    """Runs `solve` on shards: all texts of an anchor stand in one, and a shard holds about most_bytes unless one anchor has more."""
+    """Runs `solve` on shards: all texts of an anchor stand in one, and a shard holds about most_bytes unless one anchor has more.
+
+    Spark sorts by anchor, spilling as it must, so that a worker holds one shard, not a partition.
+    """
 
     def run(batches: Batches) -> Batches:
-        got = [b for b in batches if b.num_rows]
-        if not got:
-            return
-        table = pa.Table.from_batches(got).sort_by("anchor")
-        sizes = np.cumsum(pc.binary_length(table["symbols"]).to_numpy())
-        anchor = table["anchor"].to_numpy()
-        last = np.flatnonzero(np.r_[anchor[1:] != anchor[:-1], True])
-        begin = 0
-        for i in last:
-            done = sizes[begin - 1] if begin else 0
-            if sizes[i] - done >= most_bytes or i == last[-1]:
-                yield from solve(table.slice(begin, i + 1 - begin))
-                begin = i + 1
-
-    return texts.repartition("anchor").mapInArrow(run, schema)
+        held, size, last = [], 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            anchor = batch["anchor"].to_numpy()
+            ends = np.r_[0, np.cumsum(pc.binary_length(batch["symbols"]).to_numpy(zero_copy_only=False).astype(np.int64))]
+            edges = np.flatnonzero(np.r_[bool(held) and anchor[0] != last, anchor[1:] != anchor[:-1]])
+            done = 0
+            for edge in edges:
+                if size + ends[edge] - ends[done] >= most_bytes:
+                    yield from solve(pa.Table.from_batches([*held, batch.slice(done, edge - done)]))
+                    held, size, done = [], 0, edge
+            held.append(batch.slice(done))
+            size, last = size + ends[-1] - ends[done], anchor[-1]
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    return texts.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, schema)
 
 
 def covered(parts: DataFrame) -> DataFrame:
