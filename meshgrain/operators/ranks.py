@@ -1,41 +1,65 @@
 """Ranks, prefix sums and order statistics without a single-task sort.
 
-Rows are split into ranges of the ordering key; sums over ranges are added up in two levels
-of at most 16 rows per task, and only rows of one range are sorted together.
+Rows are dealt out by ranges of the ordering key, as many ranges as the session has shuffle partitions, and sorted
+inside each. A range's rows are added up as they stream by, and the totals of the ranges, one row each, give where every range
+starts. The ranges are written once, so that both readings see the same ones.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from meshgrain.sources.stored import stash
+
+
+def running_sums(df: DataFrame, order: Sequence[str], sums: dict[str, Column], numbered: bool = False) -> DataFrame:
+    """df with one more column for each entry of sums: the sum of its value (a whole number) over all rows before, in the order of the columns.
+
+    Nulls come first. Rows alike in `order` stand in any order, but only in one range; with `numbered`, many such rows are
+    spread over ranges by their places in df, which then must be read straight from files, so that a task that runs again numbers them alike.
+    """
+    weights = {out: f"_w{i}" for i, out in enumerate(sums)}
+    rows = df.withColumns({weights[out]: value.cast("long") for out, value in sums.items()})
+    by = [F.col(c) for c in order]
+    if numbered:
+        rows = rows.withColumn("_place", F.monotonically_increasing_id())
+        by.append(F.col("_place"))
+    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).drop("_place").withColumn("_range", F.spark_partition_id())
+    schema = StructType([*ranged.schema.fields, *(StructField(out, LongType()) for out in sums)])
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sofar = dict.fromkeys(weights, 0)
+        for batch in batches:
+            made = []
+            for out, w in weights.items():
+                each = batch[w].fill_null(0).to_numpy(zero_copy_only=False)
+                upto = np.cumsum(each) + sofar[out]
+                made.append(pa.array(upto - each))
+                sofar[out] = int(upto[-1]) if len(upto) else sofar[out]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=schema.names)
 
-def _before(df: DataFrame, keys: list[str], by: str, value: str) -> Column:
-    return F.coalesce(F.sum(value).over(Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = stash(ranged.mapInArrow(add, schema))
+    totals = placed.groupBy("_range").agg(*(F.sum(w).alias(w) for w in weights.values()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range, as many as a shuffle has tasks
+    starts = totals.select("_range", *(F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_s{w}") for w in weights.values()))
+    out = placed.join(F.broadcast(starts), "_range")
+    return out.withColumns({name: F.col(name) + F.col(f"_s{w}") for name, w in weights.items()}).select(*df.columns, *sums)
 
 
 def running(df: DataFrame, key: str, ties: list[str], weight: Column, out: str) -> DataFrame:
-    """df with `out`: the sum of weight over rows before each row in the order of the column key (a number, not null), then ties."""
-    # 255 quantiles of the key, whatever its spread, found in two steps of at most 16 comparisons
-    cuts = df.agg(F.percentile_approx(key, [i / 256 for i in range(1, 256)], 10_000).alias("_cuts"))
-    over = lambda part: F.size(F.filter(part, lambda c: c <= F.col(key)))
-    rows = df.join(F.broadcast(cuts)).withColumn("_w", weight)
-    rows = rows.withColumn("_r1", over(F.array(*(F.expr(f"_cuts[{16 * i - 1}]") for i in range(1, 16)))))
-    rows = rows.withColumn("_range", F.col("_r1") * 16 + over(F.slice("_cuts", F.col("_r1") * 16 + 1, F.lit(15)))).drop("_cuts")
-    inner = rows.groupBy("_r1", "_range").agg(F.sum("_w").alias("_s"))
-    outer = inner.groupBy("_r1").agg(F.sum("_s").alias("_s"))
-    outer = outer.select(F.lit(0).alias("_all"), "_r1", "_s")
-    outer = outer.select("_r1", _before(outer, ["_all"], "_r1", "_s").alias("_b1"))
-    inner = inner.select("_r1", "_range", _before(inner, ["_r1"], "_range", "_s").alias("_b2"))
-    own = F.sum("_w").over(Window.partitionBy("_r1", "_range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_b3", F.coalesce(own, F.lit(0)))
-    rows = rows.join(F.broadcast(outer), "_r1").join(inner, ["_r1", "_range"])  # outer has 16 rows at most
-    return rows.withColumn(out, F.col("_b1") + F.col("_b2") + F.col("_b3")).drop("_r1", "_range", "_w", "_b1", "_b2", "_b3")
+    """df with `out`: the sum of weight over rows before each row in the order of the column key, then ties."""
+    return running_sums(df, [key, *ties], {out: weight})
 
 
 def dense_ids(ids: DataFrame, column: str, out: str) -> DataFrame:
     """Distinct values of a long column and their rank from 0."""
-    return running(ids.select(column).distinct(), column, [], F.lit(1), out).select(column, F.col(out).cast("long").alias(out))
+    return running(ids.select(column).where(F.col(column).isNotNull()).distinct(), column, [], F.lit(1), out).select(column, F.col(out).cast("long").alias(out))
 
 
 def upper_median(values: DataFrame, column: str) -> DataFrame:
@@ -47,5 +71,5 @@ def at_place(values: DataFrame, column: str, place: str) -> DataFrame:
     """One row: the value at a place (from 0) of the sorted values; place is an SQL expression over count_all."""
     hist = values.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
     upto = running(hist, column, [], F.col("n"), "before")
-    total = hist.agg(F.sum("n").alias("count_all"))
+    total = upto.agg(F.sum("n").alias("count_all"))
     return upto.join(F.broadcast(total)).where(f"before + n > {place}").agg(F.min(column).alias(column))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,16 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+from meshgrain.sources.stored import own_folder
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +20,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run_to_table(df: DataFrame, mode: str, keys: list[str]) -> DataFrame:
     """Runs a stream over all that is there; the last row of each key that it put out."""
-    spark, place = df.sparkSession, f"{shared_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    spark, place = df.sparkSession, own_folder(df.sparkSession, "stream")
 
     def put(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
