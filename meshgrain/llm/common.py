@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,19 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meshgrain.llm.words import mix
+from meshgrain.sources.stored import delete, discard, drop_stashes, own_folder, shared_folder, stash
 
-Batches = Iterator[pa.RecordBatch]
-
+__all__ = ["delete", "discard", "drop_stashes", "own_folder", "shared_folder", "stash"]
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset, as in local tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+Batches = Iterator[pa.RecordBatch]
 
 
 def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> None:
@@ -39,45 +27,6 @@ def text_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-#: Folders of stashes that this driver has made, with the session of each.
-_MADE: dict[str, SparkSession] = {}
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: its lineage is cut and lost executors lose nothing.
-
-    Results read their stashes when they are used, so those go when the driver ends, with `drop_stashes`, or with `discard`.
-    """
-    path = f"{shared_folder(df.sparkSession)}/stash-{uuid.uuid4().hex}"
-    _MADE[path] = df.sparkSession
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stashed_at = path
-    return out
-
-
-def discard(*stashes: DataFrame) -> None:
-    """Deletes the tables of stashes that nothing will read again."""
-    for df in stashes:
-        delete(df.sparkSession, df.stashed_at)
-        _MADE.pop(df.stashed_at, None)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Deletes a folder on whatever file system holds it."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def drop_stashes() -> None:
-    """Deletes all stashes of this driver; results that still read them are lost."""
-    for path, spark in list(_MADE.items()):
-        with contextlib.suppress(Exception):  # the session may be gone, and the cluster's folder with it
-            delete(spark, path)
-        del _MADE[path]
-
-
 def labelled(labels: DataFrame) -> DataFrame:
     """(doc_id long, label int): rows of label 0 or 1, one for each doc_id, which has its largest label."""
     known = labels.where("doc_id is not null and label in (0, 1)")

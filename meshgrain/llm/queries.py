@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshgrain.llm import decontaminate, quality, secret_scan, substring_dedup, suffix_dedup, toxicity
+from meshgrain.llm import decontaminate, quality, secret_scan, sharding, substring_dedup, suffix_dedup, token_alignment, toxicity
 from meshgrain.llm.common import text_batches
 from meshgrain.llm.embedding_dedup import embedding_links
+from meshgrain.llm.lexical_search import lexical_search
 from meshgrain.llm.mixing import mix_sources
 from meshgrain.llm.ngram_join import ngram_join
 from meshgrain.llm.url_filters import PATTERN_RULES, url_filter
@@ -66,6 +67,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", F.array_join("patterns", ",").alias("patterns"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignment_counts(_table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _LOW = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _OP1_SQL = rf"""
@@ -193,6 +206,31 @@ FROM u JOIN m USING (rid) LEFT JOIN b USING (rid)
 """
 
 
+# CRC-32: the table's entry of a byte is the byte shifted eight times; a text's value goes through it byte by byte
+_OP11_SQL = """
+WITH RECURSIVE t(v, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL SELECT v, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+m AS (SELECT list(c ORDER BY v) AS m FROM t WHERE k = 8),
+d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+b AS (SELECT doc_id, len(h) // 2 + 1 AS size, list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM d),
+c AS (SELECT doc_id, size, CASE WHEN len(b) = 0 THEN 0 ELSE xor(list_reduce(list_concat([4294967295::BIGINT], b), lambda c, x: xor(c >> 8, m[xor(c & 255, x) + 1])), 4294967295) END AS text_crc32 FROM b, m),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before, sum(size) OVER () AS total FROM c),
+s AS (SELECT *, least(7, (2 * before + size) * 8 // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size) - 1 AS slot, NULL::INT AS grown_shard FROM s
+"""
+
+_WORDS13 = r"regexp_extract_all(" + _LOW.format("text") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP13_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS13} AS w FROM documents),
+s AS (SELECT count(*) AS nn, sum(len(w))::BIGINT AS ll FROM d WHERE len(w) > 0),
+t AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM d) GROUP BY ALL),
+i AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(w) AS term FROM (SELECT item_id, {_WORDS13} AS w FROM (SELECT DISTINCT item_id, text FROM benchmark))) GROUP BY ALL),
+f AS (SELECT term, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM t, s GROUP BY term, nn),
+r AS (SELECT item_id, rid, sum(times * f.w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(d.w) * nn) // ll))))::BIGINT AS score
+  FROM i JOIN t USING (term) JOIN f USING (term) JOIN d USING (rid), s GROUP BY item_id, rid),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM r JOIN d USING (rid) WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
@@ -204,6 +242,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_quality": op9_quality,
     "op10_url_filter": op10_url_filter,
+    "op11_sharding": op11_sharding,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": _OP1_SQL,
@@ -214,4 +255,6 @@ ORACLES: dict[str, str] = {
     "op7_benchmark_decontamination": _OP7_SQL,
     "op8_suffix_array_dedup": _OP8_SQL,
     "op10_url_filter": _op10_sql(),
+    "op11_sharding": _OP11_SQL,
+    "op13_lexical_search": _OP13_SQL,
 }
