@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import struct
+from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StringType
+from pyspark.sql.types import DoubleType, LongType
 
 DIGITS = 13  # hexadecimal digits of a draw: 52 bits, exact in a double
 
@@ -31,17 +31,57 @@ def below(n: Column | int, *parts: Column | str | int) -> Column:
 
 _MASK = (1 << 64) - 1
 
-
-def keyed_int(seed: int, source: int, population: int, version: int, salt: int, domain: int) -> int:
-    """64-bit BLAKE2b of the little-endian fields <4Q2I>."""
-    raw = struct.pack("<4Q2I", seed & _MASK, source & _MASK, population & _MASK, version & _MASK, salt & 0xFFFFFFFF, domain)
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
-
-
-def virtual_id(seed: int, module: int, lineage: int, generation: int, index: int) -> int:
-    """64-bit BLAKE2b of the little-endian fields <5Q>."""
-    raw = struct.pack("<5Q", *(x & _MASK for x in (seed, module, lineage, generation, index)))
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")
+#: Fixed values of BLAKE2b: the first words of its state, the order of message words in each round, and its rotations.
+IV = (
+    0x6A09E667F3BCC908, 0xBB67AE8584CAA73B, 0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1,
+    0x510E527FADE682D1, 0x9B05688C2B3E6C1F, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179,
+)
+SIGMA = (
+    (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15),
+    (14, 10, 4, 8, 9, 15, 13, 6, 1, 12, 0, 2, 11, 7, 5, 3),
+    (11, 8, 12, 0, 5, 2, 15, 13, 10, 14, 3, 6, 7, 1, 9, 4),
+    (7, 9, 3, 1, 13, 12, 11, 14, 2, 6, 5, 10, 4, 0, 15, 8),
+    (9, 0, 5, 7, 2, 4, 10, 15, 14, 1, 11, 12, 6, 8, 3, 13),
+    (2, 12, 6, 10, 0, 11, 8, 3, 4, 13, 7, 5, 15, 14, 1, 9),
+    (12, 5, 1, 15, 14, 13, 4, 10, 0, 7, 6, 3, 9, 2, 8, 11),
+    (13, 11, 7, 14, 12, 1, 3, 9, 5, 0, 15, 4, 8, 6, 2, 10),
+    (6, 15, 14, 9, 11, 3, 0, 8, 12, 2, 13, 7, 1, 4, 10, 5),
+    (10, 2, 8, 4, 7, 6, 1, 5, 15, 11, 9, 14, 3, 12, 13, 0),
+)
+ROTATIONS = ((32, 24), (16, 63))
+ROUNDS = 12
+
+
+def half_steps() -> list[tuple[int, int, int, int, int, int, int]]:
+    """(a, b, c, d, word, r, s) of all rounds in turn: a += b + word; d = (d ^ a) >>> r; c += d; b = (b ^ c) >>> s. Columns of the 4 by 4 state come first, then diagonals."""
+    mixed = [tuple(4 * row + (column + row * shift) % 4 for row in range(4)) for shift in (0, 1) for column in range(4)]
+    return [(*cells, SIGMA[n % 10][2 * k + half], *ROTATIONS[half]) for n in range(ROUNDS) for k, cells in enumerate(mixed) for half in (0, 1)]
+
+
+def blake2b_64(words: Sequence[np.ndarray | int], size: int) -> np.ndarray:
+    """The first 64 bits of the 8-byte BLAKE2b of messages of `size` bytes, one block at most, given as little-endian 64-bit words, many messages at once."""
+    rows = max(np.size(w) for w in words)
+    message = [np.broadcast_to(np.asarray(w, np.uint64), rows) for w in words]
+    start = [IV[0] ^ 0x01010008, *IV[1:]]  # parameters: 8 bytes out, no key
+    last = [*IV[:4], IV[4] ^ size, IV[5], IV[6] ^ _MASK, IV[7]]
+    v = [np.full(rows, x, np.uint64) for x in (*start, *last)]
+    turn = lambda x, by: (x >> np.uint64(by)) | (x << np.uint64(64 - by))
+    for a, b, c, d, w, r, s in half_steps():
+        v[a] = v[a] + v[b] + message[w] if w < len(message) else v[a] + v[b]
+        v[d] = turn(v[d] ^ v[a], r)
+        v[c] = v[c] + v[d]
+        v[b] = turn(v[b] ^ v[c], s)
+    return np.uint64(start[0]) ^ v[0] ^ v[8]
+
+
+def _words(column: pd.Series) -> np.ndarray:
+    return column.to_numpy(np.int64).view(np.uint64)
+
+
+def keyed_ints(seed: int, source: pd.Series, population: int, version: int, salt: pd.Series, domain: int) -> np.ndarray:
+    """64-bit BLAKE2b of the little-endian fields <4Q2I> (seed, source, population, version, salt, domain)."""
+    tail = (_words(salt) & np.uint64(0xFFFFFFFF)) | np.uint64(domain << 32)
+    return blake2b_64([seed & _MASK, _words(source), population & _MASK, version & _MASK, tail], 40)
 
 
 def keyed_target(source: Column, salt: Column, n: int, seed: int, population: int, version: int = 0) -> Column:
@@ -49,7 +89,7 @@ def keyed_target(source: Column, salt: Column, n: int, seed: int, population: in
 
     @F.pandas_udf(LongType())
     def fold(s: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([keyed_int(seed, a, population, version, b, 0) % n for a, b in zip(s, k, strict=True)], dtype="int64")
+        return pd.Series((keyed_ints(seed, s, population, version, k, 0) % np.uint64(n)).astype(np.int64))
 
     return fold(source.cast("long"), salt.cast("long"))
 
@@ -59,16 +99,17 @@ def keyed_uniform(source: Column, salt: Column, seed: int, population: int, vers
 
     @F.pandas_udf(DoubleType())
     def scaled(s: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([keyed_int(seed, a, population, version, b, 1) / 2.0**64 for a, b in zip(s, k, strict=True)], dtype="float64")
+        return pd.Series(keyed_ints(seed, s, population, version, k, 1).astype(np.float64) / 2.0**64)
 
     return scaled(source.cast("long"), salt.cast("long"))
 
 
 def virtual_ids(module: Column, lineage: Column, generation: Column, index: Column, seed: int) -> Column:
-    """virtual_id of each row as a decimal of 20 digits, as 64 bits without a sign need; an Arrow-batched function."""
+    """64-bit BLAKE2b of the little-endian fields <5Q> (seed, module, lineage, generation, index), as a decimal of 20 digits."""
 
-    @F.pandas_udf(StringType())
+    @F.pandas_udf(LongType())
     def made(m: pd.Series, li: pd.Series, g: pd.Series, i: pd.Series) -> pd.Series:
-        return pd.Series([str(virtual_id(seed, *x)) for x in zip(m, li, g, i, strict=True)], dtype="object")
+        return pd.Series(blake2b_64([seed & _MASK, *map(_words, (m, li, g, i))], 40).view(np.int64))
 
-    return made(*(c.cast("long") for c in (module, lineage, generation, index))).cast("decimal(20,0)")
+    bits = made(*(c.cast("long") for c in (module, lineage, generation, index)))
+    return F.when(bits < 0, bits.cast("decimal(20,0)") + F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(bits.cast("decimal(20,0)")).cast("decimal(20,0)")

@@ -68,10 +68,9 @@ def html_escape(text: Column) -> Column:
 
 
 def retry_after(message: Column) -> Column:
-    """Seconds that an error message asks to wait, null if it names none."""
-    hint = F.regexp_extract(message, r"""(?i)Retry-After['"]?\s*[:=]\s*['"]?(\d+)""", 1)
-    other = F.regexp_extract(message, r"Too Many Requests:\s*(\d+)", 1)
-    return F.coalesce(F.nullif(hint, F.lit("")), F.nullif(other, F.lit(""))).cast("double")
+    """Seconds that an error message asks to wait: the number after one of the phrases, past quotes and signs of assignment; null if it names none."""
+    phrases = ("retry-after", "too many requests")
+    return F.nullif(F.regexp_extract(F.lower(message), "(?:" + "|".join(phrases) + r""")["':=\s]{0,6}(\d+)""", 1), F.lit("")).cast("double")
 
 
 def iso_second(ts: Column) -> Column:

@@ -1,7 +1,8 @@
 """Exact census of the 16 kinds of triads, without listing open ones.
 
 Only triangles need a join. Edges are oriented from the node of lower degree to that of
-higher degree before it, so no node has more than about the square root of the edges to pair.
+higher degree before it, so no node has more than about the square root of the edges to pair. Such a node's neighbours are coloured
+in blocks of about BLOCK, and each pair of colours is a key of its own, so that no task gets more than a few BLOCK * BLOCK pairs of one node.
 Open triads, single edges and empty triads follow from degrees by kind of dyad.
 """
 
@@ -20,6 +21,21 @@ CODES = (
 )
 
 
+#: Neighbours of a node that are paired as one block.
+BLOCK = 512
+
+
+def _wedges(arcs: DataFrame) -> DataFrame:
+    """(v1, v2, xy, xz): pairs v1 < v2 of each node's upper neighbours, from arcs (u, v, t). Colours of a node: one for each BLOCK of its neighbours."""
+    colours = arcs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    rows = arcs.join(colours, "u").withColumn("c", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
+    rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.select("u", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "v", "t")
+    p, q = (rows.select("u", "i", "j", F.col("c").alias(f"c{n}"), F.col("v").alias(f"v{n}"), F.col("t").alias(t)) for n, t in ((1, "xy"), (2, "xz")))
+    pairs = p.join(q, ["u", "i", "j"]).where((F.col("v1") < F.col("v2")) & (F.least("c1", "c2") == F.col("i")) & (F.greatest("c1", "c2") == F.col("j")))
+    return pairs.select("v1", "v2", "xy", "xz")
+
+
 def properties(code: int) -> tuple[int, int, bool]:
     """(edges, mutual pairs, holds a directed cycle of three) of a code."""
     bit = [code >> i & 1 for i in range(6)]
@@ -49,9 +65,7 @@ def triad_census(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     up = F.struct("da", "a") < F.struct("db", "b")
     # kinds go along as seen from u, so a triangle knows its three kinds when it is closed
     arcs = sided.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(up, F.col("t")).otherwise(flip(F.col("t"))).alias("t"))
-    p, q = arcs.select("u", F.col("v").alias("v1"), F.col("t").alias("xy")), arcs.select("u", F.col("v").alias("v2"), F.col("t").alias("xz"))
-    wedge = p.join(q, "u").where("v1 < v2").select("v1", "v2", "xy", "xz")
-    tri = wedge.join(dyads.select(F.col("a").alias("v1"), F.col("b").alias("v2"), F.col("t").alias("yz")), ["v1", "v2"]).groupBy("xy", "xz", "yz").agg(F.count("*").alias("n"))
+    tri = _wedges(arcs).join(dyads.select(F.col("a").alias("v1"), F.col("b").alias("v2"), F.col("t").alias("yz")), ["v1", "v2"]).groupBy("xy", "xz", "yz").agg(F.count("*").alias("n"))
 
     comb3 = F.expr("cast(cast(n as decimal(38,0)) * (n - 1) * (n - 2) / 6 as decimal(38,0))")
     sums = degree.agg(

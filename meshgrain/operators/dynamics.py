@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meshgrain.functions.draws import below, uniform
-from meshgrain.operators.ranks import running
+from meshgrain.operators.ranks import places, running
 
 
 def currents(spikes: DataFrame, ticks: int, each: float) -> DataFrame:
@@ -59,7 +59,7 @@ def delivered(spikes: DataFrame, edges: DataFrame, delay: int, ticks: int) -> Da
 
 def queue_order(events: DataFrame) -> DataFrame:
     """events (tick, nid, event_id) with seq: first in, first out within each tick."""
-    return events.withColumn("seq", F.row_number().over(Window.partitionBy("tick").orderBy("event_id")))
+    return places(events, ["tick"], ["event_id"], "seq").withColumn("seq", (F.col("seq") + 1).cast("int"))
 
 
 def drained(queue: DataFrame, upto: int) -> DataFrame:
@@ -147,9 +147,59 @@ def frontier(observations: DataFrame, horizon: int, quiet: int = 15, evict: int
     )
 
 
+def _stays(observations: DataFrame, horizon: int, quiet: int, evict: int, timeout: int) -> DataFrame:
+    """(nid, tick, before, after, rest): the state in which each tick with observations finds and leaves a node that activates on its second
+    observation, and the ticks until the next such tick, or until the horizon.
+
+    Observations of a node in one tick are counted first, so a node that is seen very often has a row for each tick at most.
+    """
+    if timeout > evict + 1:
+        raise ValueError("timeout must not exceed evict + 1")
+    w = Window.partitionBy("nid").orderBy("tick")
+    rows = observations.groupBy("nid", "tick").agg(F.count("*").alias("n")).withColumn("gap", F.col("tick") - F.lag("tick").over(w))
+    # one observation sets a node that was out to candidate, one soon after it, or two at once, to active; others leave it as it was
+    decisive = F.when(F.col("n") > 1, 1).when(F.col("gap").isNull() | (F.col("gap") >= evict + 2), 0).when(F.col("gap") <= timeout, 1)
+    rows = rows.withColumn("set", decisive).withColumn("active", F.last("set", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("was", F.lag("active").over(w)).withColumn("rest", F.coalesce(F.lead("tick").over(w), F.lit(horizon)) - F.col("tick"))
+    waited = F.expr(f"""case when was is null then 'dormant' when was = 0 then if(gap - 1 >= {timeout}, 'dormant', 'candidate')
+        when gap - 1 >= {evict + 1} then 'evicted' when gap - 1 >= {evict} then 'evicting' when gap - 1 >= {quiet} then 'quiescent' else 'active' end""")
+    return rows.select("nid", "tick", waited.alias("before"), F.when(F.col("active") == 1, "active").otherwise("candidate").alias("after"), "rest")
+
+
+def frontier_transitions(observations: DataFrame, horizon: int, quiet: int = 15, evict: int = 60, timeout: int = 15) -> DataFrame:
+    """(nid, tick, step, from_state, to_state, cause): every change of state before the horizon, by an observation or by the sweep at the end of a tick.
+
+    step orders the changes of a node in one tick. A gap between two ticks with observations tells which sweeps changed something in it, so gaps become timed rows.
+    """
+    stays = _stays(observations, horizon, quiet, evict, timeout)
+    change = lambda when, tick, step, old, new, cause: F.when(when, F.struct(tick.cast("int").alias("tick"), F.lit(step).alias("step"), old.alias("from_state"), new.alias("to_state"), F.lit(cause).alias("cause")))
+    out, lit = F.col("before").isin("dormant", "evicted"), F.lit
+    active = F.col("after") == "active"
+    after = lambda ticks: F.col("tick") + ticks
+    left = lambda ticks: F.col("rest") > ticks
+    changes = F.array(
+        change(out, F.col("tick"), 0, F.col("before"), lit("candidate"), "observed"),
+        change(active & out, F.col("tick"), 1, lit("candidate"), lit("active"), "observed"),
+        change(active & ~out & (F.col("before") != "active"), F.col("tick"), 0, F.col("before"), lit("active"), "observed"),
+        change(~active & left(timeout), after(timeout), 0, lit("candidate"), lit("dormant"), "swept"),
+        change(active & left(quiet), after(quiet), 0, lit("active"), lit("quiescent"), "swept"),
+        change(active & left(evict), after(evict), 0, lit("quiescent"), lit("evicting"), "swept"),
+        change(active & left(evict + 1), after(evict + 1), 0, lit("evicting"), lit("evicted"), "swept"),
+    )
+    return stays.select("nid", F.explode(F.array_compact(changes)).alias("c")).select("nid", "c.*")
+
+
+def frontier_residency(observations: DataFrame, horizon: int, quiet: int = 15, evict: int = 60, timeout: int = 15) -> DataFrame:
+    """(nid, resident_ticks, eviction_requests): ends of ticks at which a node held resident state, and how often it was to be evicted."""
+    stays = _stays(observations, horizon, quiet, evict, timeout)
+    active = F.col("after") == "active"
+    held = F.when(active, F.least(F.col("rest"), F.lit(evict + 2))).otherwise(0)  # the sweep that evicts it still finds it resident
+    return stays.groupBy("nid").agg(F.sum(held).cast("long").alias("resident_ticks"), F.count_if(active & (F.col("rest") > evict)).alias("eviction_requests"))
+
+
 def stalest(observations: DataFrame, budget: int) -> DataFrame:
     """(day, nid, last): of the nodes seen in each day of 24 ticks, those that a budget of resident
     nodes turns out at its end: the longest idle first, ties to the smaller id."""
     seen = observations.groupBy("nid", F.expr("tick div 24").alias("day")).agg(F.max("tick").alias("last"))
-    rank = F.row_number().over(Window.partitionBy("day").orderBy(F.desc("last"), F.desc("nid")))
-    return seen.withColumn("rank", rank).where(F.col("rank") > budget).select("day", "nid", "last")
+    rank = places(seen.withColumn("_order", -F.col("last")).withColumn("_id", -F.col("nid")), ["day"], ["_order", "_id"], "rank")
+    return rank.where(F.col("rank") >= budget).select("day", "nid", "last")

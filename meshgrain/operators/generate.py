@@ -1,9 +1,9 @@
 """Scaled and null-model graphs from keyed draws.
 
 Nodes of a source graph are 0..n-1 (operators.ranks.dense_ids makes them so); edges are
-(src, tgt, weight). No generator looks at all pairs of nodes: where a pair exists with probability p,
+(src, tgt, weight), but for the controls, which rewire (src, tgt). No generator looks at all pairs of nodes: where a pair exists with probability p,
 every node goes through its possible partners in skips of geometric length, which is the law of one coin
-for each pair at the work of the edges made. Drawn edges have the mean weight of the source graph.
+for each pair at the work of the edges made. Drawn edges have the mean weight of the source graph, those of graphs without a source a drawn one.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshgrain.functions.draws import below, draw, uniform
-from meshgrain.operators.ranks import running
+from meshgrain.operators.ranks import nearest, running
 
 #: Weight of drawn edges where the source graph has no edges.
 NO_WEIGHT = 0.5
@@ -22,6 +22,14 @@ NO_WEIGHT = 0.5
 HITS, SKIPS = 16, 128
 
 
+def _checked(positive: dict[str, float] | None = None, **chances: float) -> None:
+    """Raises one ValueError for numbers that are not positive or chances that are not in [0, 1]."""
+    wrong = [f"{k} must be positive, not {v}" for k, v in (positive or {}).items() if not v > 0]
+    wrong += [f"{k} must be in [0, 1], not {v}" for k, v in chances.items() if not 0 <= v <= 1]
+    if wrong:
+        raise ValueError("; ".join(wrong))
+
+
 def mean_weight(edges: DataFrame) -> DataFrame:
     """One row, `mean`: the mean weight of the edges."""
     return edges.agg(F.coalesce(F.avg("weight"), F.lit(NO_WEIGHT)).alias("mean"))
@@ -62,6 +70,7 @@ def copies(edges: DataFrame, n: int, times: int) -> DataFrame:
 
 def replication(edges: DataFrame, n: int, times: int, p_cross: float = 0.0, seed: int = 0) -> DataFrame:
     """Tiles; each pair of nodes of different tiles is joined both ways with probability p_cross."""
+    _checked({"times": times}, p_cross=p_cross)
     out = copies(edges, n, times)
     if p_cross <= 0:
         return out
@@ -74,6 +83,7 @@ def replication(edges: DataFrame, n: int, times: int, p_cross: float = 0.0, seed
 
 def duplication(edges: DataFrame, n: int, p_drop: float = 0.1, p_rewire: float = 0.05, seed: int = 0) -> DataFrame:
     """Two tiles whose edges are dropped, or sent to a drawn node of either tile."""
+    _checked(p_drop=p_drop, p_rewire=p_rewire, both=p_drop + p_rewire)
     twice = copies(edges, n, 2)
     r = uniform("duplicate", seed, F.col("src"), F.col("tgt"))
     tgt = F.when(F.col("r") < p_drop + p_rewire, below(2 * n, "rewire", seed, F.col("src"), F.col("tgt"))).otherwise(F.col("tgt"))
@@ -86,6 +96,7 @@ def modular(edges: DataFrame, n: int, modules: int, times: int, p_inter: float =
 
     Node (module m, copy c, place i) is base(m) + c * size(m) + i, modules one after another.
     """
+    _checked({"modules": modules, "times": times}, p_inter=p_inter)
     size = lambda m: F.expr(f"{n} div {modules}") + (m < n % modules).cast("int")
     base = lambda m: m * F.expr(f"{n} div {modules}") + F.least(m, F.lit(n % modules))
     inner = edges.where(F.pmod("src", F.lit(modules)) == F.pmod("tgt", F.lit(modules))).withColumn("m", F.pmod("src", F.lit(modules)))
@@ -98,40 +109,49 @@ def modular(edges: DataFrame, n: int, modules: int, times: int, p_inter: float =
     return out.unionAll(_with_mean(later.select(F.col("id").alias("src"), (F.col("id") + 1 + F.col("pick")).alias("tgt")), edges))
 
 
-def population(edges: DataFrame, n: int, size: int, p_intra: float = 1.0, p_inter: float = 1.0, seed: int = 0) -> DataFrame:
-    """Every node becomes `size` members: drawn edges inside, and of every edge's member pairs those drawn."""
-    members = F.sequence(F.lit(0), F.lit(size - 1))
-    pairs = lambda df: df.withColumn("i", F.explode(members)).withColumn("j", F.explode(members))
-    intra = pairs(edges.sparkSession.range(n)).where("i <> j").where(uniform("intra", seed, F.col("id"), F.col("i"), F.col("j")) < p_intra)
-    inter = pairs(edges).where(uniform("inter", seed, F.col("src"), F.col("tgt"), F.col("i"), F.col("j")) < p_inter)
-    return _with_mean(intra.select((F.col("id") * size + F.col("i")).alias("src"), (F.col("id") * size + F.col("j")).alias("tgt")), edges).unionAll(
-        inter.select((F.col("src") * size + F.col("i")).alias("src"), (F.col("tgt") * size + F.col("j")).alias("tgt"), "weight")
-    )
+def population(edges: DataFrame, n: int, size: int = 5, p_intra: float = 0.5, p_inter: float = 0.3, seed: int = 0) -> DataFrame:
+    """Every node becomes `size` members, each joined to each other of its node with probability p_intra; every edge is
+    handed on, with its weight, to each pair of members of its ends with probability p_inter."""
+    _checked({"size": size}, p_intra=p_intra, p_inter=p_inter)
+    inside = partners(edges.sparkSession.range(n * size), F.lit(size - 1), p_intra, "intra", seed)
+    own = F.col("id") % size
+    intra = inside.select(F.col("id").alias("src"), (F.col("id") - own + F.col("pick") + (F.col("pick") >= own).cast("int")).alias("tgt"))
+    pairs = partners(edges.withColumn("id", F.concat_ws(":", "src", "tgt")), F.lit(size * size), p_inter, "inter", seed)
+    inter = pairs.select((F.col("src") * size + F.expr(f"pick div {size}")).alias("src"), (F.col("tgt") * size + F.col("pick") % size).alias("tgt"), "weight")
+    return _with_mean(intra, edges).unionAll(inter)
+
 
+def hybrid(edges: DataFrame, n: int, modules: int = 2, times: int = 2, p_drop: float = 0.05, p_inter: float = 0.01, seed: int = 0) -> DataFrame:
+    """Modular growth with links between modules, then duplication with as many rewired as dropped."""
+    return duplication(modular(edges, n, modules, times, p_inter, seed), n * times, p_drop, p_drop, seed + 1)
 
-def hybrid(edges: DataFrame, n: int, modules: int, times: int, p_drop: float = 0.1, seed: int = 0) -> DataFrame:
-    """Modular growth, then duplication with as many rewired as dropped."""
-    return duplication(modular(edges, n, modules, times, seed=seed), n * times, p_drop, p_drop, seed + 1)
 
+def drawn_weight(low: float, high: float, seed: int) -> Column:
+    """A weight in [low, high) for the edge src, tgt."""
+    return F.lit(low) + uniform("edge weight", seed, F.col("src"), F.col("tgt")) * F.lit(high - low)
 
-def gnp(nodes: DataFrame, n: int, p: float, seed: int = 0) -> DataFrame:
-    """Each directed edge between two different nodes (id in 0..n-1) with probability p."""
+
+def gnp(nodes: DataFrame, n: int, p: float, seed: int = 0, low: float = 0.2, high: float = 0.8) -> DataFrame:
+    """Each directed edge between two different nodes (id in 0..n-1) with probability p, and a drawn weight in [low, high)."""
+    _checked({"n": n, "width": high - low}, p=p)
     other = partners(nodes, F.lit(n - 1), p, "gnp", seed)
-    return other.select(F.col("id").alias("src"), F.pmod(F.col("id") + 1 + F.col("pick"), F.lit(n)).alias("tgt"))
+    ends = other.select(F.col("id").alias("src"), F.pmod(F.col("id") + 1 + F.col("pick"), F.lit(n)).alias("tgt"))
+    return ends.withColumn("weight", drawn_weight(low, high, seed))
 
 
-def planted(nodes: DataFrame, n: int, modules: int, p_in: float, p_out: float, seed: int = 0) -> DataFrame:
+def planted(nodes: DataFrame, n: int, modules: int, p_in: float, p_out: float, seed: int = 0, low: float = 0.2, high: float = 0.8) -> DataFrame:
     """As gnp, with p_in inside a module (id mod modules) and p_out between modules."""
+    _checked({"n": n, "modules": modules, "nodes in each module": n // max(modules, 1), "width": high - low}, p_in=p_in, p_out=p_out)
     rows = nodes.select("id").withColumn("m", F.pmod("id", F.lit(modules)))
     size = F.expr(f"{n} div {modules}") + (F.col("m") < n % modules).cast("int")
     own = F.expr(f"id div {modules}")
-    inside = partners(rows, size - 1, p_in, "in", seed).select(F.col("id").alias("src"), ((F.col("pick") + (F.col("pick") >= own).cast("int")) * modules + F.col("m")).alias("tgt"))
-    if modules < 2:
-        return inside
-    # of `modules` ids in a row, all but one are of other modules
-    turn = F.pmod("pick", F.lit(modules - 1))
-    outside = partners(rows, n - size, p_out, "out", seed).select(F.col("id").alias("src"), (F.expr(f"pick div {modules - 1} * {modules}") + turn + (turn >= F.col("m")).cast("int")).alias("tgt"))
-    return inside.unionAll(outside)
+    out = partners(rows, size - 1, p_in, "in", seed).select(F.col("id").alias("src"), ((F.col("pick") + (F.col("pick") >= own).cast("int")) * modules + F.col("m")).alias("tgt"))
+    if modules > 1:
+        # of `modules` ids in a row, all but one are of other modules
+        turn = F.pmod("pick", F.lit(modules - 1))
+        outside = partners(rows, n - size, p_out, "out", seed).select(F.col("id").alias("src"), (F.expr(f"pick div {modules - 1} * {modules}") + turn + (turn >= F.col("m")).cast("int")).alias("tgt"))
+        out = out.unionAll(outside)
+    return out.withColumn("weight", drawn_weight(low, high, seed))
 
 
 def motif_edges(code: int) -> list[tuple[int, int]]:
@@ -148,6 +168,7 @@ def stamped(instances: DataFrame, code: int) -> DataFrame:
 def motif_fill(instances: DataFrame, n: int, code: int, p_inter: float = 0.01, weight: float = 0.5, seed: int = 0) -> DataFrame:
     """(src, tgt, weight): the triad of a code for each instance number in 0..n-1, and an edge from each node that
     has edges in it to each later such node with probability p_inter."""
+    _checked({"n": n, "code": code}, p_inter=p_inter)
     own = sorted({a for a, _ in motif_edges(code)})
     m = len(own)
     node = lambda i: F.expr(f"{i} div {m}") * 3 + F.element_at(F.array(*map(F.lit, own)), (F.expr(f"{i} % {m}") + 1).cast("int"))
@@ -165,8 +186,8 @@ def _shuffled(edges: DataFrame, value: Column, *key: str | int) -> DataFrame:
 
 
 def random_control(edges: DataFrame, seed: int = 0) -> DataFrame:
-    """Configuration model: out-degrees and the multiset of targets stay, who meets whom is drawn."""
-    return _shuffled(edges, F.col("tgt"), "stubs", seed).withColumnRenamed("value", "tgt")
+    """Configuration model: out-degrees and the multiset of targets stay, who meets whom is drawn; all edges have the mean weight."""
+    return _with_mean(_shuffled(edges, F.col("tgt"), "stubs", seed).withColumnRenamed("value", "tgt"), edges)
 
 
 def uniform_targets(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -174,20 +195,24 @@ def uniform_targets(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return edges.select("src", below(n, "uniform", seed, F.col("src"), F.col("tgt")).alias("tgt"))
 
 
-def motif_destroyed(edges: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """Out-degrees and the multiset of spans stay as far as ids 0..n-1 allow; a span that leaves them ends at the nearest id."""
-    moved = _shuffled(edges, F.col("tgt") - F.col("src"), "spans", seed)
-    return moved.select("src", F.least(F.greatest(F.col("src") + F.col("value"), F.lit(0)), F.lit(n - 1)).alias("tgt"))
+def motif_destroyed(edges: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
+    """Out-degrees and, as far as the ids allow, the multiset of spans stay: a span that leads to no node ends at the nearest one, the smaller of two as near.
+
+    nodes: id, any whole numbers.
+    """
+    moved = _shuffled(edges, F.col("tgt") - F.col("src"), "spans", seed).select("src", (F.col("src") + F.col("value")).alias("end"))
+    return moved.join(nearest(moved, "end", nodes, "tgt"), "end").select("src", "tgt")
 
 
-def spatial(points: DataFrame, n: int, length: float, edges: float, reach: float = 4.0, draws: int = 64, seed: int = 0) -> DataFrame:
-    """(src, tgt) between points (id in 0..n-1, x, y), likelier the nearer they are: probability base * exp(-distance / length).
+def spatial(points: DataFrame, n: int, length: float, edges: float, reach: float = 4.0, draws: int = 64, seed: int = 0, source: DataFrame | None = None) -> DataFrame:
+    """(src, tgt, weight) between points (id in 0..n-1, x, y), likelier the nearer they are: probability base * exp(-distance / length).
 
     base is set so that about `edges` are expected, one at most per ordered pair. Pairs within `reach` lengths meet in
     grid cells of that size, with a coin each. No farther pair is likelier than base * e**-reach: candidates
     are drawn at that rate and kept at the rest of their probability, which is exact. The sum that sets base
-    is exact for near pairs; for the far ones `draws` partners of each point stand for all.
+    is exact for near pairs; for the far ones `draws` partners of each point stand for all. Edges have the mean weight of `source`.
     """
+    _checked({"length": length, "reach": reach, "draws": draws})
     far = reach * length
     cell = points.withColumn("cx", F.floor(F.col("x") / far)).withColumn("cy", F.floor(F.col("y") / far))
     near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
@@ -204,4 +229,5 @@ def spatial(points: DataFrame, n: int, length: float, edges: float, reach: float
     close = pairs.where(uniform("spatial", seed, F.col("src"), F.col("tgt")) < base * pull).select("src", "tgt")
     drawn = partners(points.select("id"), F.lit(n - 1), base * math.exp(-reach), "far", seed).select(F.col("id").alias("src"), other(F.col("pick")).alias("tgt"))
     kept = ends(drawn).where(uniform("keep", seed, F.col("src"), F.col("tgt")) < F.exp((far - F.col("distance")) / length))
-    return close.unionAll(kept.select("src", "tgt"))
+    out = close.unionAll(kept.select("src", "tgt"))
+    return out.withColumn("weight", F.lit(NO_WEIGHT)) if source is None else _with_mean(out, source)

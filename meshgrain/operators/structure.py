@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meshgrain.operators.ranks import at_place, upper_median
+from meshgrain.operators.ranks import at_place, next_in_order, upper_median
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -86,19 +86,9 @@ def roles(nodes: DataFrame, edges: DataFrame, percent: int = 90) -> DataFrame:
 
 
 def id_gaps(nodes: DataFrame) -> DataFrame:
-    """One row: mean and upper median of the gaps between consecutive ids, and how densely they fill their range.
-
-    Gaps inside ranges of ids come from a window over each range, gaps between ranges from their ends.
-    """
-    ids = nodes.select("id").distinct().withColumn("part", F.expr("id div 4096"))
-    inside = ids.select((F.col("id") - F.lag("id").over(Window.partitionBy("part").orderBy("id"))).alias("gap"))
-    ends = ids.groupBy("part").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
-    # the range after, in blocks of ranges; a second step joins the blocks
-    ends = ends.withColumn("block", F.expr("part div 4096"))
-    near = ends.select((F.col("lo") - F.lag("hi").over(Window.partitionBy("block").orderBy("part"))).alias("gap"))
-    outer = ends.groupBy("block").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    far = outer.select((F.col("lo") - F.lag("hi").over(Window.orderBy("block"))).alias("gap"))
-    gaps = inside.unionAll(near).unionAll(far).where("gap is not null")
+    """One row: mean and upper median of the gaps between consecutive ids, and how densely they fill their range."""
+    ids = next_in_order(nodes.select("id").distinct(), ["id"], "id", "after")
+    gaps = ids.select((F.col("after") - F.col("id")).alias("gap")).where("gap is not null")
     total = ids.agg(F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"))
     middle = upper_median(gaps, "gap").withColumnRenamed("gap", "median_gap")
-    return total.join(F.broadcast(middle)).select("n", "median_gap", F.expr("if(n > 1, (hi - lo) / (n - 1), 0D)").alias("mean_gap"), F.expr("n / (hi - lo + 1)").alias("density"))
+    return total.join(F.broadcast(middle), how="left").select("n", "median_gap", F.expr("if(n > 1, (hi - lo) / (n - 1), 0D)").alias("mean_gap"), F.expr("n / (hi - lo + 1)").alias("density"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meshgrain.operators.ranks import running
+
 
 def counts(spikes: DataFrame, nodes: DataFrame, ticks: int) -> DataFrame:
     """(nid, n) of every node, zeros included."""
@@ -25,8 +27,7 @@ def health(spikes: DataFrame, nodes: DataFrame, ticks: int, dt_ms: float = 0.1,
     """
     c = counts(spikes, nodes, ticks)
     hist = c.groupBy("n").agg(F.count("*").alias("k"))
-    below = F.coalesce(F.sum("k").over(Window.orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    weighted = hist.withColumn("below", below).agg(F.sum("k").alias("nodes"), F.sum(F.col("n") * F.col("k")).alias("total"), F.coalesce(F.sum(F.expr("case when n > 0 then k end")), F.lit(0)).alias("active"), F.sum(F.expr("n * (k * below + k * (k + 1) div 2)")).alias("ranked"))
+    weighted = running(hist, "n", [], F.col("k"), "below").agg(F.sum("k").alias("nodes"), F.sum(F.col("n") * F.col("k")).alias("total"), F.coalesce(F.sum(F.expr("case when n > 0 then k end")), F.lit(0)).alias("active"), F.sum(F.expr("n * (k * below + k * (k + 1) div 2)")).alias("ranked"))
     busiest = tick_histogram(spikes, ticks).agg(F.coalesce(F.max("n"), F.lit(0)).alias("busiest"))
     one = weighted.join(F.broadcast(busiest))
     seconds = ticks * dt_ms / 1000.0

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-_RAW = """raw AS (SELECT * FROM (SELECT user_id AS pre, lead(user_id) OVER (PARTITION BY floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 3600) ORDER BY ts, event_id) AS post,
+from meshgrain.functions.draws import IV, half_steps
+
+_RAW = """raw AS (SELECT * FROM (SELECT user_id AS pre, lead(user_id) OVER (ORDER BY ts, event_id) AS post,
   CASE WHEN value > 150 THEN 255 WHEN event_type = 'error' THEN 0 WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' THEN 2 WHEN event_type = 'signup' THEN 3 ELSE 4 END AS nt,
   CASE WHEN event_id % 50 = 0 THEN NULL ELSE value / 600 END AS conf, event_id FROM events) WHERE post IS NOT NULL)"""
 _CLEAN = _RAW + ", clean AS (SELECT * FROM raw WHERE pre <> 0 AND post <> 0 AND pre <> post AND (conf IS NULL OR conf >= 0.05::DOUBLE))"
@@ -74,6 +76,8 @@ def _shuffled(value: str, key: str) -> str:
   JOIN (SELECT value, row_number() OVER (ORDER BY o, src, tgt) AS p FROM (SELECT src, tgt, {value} AS value, {_draw(f"'{key}'", "4", "src", "tgt")} AS o FROM g)) USING (p)"""
 
 
+_DRAWN = f"""(0.2::DOUBLE + {_u("'edge weight'", "1", "src", "tgt")} * (0.8::DOUBLE - 0.2::DOUBLE))"""
+
 _ASCII = [("—", "--"), ("–", "-"), ("→", "->"), ("µ", "u"), ("·", "-"), ("≈", "~"), ("✓", "OK"), ("✗", "X"), ("█", "#"), ("▄", "#"), ("▀", "#"), ("░", "."), ("▒", "+"), ("▓", "*")]
 
 
@@ -103,6 +107,41 @@ f AS (SELECT nid, count(*) FILTER (active = 1 AND was = 0 AND gap <= 15) AS acti
   count(*) FILTER (active = 0 AND idle >= 15) AS abandoned, count(*) FILTER (active = 1 AND idle >= 15) AS quieted, count(*) FILTER (active = 1 AND idle >= 61) AS evictions,
   max(CASE WHEN next IS NULL THEN CASE WHEN active = 0 THEN CASE WHEN idle >= 15 THEN 'dormant' ELSE 'candidate' END WHEN idle >= 61 THEN 'evicted' WHEN idle >= 60 THEN 'evicting' WHEN idle >= 15 THEN 'quiescent' ELSE 'active' END END) AS state FROM c GROUP BY nid)"""
 
+def _hashed(rows: str, words: list[str]) -> str:
+    """(all columns of rows, h): the 64-bit BLAKE2b of five 64-bit words (UBIGINT expressions). Its 16 words are columns; a subquery for each half step of four mixings side by side."""
+    wrap = "& 18446744073709551615::UHUGEINT)::UBIGINT"
+    turned = lambda x, by: f"(({x} >> {by}) | (({x}::UHUGEINT << {64 - by}) {wrap})"
+    start = [IV[0] ^ 0x01010008, *IV[1:], *IV[:4], IV[4] ^ 40, IV[5], IV[6] ^ ((1 << 64) - 1), IV[7]]
+    made = f"(SELECT *, {', '.join(f'({w})::UBIGINT AS m{i}_' for i, w in enumerate(words))}, {', '.join(f'{x}::UBIGINT AS v{i}_' for i, x in enumerate(start))} FROM {rows})"
+    steps = half_steps()
+    order = [steps[8 * k + 2 * g + half] for k in range(len(steps) // 8) for half in (0, 1) for g in range(4)]  # both halves of four mixings
+    for at in range(0, len(order), 4):
+        new = []
+        for p, q, r, t, w, x, y in order[at : at + 4]:
+            a = f"((v{p}_::UHUGEINT + v{q}_{f' + m{w}_' if w < len(words) else ''}) {wrap}"
+            d = turned(f"xor(v{t}_, {a})", x)
+            c = f"((v{r}_::UHUGEINT + {d}) {wrap}"
+            new += [f"{a} AS v{p}_", f"{d} AS v{t}_", f"{c} AS v{r}_", f"{turned(f'xor(v{q}_, {c})', y)} AS v{q}_"]
+        made = f"(SELECT * REPLACE ({', '.join(new)}) FROM {made})"
+    return f"(SELECT *, xor(xor({start[0]}::UBIGINT, v0_), v8_) AS h FROM {made})"
+
+
+# every tick of every node in turn: states 0 dormant, 1 candidate, 2 active, 3 quiescent, 4 evicting, 5 evicted; t has what changed
+_SEEN = "CASE WHEN x.n = 0 THEN a.st WHEN a.st IN (0, 5) THEN CASE WHEN x.n > 1 THEN 2 ELSE 1 END ELSE 2 END"
+_FIRST, _LAST = "CASE WHEN x.n > 0 AND a.st IN (0, 5) THEN x.t ELSE a.f END", "CASE WHEN x.n > 0 THEN x.t ELSE a.l END"
+_SWEPT = f"CASE WHEN ({_SEEN}) = 1 AND x.t - ({_FIRST}) >= 15 THEN 0 WHEN ({_SEEN}) = 2 AND x.t - ({_LAST}) >= 15 THEN 3 WHEN ({_SEEN}) = 3 AND x.t - ({_LAST}) >= 60 THEN 4 WHEN ({_SEEN}) = 4 THEN 5 ELSE ({_SEEN}) END"
+_STEP = "[struct_pack(t := x.t, k := {k}, a := {a}, b := {b}, c := '{c}')]"
+_NONE = "[]::STRUCT(t BIGINT, k INT, a INT, b INT, c VARCHAR)[]"
+_LIVES = f"""WITH {_SPIKES}, c AS (SELECT nid, tick, count(*) AS n FROM s GROUP BY ALL),
+g AS (SELECT id, t, coalesce(n, 0) AS n FROM (SELECT id, unnest(range(0, {_HOURS})) AS t FROM u) LEFT JOIN c ON nid = id AND tick = t),
+l AS (SELECT id, list(struct_pack(st := 0, f := 0::BIGINT, l := 0::BIGINT, t := t::BIGINT, n := n, held := 0::BIGINT, asked := 0::BIGINT, tr := {_NONE}) ORDER BY t) AS l FROM g GROUP BY id),
+r AS (SELECT id, list_reduce(list_concat([struct_pack(st := 0, f := 0::BIGINT, l := 0::BIGINT, t := (-1)::BIGINT, n := 0::BIGINT, held := 0::BIGINT, asked := 0::BIGINT, tr := {_NONE})], l), lambda a, x: struct_pack(
+  st := ({_SWEPT}), f := ({_FIRST}), l := ({_LAST}), t := x.t, n := x.n, held := a.held + CASE WHEN ({_SEEN}) IN (2, 3, 4) THEN 1 ELSE 0 END, asked := a.asked + CASE WHEN ({_SEEN}) = 3 AND ({_SWEPT}) = 4 THEN 1 ELSE 0 END,
+  tr := list_concat(a.tr, CASE WHEN x.n > 0 AND a.st IN (0, 5) THEN {_STEP.format(k=0, a="a.st", b=1, c="observed")} ELSE {_NONE} END,
+    CASE WHEN x.n > 1 AND a.st IN (0, 5) THEN {_STEP.format(k=1, a=1, b=2, c="observed")} WHEN x.n > 0 AND a.st IN (1, 3, 4) THEN {_STEP.format(k=0, a="a.st", b=2, c="observed")} ELSE {_NONE} END,
+    CASE WHEN ({_SEEN}) <> ({_SWEPT}) THEN {_STEP.format(k=0, a=f"({_SEEN})", b=f"({_SWEPT})", c="swept")} ELSE {_NONE} END))) AS r FROM l)"""
+_STATES = "(['dormant', 'candidate', 'active', 'quiescent', 'evicting', 'evicted'])"
+
 _DECAY = "0.9950124791926823::DOUBLE"
 
 ORACLES: dict[str, str] = {
@@ -148,28 +187,34 @@ SELECT src + c * n AS src, tgt + c * n AS tgt, {_W} AS weight FROM g, n, (VALUES
     "gen_modular": f"WITH {_GRAPH}{_N} SELECT src, tgt, w AS weight FROM {_MODULAR}",
     "gen_modular_inter": f"""WITH {_GRAPH}{_N}, r AS (SELECT unnest(range(0, 2 * n)) AS id, n FROM n)
 SELECT src, tgt, w AS weight FROM {_MODULAR} UNION ALL SELECT id, id + 1 + pick, {_MEAN} FROM {_partners("r", "n * 2 - 1 - id", 0.02, "'modules'", "5")}""",
-    "gen_population": f"""WITH {_GRAPH}{_N}, k AS (SELECT i, j FROM (VALUES (0), (1), (2)) AS a(i), (VALUES (0), (1), (2)) AS b(j))
-SELECT id * 3 + i AS src, id * 3 + j AS tgt, {_MEAN} AS weight FROM (SELECT unnest(range(0, n)) AS id FROM n), k WHERE i <> j UNION ALL SELECT src * 3 + i, tgt * 3 + j, {_W} FROM g, k""",
-    "gen_hybrid": f"WITH {_GRAPH}{_N}, w AS (SELECT * FROM {_MODULAR}) " + _duplicated("w, n", "2 * n", 0.1, 0.1, 3),
-    "gen_gnp": f"WITH {_GRAPH}{_N}, r AS (SELECT id, n FROM u, n) SELECT id AS src, (id + 1 + pick) % n AS tgt FROM {_partners('r', 'n - 1', 0.05, chr(39) + 'gnp' + chr(39), '1')}",
+    "gen_population": f"""WITH {_GRAPH}{_N}, r AS (SELECT unnest(range(0, 3 * n)) AS id FROM n), e AS (SELECT src || ':' || tgt AS id, src, tgt, {_W} AS w FROM g)
+SELECT id AS src, id - id % 3 + pick + CASE WHEN pick >= id % 3 THEN 1 ELSE 0 END AS tgt, {_MEAN} AS weight FROM {_partners("r", "2", 0.5, "'intra'", "6")}
+UNION ALL SELECT src * 3 + pick // 3, tgt * 3 + pick % 3, w FROM {_partners("e", "9", 0.3, "'inter'", "6")}""",
+    "gen_hybrid": f"""WITH {_GRAPH}{_N}, r AS (SELECT unnest(range(0, 2 * n)) AS id, n FROM n),
+w AS (SELECT * FROM {_MODULAR} UNION ALL SELECT id, id + 1 + pick, {_MEAN} FROM {_partners("r", "n * 2 - 1 - id", 0.01, "'modules'", "2")}) """
+    + _duplicated("w, n", "2 * n", 0.05, 0.05, 3),
+    "gen_gnp": f"""WITH {_GRAPH}{_N}, r AS (SELECT id, n FROM u, n) SELECT *, {_DRAWN} AS weight FROM (SELECT id AS src, (id + 1 + pick) % n AS tgt FROM {_partners("r", "n - 1", 0.05, "'gnp'", "1")})""",
     "gen_gnp_certain": f"WITH {_GRAPH}{_N} SELECT a.id AS src, count(*) AS n, sum(b.id)::BIGINT AS total FROM u a JOIN u b ON a.id <> b.id GROUP BY a.id",
     "gen_planted": f"""WITH {_GRAPH}{_N}, r AS (SELECT id, n, id % 4 AS m, n // 4 + CASE WHEN id % 4 < n % 4 THEN 1 ELSE 0 END AS size FROM u, n)
-SELECT id AS src, (pick + CASE WHEN pick >= id // 4 THEN 1 ELSE 0 END) * 4 + m AS tgt FROM {_partners("r", "size - 1", 0.08, "'in'", "1")}
-UNION ALL SELECT id, pick // 3 * 4 + pick % 3 + CASE WHEN pick % 3 >= m THEN 1 ELSE 0 END FROM {_partners("r", "n - size", 0.005, "'out'", "1")}""",
-    "gen_spatial": f"""WITH p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), n AS (SELECT count(*) AS n FROM p),
+SELECT *, {_DRAWN} AS weight FROM (SELECT id AS src, (pick + CASE WHEN pick >= id // 4 THEN 1 ELSE 0 END) * 4 + m AS tgt FROM {_partners("r", "size - 1", 0.08, "'in'", "1")}
+UNION ALL SELECT id, pick // 3 * 4 + pick % 3 + CASE WHEN pick % 3 >= m THEN 1 ELSE 0 END FROM {_partners("r", "n - size", 0.005, "'out'", "1")})""",
+    "gen_spatial": f"""WITH {_GRAPH}, p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), n AS (SELECT count(*) AS n FROM p),
 q AS MATERIALIZED (SELECT a.id AS src, b.id AS tgt, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM p a JOIN p b ON a.id <> b.id),
 h AS (SELECT id, (id + 1 + {_below("n - 1", "'sum'", "6", "id", "k")}) % n AS j FROM (SELECT id, n, unnest(range(0, 64)) AS k FROM p, n)),
 b AS MATERIALIZED (SELECT least(1.0::DOUBLE, 8 * n / ((SELECT sum(exp(-d / 0.05::DOUBLE)) FROM q WHERE d <= 0.2::DOUBLE) + (SELECT coalesce(sum(exp(-d / 0.05::DOUBLE)), 0) FROM h JOIN q ON src = id AND tgt = j WHERE d > 0.2::DOUBLE) * (n - 1) / 64)) AS base, n FROM n),
 r AS (SELECT id, n, base FROM p, b), f AS (SELECT id AS src, (id + 1 + pick) % n AS tgt FROM {_partners("r", "n - 1", "base * exp(-4.0::DOUBLE)", "'far'", "6")})
-SELECT src, tgt FROM q, b WHERE d <= 0.2::DOUBLE AND {_u("'spatial'", "6", "src", "tgt")} < base * exp(-d / 0.05::DOUBLE)
-UNION ALL SELECT src, tgt FROM f JOIN q USING (src, tgt) WHERE d > 0.2::DOUBLE AND {_u("'keep'", "6", "src", "tgt")} < exp((0.2::DOUBLE - d) / 0.05::DOUBLE)""",
+SELECT src, tgt, {_MEAN} AS weight FROM q, b WHERE d <= 0.2::DOUBLE AND {_u("'spatial'", "6", "src", "tgt")} < base * exp(-d / 0.05::DOUBLE)
+UNION ALL SELECT src, tgt, {_MEAN} FROM f JOIN q USING (src, tgt) WHERE d > 0.2::DOUBLE AND {_u("'keep'", "6", "src", "tgt")} < exp((0.2::DOUBLE - d) / 0.05::DOUBLE)""",
     "gen_motif_fill": f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), n AS (SELECT max(id) + 1 AS n FROM u), r AS (SELECT unnest(range(0, 3 * n)) AS id, n FROM n)
 SELECT id * 3 + a AS src, id * 3 + b AS tgt, 0.5::DOUBLE AS weight FROM u, (VALUES (0, 1), (1, 0), (2, 0), (1, 2)) AS e(a, b)
 UNION ALL SELECT id, id + 1 + pick, 0.5::DOUBLE FROM {_partners("r", "3 * n - 1 - id", 0.01, "'motif'", "8")}""",
     "motif_instantiate": "SELECT id * 3 + a AS src, id * 3 + b AS tgt FROM (SELECT DISTINCT user_id AS id FROM events), (VALUES (0, 1), (1, 0), (2, 0), (1, 2)) AS e(a, b)",
-    "gen_random_control": f"WITH {_GRAPH} SELECT src, value AS tgt FROM ({_shuffled('tgt', 'stubs')})",
+    "gen_random_control": f"WITH {_GRAPH} SELECT src, value AS tgt, {_MEAN} AS weight FROM ({_shuffled('tgt', 'stubs')})",
     "control_uniform": f"WITH {_GRAPH}{_N} SELECT src, {_below('n', chr(39) + 'uniform' + chr(39), '4', 'src', 'tgt')} AS tgt FROM g, n",
     "control_motif_destroyed": f"WITH {_GRAPH}{_N} SELECT src, least(greatest(src + value, 0), n - 1) AS tgt FROM ({_shuffled('tgt - src', 'spans')}), n",
+    "control_gapped_spans": f"""WITH g AS (SELECT DISTINCT l_partkey * 3 AS src, l_suppkey * 50 AS tgt FROM lineitem), i AS (SELECT src AS id FROM g UNION SELECT tgt FROM g),
+m AS (SELECT src, src + value AS x FROM ({_shuffled("tgt - src", "spans")}))
+SELECT src, CASE WHEN h.id IS NULL OR x - l.id <= h.id - x THEN l.id ELSE h.id END AS tgt FROM m ASOF LEFT JOIN i l ON x >= l.id ASOF LEFT JOIN i h ON x <= h.id""",
     "spike_counts": f"WITH {_SPIKES} SELECT id AS nid, (SELECT count(*) FROM s WHERE nid = id AND tick BETWEEN 0 AND 719) AS n FROM u",
     "rate_histogram": f"WITH {_SPIKES} SELECT tick, count(*) AS n FROM s WHERE tick BETWEEN 0 AND 719 GROUP BY tick",
     "graph_health": f"""WITH {_SPIKES}, c AS (SELECT id, (SELECT count(*) FROM s WHERE nid = id AND tick BETWEEN 0 AND 719) AS n FROM u),
@@ -232,5 +277,20 @@ SELECT id AS nid, r.n AS n_spikes, round(r.v, 9) AS v FROM f""",
     "budget_evict": f"WITH {_SPIKES}, b AS (SELECT nid, tick // 24 AS day, max(tick) AS last FROM s GROUP BY ALL) SELECT day, nid, last FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY last DESC, nid DESC) AS k FROM b) WHERE k > 20",
     "stream_window_counts": """WITH w AS (SELECT event_type, time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '2024-01-01') - INTERVAL 3 HOUR * o AS start FROM events, (VALUES (0), (1)) AS v(o))
 SELECT start, event_type, count(*) AS n FROM w GROUP BY ALL""",
+    "frontier_transitions": _LIVES + f" SELECT id AS nid, x.t::INT AS tick, x.k::INT AS step, {_STATES}[x.a + 1] AS from_state, {_STATES}[x.b + 1] AS to_state, x.c AS cause FROM (SELECT id, unnest(r.tr) AS x FROM r)",
+    "frontier_residency": _LIVES + " SELECT id AS nid, r.held AS resident_ticks, r.asked AS eviction_requests FROM r",
+    "virtual_ids": f"SELECT o_orderkey, h::DECIMAL(20,0) AS id FROM {_hashed('orders', ['42', '3', 'o_custkey', '0', 'o_orderkey'])}",
+    "keyed_draws": f"""WITH k AS (SELECT id, unnest(range(0, 8)) AS k FROM (SELECT DISTINCT user_id AS id FROM events)), t AS {_hashed("k", ["9", "id", str(0xD21E), "0", "k"])}, w AS {_hashed("k", ["9", "id", str(0xD21E), "0", "k + 4294967296"])}
+SELECT id, t.k, (t.h % 256)::BIGINT AS tgt, w.h::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM t JOIN w USING (id, k)""",
+    "sql_fan_out": f"""WITH k AS (SELECT id, unnest(range(0, 8)) AS k FROM (SELECT DISTINCT user_id AS id FROM events)), t AS {_hashed("k", ["9", "id", str(0xD21E), "0", "k"])}, w AS {_hashed("k", ["9", "id", str(0xD21E), "0", "k + 4294967296"])}
+SELECT id AS src, t.k::INT AS k, (t.h % 256)::BIGINT AS tgt, 0.4::DOUBLE + 0.2::DOUBLE * (2 * (w.h::DOUBLE / 18446744073709551616.0::DOUBLE) - 1) AS weight FROM t JOIN w USING (id, k)""",
+    "sql_virtual_ids": f"""WITH o AS (SELECT o_orderkey, o_custkey FROM orders), a AS {_hashed("o", ["7", "o_custkey", "1", "0", "o_orderkey"])}, t AS {_hashed("o", ["7", "o_custkey", "5", "1", "o_orderkey"])}, w AS {_hashed("o", ["7", "o_custkey", "5", "1", "o_orderkey + 4294967296"])}
+SELECT o_orderkey, a.h::DECIMAL(20,0) AS id, (t.h % 1000)::BIGINT AS tgt, w.h::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM a JOIN t USING (o_orderkey) JOIN w USING (o_orderkey)""",
+    "corpus_chunks": f"""WITH {_RAW}, kept AS (SELECT * FROM raw WHERE pre <> 0 AND post <> 0 AND pre <> post AND (conf IS NULL OR conf::FLOAT >= 0.05::DOUBLE))
+SELECT count(*) AS manifest_rows, count(*) FILTER (nt = 255) AS unknown, count(*) AS rows_seen, (SELECT count(*) FROM (SELECT DISTINCT pre, post, nt FROM kept)) AS "distinct",
+  (SELECT count(*) FROM (SELECT pre FROM kept UNION SELECT post FROM kept)) AS neurons, count(*) AS described, true AS all_digested FROM raw""",
+    "graph_file": f"WITH {_GRAPH}{_N} SELECT src + c * n AS src, tgt + c * n AS tgt, {_W} AS weight FROM g, n, (VALUES (0), (1)) AS v(c)",
     "stream_frontier": _FRONTIER + " SELECT * FROM f",
+    "stream_queue": f"WITH {_SPIKES} SELECT tick, nid, event_id, row_number() OVER (PARTITION BY tick ORDER BY event_id)::INT AS seq FROM s",
 }
+ORACLES["byte_range_edges"] = ORACLES["edge_normalize_counts"]

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meshgrain.functions import scalars
+from meshgrain.functions import scalars, surface
 from meshgrain.functions.draws import keyed_target, keyed_uniform
 from meshgrain.functions.draws import virtual_ids as virtual_ids_of
 from meshgrain.operators import census, dynamics, generate, structure, sweeps, trains
 from meshgrain.operators.ranks import dense_ids
 from meshgrain.plans.oracles import ORACLES
-from meshgrain.sources import edge_files
+from meshgrain.sources import edge_files, records, sinks
+from meshgrain.sources.byte_ranges import ByteRanges
 from meshgrain.sources.graph_views import HOURS, edge_rows, graph, hour, raw_edges, spikes, table, users
-from meshgrain.streaming import replay
+from meshgrain.sources.stored import own_folder
+from meshgrain.streaming import replay, residency
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -196,7 +199,7 @@ def gen_modular_inter(s, d):
 
 @query
 def gen_population(s, d):
-    return generate.population(_weighted(s, d), _n(s, d), 3)
+    return generate.population(_weighted(s, d), _n(s, d), 3, seed=6)
 
 
 @query
@@ -219,7 +222,7 @@ def gen_spatial(s, d):
     """Points are the first two components of vectors."""
     points = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
     n = points.count()
-    return generate.spatial(points, n, 0.05, 8 * n, seed=6)
+    return generate.spatial(points, n, 0.05, 8 * n, seed=6, source=_weighted(s, d))
 
 
 @query
@@ -240,7 +243,7 @@ def motif_instantiate(s, d):
 
 @query
 def gen_random_control(s, d):
-    return generate.random_control(graph(s, d), seed=4)
+    return generate.random_control(_weighted(s, d), seed=4)
 
 
 @query
@@ -250,7 +253,14 @@ def control_uniform(s, d):
 
 @query
 def control_motif_destroyed(s, d):
-    return generate.motif_destroyed(graph(s, d), _n(s, d), seed=4)
+    return generate.motif_destroyed(graph(s, d), users(s, d), seed=4)
+
+
+@query
+def control_gapped_spans(s, d):
+    """The same over ids with gaps: parts in steps of 3 to suppliers in steps of 50."""
+    pairs = table(s, d, "lineitem").select((F.col("l_partkey") * 3).alias("src"), (F.col("l_suppkey") * 50).alias("tgt")).distinct()
+    return generate.motif_destroyed(pairs, pairs.select(F.explode(F.array("src", "tgt")).alias("id")), seed=4)
 
 
 @query
@@ -364,7 +374,7 @@ def learned_updates(s, d):
 
 @query
 def virtual_ids(s, d):
-    """64-bit ids of orders; no SQL engine here has the hash, fixed vectors are in the tests."""
+    """64-bit ids of orders."""
     o = table(s, d, "orders")
     return o.select("o_orderkey", virtual_ids_of(F.lit(3), F.col("o_custkey"), F.lit(0), F.col("o_orderkey"), 42).alias("id"))
 
@@ -391,11 +401,61 @@ def weight_quantize(s, d):
 
 @query
 def keyed_draws(s, d):
-    """64-bit keyed hashes of (user, salt), folded; no SQL engine here has the hash."""
+    """64-bit keyed hashes of (user, salt), folded."""
     k = users(s, d).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
     return k.select("id", "k", keyed_target(F.col("id"), F.col("k"), 256, 9, 0xD21E).alias("tgt"), keyed_uniform(F.col("id"), F.col("k"), 9, 0xD21E).alias("u"))
 
 
+@query
+def sql_fan_out(s, d):
+    """Synapses by the table function, in SQL text alone."""
+    surface.register(s)
+    users(s, d).createOrReplaceTempView("fan_out_nodes")
+    return s.sql(f"SELECT src, k, tgt, weight FROM fan_out(TABLE(SELECT id FROM fan_out_nodes) PARTITION BY (id), 8, 256, 9, {0xD21E}, 0, 0.4D, 0.2D)")
+
+
+@query
+def sql_virtual_ids(s, d):
+    """Ids, targets and draws of orders by the SQL functions."""
+    surface.register(s)
+    table(s, d, "orders").createOrReplaceTempView("id_orders")
+    return s.sql("SELECT o_orderkey, virtual_id(7, o_custkey, 1, 0, o_orderkey) AS id, keyed_target(o_custkey, o_orderkey, 1000, 7, 5, 1) AS tgt, keyed_uniform(o_custkey, o_orderkey, 7, 5, 1) AS u FROM id_orders")
+
+
+@query
+def byte_range_edges(s, d):
+    """The edge list as text files, read back by byte ranges and decoded."""
+    folder = own_folder(s, "edges")
+    edge_rows(s, d).write.csv(folder, emptyValue="", nullValue="")
+    s.dataSource.register(ByteRanges)
+    lines = s.read.format("byte_ranges").option("url", folder).option("chunk_bytes", 1 << 18).load()
+    part = F.split("line", ",", 4)
+    rows = lines.select(*(part[i].alias(c) for i, c in enumerate(edge_files.CSV_SCHEMA.names)))
+    return edge_files.normalised(rows).groupBy("neurotransmitter", F.coalesce("problem", F.lit("")).alias("problem")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("problem").isNull(), F.col("synapses"))).alias("synapses"))
+
+
+@query
+def corpus_chunks(s, d):
+    """Contacts written as chunk files and loaded again: rows, distinct edges and neurons of the dataset, and the digests' and the manifest's counts."""
+    folder = own_folder(s, "corpus")
+    contacts = raw_edges(s, d).select("pre", "post", F.col("nt").cast("short").alias("nt"), F.col("conf").cast("float").alias("conf"))
+    sinks.write_chunks(contacts, folder, 2000)
+    chunks = records.load_contacts(s, folder, "part-*.parquet")
+    _, seen = records.load_dataset(chunks)
+    manifest = json.loads(sinks.manifest(chunks, "contacts", checks={"unknown": "nt = 255"}))
+    files = sinks.file_digests(s, folder).join(edge_files.describe(s, folder).withColumnRenamed("file_name", "file"), "file")
+    one = files.agg(F.sum("rows").alias("described"), F.count_if(F.length("sha256") == 64).alias("digests"), F.count("*").alias("files"))
+    return one.select(F.lit(manifest["rows"]).cast("long").alias("manifest_rows"), F.lit(manifest["counts"]["unknown"]).cast("long").alias("unknown"), *(F.lit(seen[c]).cast("long").alias(c) for c in ("rows_seen", "distinct", "neurons")), "described", (F.col("digests") == F.col("files")).alias("all_digested"))
+
+
+@query
+def graph_file(s, d):
+    """A grown graph written as JSON lines with what it was made from, read back."""
+    folder = own_folder(s, "graph")
+    records.write_graph(generate.replication(_weighted(s, d), _n(s, d), 2), folder, {"name": "replication", "times": 2})
+    return s.read.schema("src long, tgt long, weight double").json(f"{folder}/edges")
+
+
 @query
 def lif_fold(s, d):
     inputs = dynamics.currents(spikes(s, d), HOURS, 24.0)
@@ -432,8 +492,30 @@ def stream_window_counts(s, d):
     return replay.run_to_table(replay.window_counts(replay.stream(s, d, "events")), "complete", ["start", "event_type"])
 
 
+@query
+def frontier_transitions(s, d):
+    return dynamics.frontier_transitions(spikes(s, d), HOURS)
+
+
+@query
+def frontier_residency(s, d):
+    return dynamics.frontier_residency(spikes(s, d), HOURS)
+
+
+#: Micro-batches in which a table is replayed, and ticks by which rows may come late: the ticks of one slice.
+SLICES = 6
+LATE = HOURS // SLICES
+
+
 @query
 def stream_frontier(s, d):
-    """The frontier machine as keyed stream state, swept up to the last hour at the end."""
-    seen = replay.stream(s, d, "events").select(F.col("user_id").alias("nid"), hour().alias("tick"))
-    return replay.settled(replay.run_to_table(replay.frontier_stream(seen), "update", ["nid"]), HOURS)
+    """The same life of every user from a stream of observations with timers, up to the last hour."""
+    seen = replay.arrivals(spikes(s, d).select("nid", "tick"), SLICES, HOURS - 1 + LATE)
+    return residency.frontier_counts(replay.run_to_table(residency.transition_stream(seen, late=LATE), "append", []))
+
+
+@query
+def stream_queue(s, d):
+    """Events given out tick by tick, in order of arrival inside each, from a stream that brings them in drawn order."""
+    events = replay.arrivals(spikes(s, d).select("tick", "nid", "event_id"), SLICES, HOURS - 1 + LATE)
+    return residency.numbered(replay.run_to_table(residency.queue_stream(events, LATE), "append", []))

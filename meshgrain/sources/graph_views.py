@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meshgrain.operators.ranks import next_in_order
+
 HOURS = 720
 
 
@@ -17,16 +19,15 @@ def hour(ts: str = "ts"):
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pre, post, nt, conf, event_id): each event's user to the user of the next event of the same hour.
+    """(pre, post, nt, conf, event_id): each event's user to the user of the next event, in order of time.
 
     nt is the transmitter code of the event type, 255 (unknown) above value 150; conf is null
     on every fiftieth event.
     """
-    events = table(spark, sf_dir, "events").withColumn("tick", hour())
-    post = F.lead("user_id").over(Window.partitionBy("tick").orderBy("ts", "event_id"))
+    events = next_in_order(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value"), ["ts", "event_id"], "user_id", "post")
     code = F.expr("case when value > 150 then 255 when event_type = 'error' then 0 when event_type = 'click' then 1 when event_type = 'view' then 2 when event_type = 'signup' then 3 else 4 end")
     conf = F.when(F.col("event_id") % 50 == 0, None).otherwise(F.col("value") / 600)
-    return events.select(F.col("user_id").alias("pre"), post.alias("post"), code.cast("int").alias("nt"), conf.alias("conf"), "event_id").where("post is not null")
+    return events.select(F.col("user_id").alias("pre"), "post", code.cast("int").alias("nt"), conf.alias("conf"), "event_id").where("post is not null")
 
 
 def graph(spark: SparkSession, sf_dir: str) -> DataFrame:

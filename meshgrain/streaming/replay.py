@@ -1,16 +1,18 @@
-"""Event tables replayed as streams: windowed counts and the keyed frontier machine."""
+"""Tables replayed as streams, and what a stream put out as a table again."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from meshgrain.sources.stored import own_folder
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table as a stream of its files."""
@@ -18,15 +20,55 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_to_table(df: DataFrame, mode: str, keys: list[str]) -> DataFrame:
-    """Runs a stream over all that is there; the last row of each key that it put out."""
+def arrivals(rows: DataFrame, slices: int, until: int) -> DataFrame:
+    """rows (with an int column tick) as a stream that brings one slice of the range of ticks after the other, in about `slices` micro-batches.
+
+    Inside a slice rows come in drawn order. With the last slice comes a row of nulls whose tick is `until`, so that the watermark gets there.
+    """
+    spark, folder = rows.sparkSession, own_folder(rows.sparkSession, "arrivals")
+    lo, hi = rows.agg(F.min("tick"), F.max("tick")).first()
+    width = ((hi or 0) - (lo or 0)) // slices + 1
+    for k in range(slices):
+        part = rows.where(F.expr(f"(tick - {lo or 0}) div {width} = {k}"))
+        part.sortWithinPartitions(F.xxhash64(*rows.columns)).write.mode("append").parquet(folder)
+    clock = spark.range(1).select(*(F.lit(until if c == "tick" else None).cast(t).alias(c) for c, t in rows.dtypes))
+    clock.write.mode("append").parquet(folder)
+    files = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // slices)).parquet(folder)
+
+
+@contextmanager
+def rocks_db(spark: SparkSession):
+    """State with timers needs this store, which writes changes instead of whole snapshots; the session's own settings come back afterwards."""
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    old = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in old.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def run(df: DataFrame, mode: str) -> tuple[DataFrame, StreamingQuery]:
+    """Runs a stream over all that is there: its rows with `_batch`, the number of the micro-batch that put them out, and the ended query."""
     spark, place = df.sparkSession, own_folder(df.sparkSession, "stream")
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{place}/rows/batch={number}")
+    def put(batch: DataFrame, number: int) -> None:  # written anew if the batch runs again
+        batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{place}/rows/micro_batch={number}")
+
+    with rocks_db(spark):
+        query = df.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(put).start()
+    query.awaitTermination()
+    return spark.read.schema(StructType([*df.schema.fields, StructField("_batch", LongType())])).parquet(f"{place}/rows"), query
+
 
-    df.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    rows = spark.read.parquet(f"{place}/rows")
+def run_to_table(df: DataFrame, mode: str, keys: list[str]) -> DataFrame:
+    """Runs a stream over all that is there; in complete and update mode the last row of each key that it put out, in append mode all rows."""
+    rows, _ = run(df, mode)
+    if mode == "append":
+        return rows.select(*df.columns)
     if mode == "complete":
         last = rows.agg(F.max("_batch").alias("_batch"))
         return rows.join(F.broadcast(last), "_batch").select(*df.columns)
@@ -39,66 +81,3 @@ def window_counts(events: DataFrame, size: str = "6 hours", slide: str = "3 hour
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     each = timed.groupBy(F.window("ts", size, slide).alias("w"), "event_type").agg(F.count("*").alias("n"))
     return each.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
-
-
-class Frontier:
-    """Residency of one node: a candidate turns active on enough observations, is quieted and evicted when idle."""
-
-    def __init__(self, activate: int, quiet: int, evict: int, timeout: int) -> None:
-        self.activate, self.quiet, self.evict, self.timeout = activate, quiet, evict, timeout
-
-    def idle(self, s: list, tick: int) -> None:
-        """Sweeps at every tick from the last observation to the one before `tick`."""
-        active, seen, first, last, *_ = s
-        if not active:
-            if tick - 1 - first >= self.timeout:
-                s[6] += 1
-                s[1] = 0
-            return
-        gap = tick - 1 - last
-        if gap >= self.quiet:
-            s[7] += 1
-        if gap >= self.evict + 1:
-            s[8] += 1
-            s[0], s[1] = False, 0
-        elif gap >= self.quiet:
-            s[5] += 1
-
-    def observe(self, s: list, tick: int) -> None:
-        if s[1] and tick > s[3]:
-            self.idle(s, tick)
-        if not s[0]:
-            s[1] += 1
-            if s[1] == 1:
-                s[2] = tick
-            elif s[1] >= self.activate:
-                s[0] = True
-                s[4] += 1
-        s[3] = tick
-
-
-STATE = "active boolean, seen int, first int, last int, activations int, reactivations int, abandoned int, quieted int, evictions int"
-
-
-def frontier_stream(spikes: DataFrame, activate: int = 2, quiet: int = 15, evict: int = 60, timeout: int = 15) -> DataFrame:
-    """(nid, state and counters so far) of a stream of (nid, tick); ticks of a node come in order between batches."""
-
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        machine = Frontier(activate, quiet, evict, timeout)
-        s = list(state.get) if state.exists else [False, 0, 0, 0, 0, 0, 0, 0, 0]
-        for tick in sorted(t for f in frames for t in f["tick"]):
-            machine.observe(s, int(tick))
-        state.update(tuple(s))
-        yield pd.DataFrame([[key[0], *s]], columns=["nid", *(c.split()[0] for c in STATE.split(", "))])
-
-    return spikes.select("nid", "tick").groupBy("nid").applyInPandasWithState(advance, f"nid long, {STATE}", STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-def settled(states: DataFrame, horizon: int, quiet: int = 15, evict: int = 60, timeout: int = 15) -> DataFrame:
-    """(nid, activations, reactivations, abandoned, quieted, evictions, state): what frontier_stream has put out, swept at
-    every tick from each node's last observation to the one before `horizon`."""
-    idle, waits = F.col("idle"), ~F.col("active") & (F.col("seen") > 0)
-    rows = states.withColumn("idle", F.lit(horizon - 1) - F.col("last")).withColumn("waited", F.lit(horizon - 1) - F.col("first"))
-    more = lambda c, when: (F.col(c) + when.cast("int")).cast("long").alias(c)
-    state = F.when(F.col("active"), F.when(idle >= evict + 1, "evicted").when(idle >= evict, "evicting").when(idle >= quiet, "quiescent").otherwise("active")).otherwise(F.when(waits & (F.col("waited") < timeout), "candidate").otherwise("dormant"))
-    return rows.select("nid", F.col("activations").cast("long").alias("activations"), F.col("reactivations").cast("long").alias("reactivations"), more("abandoned", waits & (F.col("waited") >= timeout)), more("quieted", F.col("active") & (idle >= quiet)), more("evictions", F.col("active") & (idle >= evict + 1)), state.alias("state"))

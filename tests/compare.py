@@ -1,6 +1,8 @@
 """Runs registered queries and their DuckDB SQL over the same tables and compares rows."""
 
+import hashlib
 import os
+import struct
 
 import duckdb
 
@@ -37,3 +39,9 @@ def differences(spark, sf_dir, query, sql):
     wanted = rows(names, con.fetchall())
     assert len(found) == len(wanted)
     return [(a, b) for a, b in zip(found, wanted, strict=True) if a != b]
+
+
+def plain_hash(layout, *fields):
+    """64-bit BLAKE2b of packed fields by the standard library."""
+    bits = {"Q": (1 << 64) - 1, "I": (1 << 32) - 1}
+    return int.from_bytes(hashlib.blake2b(struct.pack("<" + layout, *(x & bits[k] for k, x in zip(layout, fields, strict=True))), digest_size=8).digest(), "little")

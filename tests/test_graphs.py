@@ -120,7 +120,7 @@ def test_spatial_edges_at_all_distances(spark):
     r = random.Random(7)
     points = [(i, r.random(), r.random()) for i in range(400)]
     df = spark.createDataFrame(points, "id long, x double, y double")
-    got = {tuple(e) for e in generate.spatial(df, 400, 0.1, 3000, seed=3).collect()}
+    got = {tuple(e)[:2] for e in generate.spatial(df, 400, 0.1, 3000, seed=3).collect()}
     away = lambda a, b: ((points[a][1] - points[b][1]) ** 2 + (points[a][2] - points[b][2]) ** 2) ** 0.5
     pull = {(a, b): 2.718281828459045 ** (-away(a, b) / 0.1) for a in range(400) for b in range(400) if a != b}
     total = sum(pull.values())
@@ -134,7 +134,7 @@ def test_generators_keep_their_promises(spark, toy):
     _, edges = toy
     assert generate.replication(edges, 12, 3).count() == 48
     assert generate.duplication(edges, 12, 0.0, 0.0).count() == 32
-    assert generate.population(edges, 12, 5).count() == 640
+    assert generate.population(edges, 12, 5, 1.0, 1.0).count() == 640
     assert generate.modular(edges, 12, 3, 2).count() == 2 * sum(a % 3 == b % 3 for a, b in TOY)
     control = generate.random_control(edges).collect()
     assert sorted(r["src"] for r in control) == sorted(a for a, _ in TOY)
