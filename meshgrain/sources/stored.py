@@ -25,9 +25,13 @@ def shared_folder(spark: SparkSession) -> str:
 _MADE: dict[str, SparkSession] = {}
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def own_folder(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder; what is there goes when the driver ends, or with `drop_stashes`."""
-    path = f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{kind}-{unique()}"
     _MADE[path] = spark
     return path
 
@@ -57,6 +61,13 @@ def delete(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Gives a folder another name on its file system, in one step."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    if not hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration()).rename(hadoop(path), hadoop(to)):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
 @atexit.register
 def drop_stashes() -> None:
     """Deletes all folders of this driver; results that still read them are lost."""
