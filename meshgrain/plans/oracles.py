@@ -225,10 +225,10 @@ v AS (SELECT 'exploding' AS "check", t::DOUBLE / k / 0.072::DOUBLE AS value, 100
 SELECT "check", round(value, 9) AS value, threshold, CASE WHEN "check" = 'dead' THEN value > 0 ELSE value <= threshold END AS passed FROM v""",
     "fidelity": _FID.format(spikes=_SPIKES, cand="SELECT nid, tick FROM s WHERE kind <> 'error'"),
     "fidelity_shifted": _FID.format(spikes=_SPIKES, cand="SELECT nid, tick + 5 AS tick FROM s WHERE tick + 5 < 720"),
-    "graph_health_sparse": f"""WITH {_SPIKES}, c AS (SELECT id, (SELECT count(*) FROM s WHERE nid = id AND tick BETWEEN 0 AND 11) AS n FROM u),
+    "graph_health_sparse": """WITH s AS (SELECT o_custkey AS nid, o_orderdate::DATE - DATE '1995-01-01' AS tick FROM orders WHERE o_orderstatus = 'F'), c AS (SELECT c_custkey AS id, (SELECT count(*) FROM s WHERE nid = c_custkey AND tick BETWEEN 0 AND 2499) AS n FROM customer),
 r AS (SELECT n, row_number() OVER (ORDER BY n, id) AS i FROM c),
-a AS (SELECT count(*) AS k, sum(n) AS t, count(*) FILTER (n > 0) AS act, CASE WHEN sum(n) > 0 THEN 2::DOUBLE * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0::DOUBLE) / count(*) ELSE 0 END AS gini, (SELECT max(m) FROM (SELECT count(*) AS m FROM s WHERE tick < 12 GROUP BY tick)) AS busy FROM r),
-v AS (SELECT 'exploding' AS "check", t::DOUBLE / k / 0.0012::DOUBLE AS value, 100.0::DOUBLE AS threshold FROM a UNION ALL SELECT 'dead', t::DOUBLE, 1.0 FROM a UNION ALL SELECT 'synchrony', busy::DOUBLE / t::DOUBLE, 0.5 FROM a
+a AS (SELECT count(*) AS k, sum(n) AS t, count(*) FILTER (n > 0) AS act, 2::DOUBLE * sum(i * n) / (count(*) * sum(n)) - (count(*) + 1.0::DOUBLE) / count(*) AS gini, (SELECT max(m) FROM (SELECT count(*) AS m FROM s WHERE tick BETWEEN 0 AND 2499 GROUP BY tick)) AS busy FROM r),
+v AS (SELECT 'exploding' AS "check", t::DOUBLE / k / 0.25::DOUBLE AS value, 100.0::DOUBLE AS threshold FROM a UNION ALL SELECT 'dead', t::DOUBLE, 1.0 FROM a UNION ALL SELECT 'synchrony', busy::DOUBLE / t::DOUBLE, 0.5 FROM a
   UNION ALL SELECT 'hub_dominated', gini, 0.9 FROM a UNION ALL SELECT 'isolation', 1.0::DOUBLE - act::DOUBLE / k, 0.9 FROM a UNION ALL SELECT 'sparse_activity', act::DOUBLE / k, 0.999 FROM a WHERE act::DOUBLE / k < 0.999 AND t > 0)
 SELECT "check", round(value, 9) AS value, threshold, CASE WHEN "check" = 'dead' THEN value > 0 ELSE value <= threshold END AS passed FROM v""",
     "sweep_knee": """WITH e AS (SELECT event_type AS condition, user_id AS nid FROM events UNION ALL SELECT 'real', user_id FROM events),
@@ -239,7 +239,7 @@ l AS (SELECT condition, min(resident_fraction) FILTER (ok) AS low, bool_or(NOT o
 m AS (SELECT l.*, (SELECT max(budget_fraction) FROM p WHERE p.condition = l.condition AND ok AND resident_fraction = low) AS budget, (SELECT low FROM l WHERE condition = 'real') AS best, (SELECT bool_or(failed) FROM l) AS knee_found FROM l)
 SELECT condition, low AS least_resident, budget AS budget_fraction, CASE WHEN condition <> 'real' THEN low / best END AS ratio,
   CASE WHEN condition <> 'real' AND low > best THEN 'real_wins' WHEN condition <> 'real' AND low IS NOT NULL AND best IS NOT NULL THEN 'control_ties_or_wins' END AS verdict, failed, knee_found FROM m""",
-    "train_key_gaps": f"WITH {_SPIKES}, a AS (SELECT DISTINCT nid FROM s WHERE kind = 'error' AND tick < 240), b AS (SELECT DISTINCT nid FROM s WHERE kind = 'purchase' AND tick < 240) SELECT nid, 'candidate' AS missing_in FROM a WHERE nid NOT IN (FROM b) UNION ALL SELECT nid, 'reference' FROM b WHERE nid NOT IN (FROM a)",
+    "train_key_gaps": "WITH a AS (SELECT DISTINCT o_custkey AS nid FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS nid FROM orders WHERE o_orderstatus = 'P') SELECT nid, 'candidate' AS missing_in FROM a WHERE nid NOT IN (FROM b) UNION ALL SELECT nid, 'reference' FROM b WHERE nid NOT IN (FROM a)",
     "queue_drain": f"WITH {_SPIKES} SELECT tick, row_number() OVER (PARTITION BY tick ORDER BY event_id) AS seq, event_id FROM s WHERE tick <= 100",
     "queue_next": f"WITH {_SPIKES} SELECT count(*) AS waiting, min(tick) AS next_tick, arg_min(event_id, (tick, event_id)) AS event_id, arg_min(nid, (tick, event_id)) AS nid FROM s WHERE tick > 100",
     "peak_resident": f"WITH {_SPIKES}, t AS (SELECT DISTINCT tick FROM s), c AS (SELECT t.tick, count(DISTINCT nid) AS resident FROM t JOIN s ON s.tick BETWEEN t.tick - 15 AND t.tick GROUP BY t.tick) SELECT tick, resident FROM c ORDER BY resident DESC, tick LIMIT 1",
@@ -252,7 +252,7 @@ SELECT o_orderkey, format('{:,}', c) AS amount, CASE WHEN z < 1024 THEN z::VARCH
     "plain_texts": "SELECT doc_id, md5(regexp_replace(" + _nested("coalesce(text, '')", _ASCII) + ", '[^\\x00-\\x7F]', '?', 'g')) AS ascii, md5(" + _nested("coalesce(text, '')", [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")]) + ") AS html FROM documents",
     "retry_hints": "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN user_id::DOUBLE END AS seconds FROM events",
     "learned_updates": f"""WITH {_SPIKES}, c AS (SELECT nid, kind, count(*) FILTER (tick < 360) AS old, count(*) FILTER (tick >= 360) AS new FROM s GROUP BY ALL), m AS (SELECT nid, kind, CASE WHEN new > 0 THEN new ELSE old END AS n FROM c)
-SELECT nid, coalesce(max(n) FILTER (kind = 'click'), 0) AS click, coalesce(max(n) FILTER (kind = 'error'), 0) AS error, coalesce(max(n) FILTER (kind = 'purchase'), 0) AS purchase, count(*) AS kinds FROM m GROUP BY nid""",
+SELECT nid, coalesce(max(n) FILTER (kind = 'click'), 0) AS click, coalesce(max(n) FILTER (kind = 'error'), 0) AS error, coalesce(max(n) FILTER (kind = 'purchase'), 0) AS purchase, coalesce(max(n) FILTER (kind = 'signup'), 0) AS signup, coalesce(max(n) FILTER (kind = 'view'), 0) AS view, count(*) AS kinds FROM m GROUP BY nid""",
     "drive_blocks": f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), b AS (SELECT id, unnest(range(0, 15)) AS block FROM u)
 SELECT block, id AS nid FROM b WHERE {_u("'drive'", "1", "CASE WHEN least(2, block * 100 * 3 // 1500) = 1 THEN 'B' ELSE 'A' END", "id", "block")} < 0.4::DOUBLE""",
     "drive_hot_carry": f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), f AS (SELECT * FROM (SELECT id, unnest(range(0, 8)) AS block FROM u) WHERE {_u("'fresh'", "1", "id", "block")} < 0.2::DOUBLE)

@@ -292,10 +292,18 @@ def fidelity_shifted(s, d):
     return trains.fidelity(all_, all_.withColumn("tick", F.col("tick") + 5), users(s, d), HOURS)
 
 
+DAYS = 2500
+
+
+def _orders(s, d) -> DataFrame:
+    """(nid, tick, kind): an order of a customer on a day, by its status."""
+    return table(s, d, "orders").select(F.col("o_custkey").alias("nid"), F.expr("cast(datediff(o_orderdate, date'1995-01-01') as int)").alias("tick"), F.col("o_orderstatus").alias("kind"))
+
+
 @query
 def graph_health_sparse(s, d):
-    """The first hours alone, where not every user is active yet: the warning comes too."""
-    h = trains.health(spikes(s, d), users(s, d), 12, active_min=0.999)
+    """Finished orders of all customers, of whom not every one has any: the warning comes too."""
+    h = trains.health(_orders(s, d).where("kind = 'F'"), table(s, d, "customer").select(F.col("c_custkey").alias("id")), DAYS, active_min=0.999)
     return h.select("check", F.round("value", 9).alias("value"), "threshold", "passed")
 
 
@@ -308,9 +316,9 @@ def sweep_knee(s, d):
 
 @query
 def train_key_gaps(s, d):
-    """Users with errors and users with purchases."""
-    all_ = spikes(s, d)
-    return trains.key_gaps(all_.where("kind = 'error' and tick < 240"), all_.where("kind = 'purchase' and tick < 240"))
+    """Customers with finished orders and customers with pending ones."""
+    all_ = _orders(s, d)
+    return trains.key_gaps(all_.where("kind = 'F'"), all_.where("kind = 'P'"))
 
 
 @query
@@ -369,7 +377,7 @@ def learned_updates(s, d):
     c = spikes(s, d).withColumn("late", F.col("tick") >= HOURS // 2).groupBy("nid", "late", "kind").agg(F.count("*").alias("n"))
     m = lambda late: F.map_from_entries(F.collect_list(F.when(F.col("late") == late, F.struct("kind", "n"))))
     both = c.groupBy("nid").agg(m(False).alias("old"), m(True).alias("new")).withColumn("now", scalars.map_update(F.col("old"), F.col("new")))
-    return both.select("nid", *(scalars.map_get(F.col("now"), k, F.lit(0)).alias(k) for k in ("click", "error", "purchase")), F.size("now").alias("kinds"))
+    return both.select("nid", *(scalars.map_get(F.col("now"), k, F.lit(0)).alias(k) for k in ("click", "error", "purchase", "signup", "view")), F.size("now").alias("kinds"))
 
 
 @query
