@@ -1,7 +1,9 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine, from a block-max inverted index.
 
-Terms are all words of a text (A-Z lower-cased), each cut to its first STEM bytes as a plain
-stem that any language has; document frequencies are counted over all documents. Examples are a bounded, deterministic
+Terms are all words of a text (A-Z lower-cased), and once more the stem of each, its first STEM characters, as a kind of its own: whole words keep
+apart what begins alike, stems bring inflected forms together. Document frequencies are counted over all documents. A text's cosines to all
+examples are divided by one length, its own, so neither the order of its neighbours nor their vote depends on it; there, a
+term that no example holds counts as held by that text alone. Examples are a bounded, deterministic
 sample of labelled rows, half of each class, and keep all their terms. The index files them by term in blocks of BLOCK
 examples with the largest weight of each block. A document meets blocks in the order of their upper
 bounds and stops when no block can hold a nearer example than its k-th, so the k nearest are exact.
@@ -24,6 +26,8 @@ from meshgrain.llm.words import _BYTES, ALNUM, LOWER, Words, byte_sums, chunks,
 BLOCK, STEM = 64, 4
 #: Numbers of neighbours and powers of the cosine to choose from.
 CHOICES = tuple((k, power) for k in (16, 64, 256) for power in (1, 2, 4))
+#: What sets the hashes of stems apart from those of words.
+STEMS = np.uint64(0x94D049BB133111EB)
 #: Terms whose postings are kept as dense columns of their blocks, and documents judged together.
 MOST_DENSE, TOGETHER = 1024, 128
 
@@ -32,9 +36,13 @@ def term_counts(column: pa.Array):
     """(first row, rows, row of each distinct term, term hash, occurrences)."""
     for lo, hi, data, offsets in chunks(column):
         words = Words(data, offsets, LOWER, ALNUM)
-        h = mix(range_hash(byte_sums(words.data), words.start, np.minimum(words.end, words.start + STEM), _BYTES))
-        at = np.lexsort((h, words.row))
-        row, h = words.row[at], h[at]
+        # where the STEM-th character of a word ends: characters begin at bytes that continue none
+        begins = np.flatnonzero((words.data & 0xC0) != 0x80)
+        cut = np.r_[begins, [len(words.data)] * STEM][np.searchsorted(begins, words.start) + STEM]
+        stems = mix(range_hash(byte_sums(words.data), words.start, np.minimum(words.end, cut), _BYTES) ^ STEMS)
+        row, h = np.r_[words.row, words.row], np.r_[words.hashes(), stems]
+        at = np.lexsort((h, row))
+        row, h = row[at], h[at]
         new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, bool))
         yield lo, hi - lo, row[new], h[new], np.diff(np.r_[new, len(h)])
 
@@ -49,7 +57,7 @@ class Examples:
     """The index: terms and their weights, postings of examples in blocks, labels, votes and the curve.
 
     terms are sorted hashes, df counts documents with a term out of `total`; row, term, tf are the
-    examples' postings. A term that no example holds counts as one that no document holds.
+    examples' postings. A term that no example holds counts as one that one document holds.
     """
 
     def __init__(self, terms: np.ndarray, df: np.ndarray, total: int, doc: np.ndarray, label: np.ndarray, vote: np.ndarray, row: np.ndarray, term: np.ndarray, tf: np.ndarray, prior: float) -> None:
@@ -78,7 +86,7 @@ class Examples:
     def _ready(self) -> None:
         n, blocks = len(self.doc), -(-len(self.doc) // BLOCK)
         self.idf = np.maximum(np.log((1 + self.total) / (1 + self.df)), 1e-9)
-        self.new = max(np.log(1 + self.total), 1e-9)
+        self.new = max(np.log((1 + self.total) / 2), 1e-9)
         weight = self.weights(self.row, self.idf[self.term], self.tf, n)
         count = np.bincount(self.term, minlength=len(self.terms))
         head = np.argsort(-count, kind="stable")[:MOST_DENSE]

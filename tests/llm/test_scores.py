@@ -56,15 +56,15 @@ def brute_toxicity(rows, labels, texts, k, prior):
     import re
     from collections import Counter
 
-    def stems(text):
-        words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
-        return Counter(w[:4] for w in words)
+    def words(text):
+        found = re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+        return Counter([("word", w) for w in found] + [("stem", w[:4]) for w in found])
 
-    df = Counter(t for _, x in rows for t in stems(x))
-    vocabulary = {t for d, x in rows if d in labels for t in stems(x)}
+    df = Counter(t for _, x in rows for t in words(x))
+    shared = {t for d, x in rows if d in labels for t in words(x)}
 
     def vector(text):
-        w = {t: (1 + math.log(n)) * math.log((1 + len(rows)) / (1 + (df[t] if t in vocabulary else 0))) for t, n in stems(text).items()}
+        w = {t: (1 + math.log(n)) * math.log((1 + len(rows)) / (1 + (df[t] if t in shared else 1))) for t, n in words(text).items()}
         size = math.sqrt(sum(x * x for x in w.values())) or 1.0
         return {t: x / size for t, x in w.items()}
 
@@ -101,6 +101,32 @@ def test_scores_equal_brute_force(spark, monkeypatch, dense):
     assert model.curve != (0.0, 1.0)
 
 
+def test_whole_words_count(spark):
+    """Words that begin alike are different words, in any script."""
+    import pyarrow as pa
+
+    pairs = [("assassin classic", "assault classroom"), ("токсичный", "токсин"), ("漢字文化", "漢字圏")]
+    for a, b in pairs:
+        x, y = ({int(t) for _, _, _, h, _ in toxicity.term_counts(pa.array([text])) for t in h} for text in (a, b))
+        assert len(x) == len(y) == 2 * len(a.split())
+        assert len(x & y) == sum(v[:4] == w[:4] for v, w in zip(a.split(), b.split(), strict=True))
+    rows = [(i, f"plain words here {'assassin' if i % 2 else 'assault'} number{i}") for i in range(80)]
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, label int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(documents(spark, [(0, "an assault"), (1, "an assassin")]), model).collect()}
+    assert got[0] < 0.1 and got[1] > 0.9
+
+
+def test_a_longer_text_keeps_its_neighbours(spark):
+    """Words that no example holds change cosines, but neither the order of neighbours nor the score."""
+    rows, labels = corpus(300, 9, ["a1xx", "b2yy"])
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame(labels[:250], "doc_id long, label int"))
+    texts = [x for _, x in rows[250:270]]
+    got = toxicity.toxicity(documents(spark, list(enumerate(texts + [x + " never seen before" + " qqq" * 40 for x in texts]))), model).orderBy("doc_id").collect()
+    for a, b in zip(got[:20], got[20:], strict=True):
+        assert a["score"] == pytest.approx(b["score"], abs=1e-3) and [e["doc_id"] for e in a["evidence"]] == [e["doc_id"] for e in b["evidence"]]
+        assert a["evidence"][0]["cosine"] > b["evidence"][0]["cosine"]
+
+
 def test_repeated_numbers_do_not_widen_the_sample(spark):
     rows, labels = corpus(60, 4, ["vileword"])
     known = spark.createDataFrame(labels, "doc_id long, label int")
