@@ -204,22 +204,45 @@ def motif_destroyed(edges: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFr
     return moved.join(nearest(moved, "end", nodes, "tgt"), "end").select("src", "tgt")
 
 
+#: Points of a grid cell that are paired as one block.
+CELL_BLOCK = 512
+
+
+def _distance() -> Column:
+    return F.sqrt((F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0")))
+
+
+def _near_pairs(points: DataFrame, far: float) -> DataFrame:
+    """(src, tgt, distance) of all ordered pairs of points (id, x, y) within a distance.
+
+    A point meets those of its grid cell and of the eight around. A crowded cell is dealt into blocks, and each pair of a block of
+    sources and one of targets is a key of its own, so that no task has to pair a whole cell.
+    """
+    cell = points.withColumn("cx", F.floor(F.col("x") / far)).withColumn("cy", F.floor(F.col("y") / far))
+    blocks = cell.groupBy("cx", "cy").agg(F.ceil(F.count("*") / CELL_BLOCK).cast("int").alias("k"))
+    near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    around = cell.withColumn("d", F.explode(near)).select(F.col("id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"))
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("k"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("k").cast("long") - 1))
+    sources = around.join(blocks, ["cx", "cy"]).withColumn("s", block("src")).withColumn("t", each).drop("k")
+    targets = cell.join(blocks, ["cx", "cy"]).withColumn("t", block("id")).withColumn("s", each).drop("k")
+    pairs = sources.join(targets.withColumnRenamed("id", "tgt"), ["cx", "cy", "s", "t"]).where("src <> tgt")
+    return pairs.select("src", "tgt", _distance().alias("distance")).where(F.col("distance") <= far)
+
+
 def spatial(points: DataFrame, n: int, length: float, edges: float, reach: float = 4.0, draws: int = 64, seed: int = 0, source: DataFrame | None = None) -> DataFrame:
     """(src, tgt, weight) between points (id in 0..n-1, x, y), likelier the nearer they are: probability base * exp(-distance / length).
 
     base is set so that about `edges` are expected, one at most per ordered pair. Pairs within `reach` lengths meet in
-    grid cells of that size, with a coin each. No farther pair is likelier than base * e**-reach: candidates
+    grid cells of that size, crowded ones in blocks, with a coin each. No farther pair is likelier than base * e**-reach: candidates
     are drawn at that rate and kept at the rest of their probability, which is exact. The sum that sets base
     is exact for near pairs; for the far ones `draws` partners of each point stand for all. Edges have the mean weight of `source`.
     """
     _checked({"length": length, "reach": reach, "draws": draws})
     far = reach * length
-    cell = points.withColumn("cx", F.floor(F.col("x") / far)).withColumn("cy", F.floor(F.col("y") / far))
-    near = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
-    around = cell.withColumn("d", F.explode(near)).select(F.col("id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0"), (F.col("cx") + F.col("d.a")).alias("cx"), (F.col("cy") + F.col("d.b")).alias("cy"))
-    distance = F.sqrt((F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0")))
-    pairs = around.join(cell.withColumnRenamed("id", "tgt"), ["cx", "cy"]).where("src <> tgt").select("src", "tgt", distance.alias("distance")).where(F.col("distance") <= far)
+    pairs = _near_pairs(points, far)
     pull = F.exp(-F.col("distance") / length)
+    distance = _distance()
     ends = lambda df: df.join(points.select(F.col("id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0")), "src").join(points.withColumnRenamed("id", "tgt"), "tgt").select("src", "tgt", distance.alias("distance")).where(F.col("distance") > far)
     other = lambda pick: F.pmod(F.col("id") + 1 + pick, F.lit(n))
     some = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k")).select(F.col("id").alias("src"), other(below(max(n - 1, 1), "sum", seed, F.col("id"), F.col("k"))).alias("tgt"))

@@ -109,3 +109,14 @@ def test_grown_toy_graphs(spark):
     assert {round(r["weight"], 9) for r in control.collect()} == {round((7 * 0.6 + 0.8 + 8 * 0.4) / 16, 9)}
     for end in ("src", "tgt"):
         assert sorted(r[end] for r in control.collect()) == sorted(r[end] for r in edges.collect())
+
+
+def test_a_crowded_cell_is_paired_in_blocks(spark, monkeypatch):
+    """Most points in one spot: all near pairs come once, whatever the blocks, and no key holds more than a few blocks' pairs."""
+    r = random.Random(5)
+    points = [(i, r.gauss(0, 0.01), r.gauss(0, 0.01)) if i < 250 else (i, r.random(), r.random()) for i in range(330)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    want = sorted((a[0], b[0]) for a in points for b in points if a[0] != b[0] and ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2) ** 0.5 <= 0.2)
+    for block in (512, 16):
+        monkeypatch.setattr(generate, "CELL_BLOCK", block)
+        assert sorted((x["src"], x["tgt"]) for x in generate._near_pairs(df, 0.2).collect()) == want
