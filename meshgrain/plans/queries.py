@@ -511,7 +511,7 @@ def frontier_residency(s, d):
 
 
 #: Micro-batches in which a table is replayed, and ticks by which rows may come late: the ticks of one slice.
-SLICES = 6
+SLICES = 5
 LATE = HOURS // SLICES
 
 

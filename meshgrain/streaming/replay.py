@@ -23,15 +23,15 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def arrivals(rows: DataFrame, slices: int, until: int) -> DataFrame:
     """rows (with an int column tick) as a stream that brings one slice of the range of ticks after the other, in about `slices` micro-batches.
 
-    Inside a slice rows come in drawn order. With the last slice comes a row of nulls whose tick is `until`, so that the watermark gets there.
+    Inside a slice rows come in drawn order. After the last slice comes a row of nulls whose tick is `until`, so that the watermark gets there.
     """
     spark, folder = rows.sparkSession, own_folder(rows.sparkSession, "arrivals")
     lo, hi = rows.agg(F.min("tick"), F.max("tick")).first()
     width = ((hi or 0) - (lo or 0)) // slices + 1
-    for k in range(slices):
-        part = rows.where(F.expr(f"(tick - {lo or 0}) div {width} = {k}"))
-        part.sortWithinPartitions(F.xxhash64(*rows.columns)).write.mode("append").parquet(folder)
     clock = spark.range(1).select(*(F.lit(until if c == "tick" else None).cast(t).alias(c) for c, t in rows.dtypes))
+    for k in range(slices):
+        part = rows.where(F.expr(f"(tick - {lo or 0}) div {width} = {k}")).sortWithinPartitions(F.xxhash64(*rows.columns))
+        part.write.mode("append").parquet(folder)
     clock.write.mode("append").parquet(folder)
     files = len(spark.read.schema(rows.schema).parquet(folder).inputFiles())
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, files // slices)).parquet(folder)
