@@ -76,3 +76,26 @@ def test_stages_equal_brute_force(spark, tmp_path):
         assert sum(r["taken"] for r in rows_) == int(rows_[0]["target"])
     whole = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert {d: (r["size"], r["taken"]) for d, r in whole.items()} == {d: (r["size"], r["taken"]) for d, r in mixed.items()}
+
+
+def test_stages_on_empty_repeated_and_clashing_rows(spark, tmp_path):
+    """Every stage takes an empty table, rows that come several times, and columns with the names that operators use inside."""
+    import corpus_pipeline
+
+    from pyspark.sql import functions as F
+
+    rows, labels = corpus(80, 5, ["vileword", "badword"])
+    spark.createDataFrame([(d, 1, y) for d, y in labels[:60]], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([("i", " ".join(words(50, 15)))], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clash = ("_w0", "_range", "_place", "_hit_words", "_items", "term", "fragment", "doc", "label", "at", "keys", "row", "size")
+    docs = documents(spark, rows + rows[:20] + [(None, None), (None, "no id"), (9999, "")]).withColumns({c: F.lit(c) for c in clash})
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        out = spark.read.parquet(str(tmp_path / name))
+        if n + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == docs.columns and out.where(" or ".join(f"{c} is null" for c in clash)).count() == 0
+        left = {r["doc_id"] for r in out.select("doc_id").collect()}
+        times = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+        assert all(times[d] == 2 for d in range(20) if d in left) and {None, 9999} <= left
+        docs = out

@@ -143,6 +143,18 @@ def test_mix_of_nothing(spark):
     assert [(r["target"], r["taken"]) for r in got] == [(0.0, 0)] * 2
 
 
+def test_very_long_texts(spark):
+    """A text of a million words among short ones: mixed by its size, and scanned to its end."""
+    item = words(50, 15)
+    long = "filler Words " * 500_000 + " ".join(item[:11])
+    rows = [(0, long), (1, "a b c"), (2, "d e")]
+    got = {r["doc_id"]: r for r in mixing.mix_sources(documents(spark, rows, source=lambda i: "s")).collect()}
+    assert got[0]["size"] == 1_000_011 and got[0]["target"] == 1_000_016.0 and sum(r["taken"] for r in got.values()) == 1_000_016
+    bench = spark.createDataFrame([("b", " ".join(item))], "item_id string, text string")
+    hit = {r["doc_id"]: r for r in decontaminate.contamination(documents(spark, rows), bench).collect()}
+    assert (hit[0]["n_words"], hit[0]["n_hit"], hit[1]["n_hit"]) == (1_000_011, 11, 0) and tuple(hit[0]["spans"][0])[1] == len(long)
+
+
 def test_urls(spark):
     rows = [
         (1, "HTTP://A.Example.ORG/en/193?x=1"),

@@ -180,6 +180,15 @@ def test_quality_on_held_out_rows(spark):
     assert {r["score"] for r in quality.quality(docs, nothing).collect()} == {0.5}
 
 
+def test_quality_of_texts_of_separators(spark):
+    """Separators and signs of another script are scored like other texts, each alike however often it comes."""
+    rows, labels = corpus(60, 8, ["$$$"])
+    weights = quality.fit(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, label int"))
+    odd = [(0, "、。「」"), (1, "、。「」"), (2, "\u3000\u3000"), (3, "؟ ؛"), (4, ""), (5, None)]
+    got = {r["doc_id"]: r["score"] for r in quality.quality(documents(spark, odd), weights).collect()}
+    assert got[0] == got[1] and got[4] == got[5] and all(0 <= x <= 1 for x in got.values())
+
+
 @pytest.mark.parametrize("shard_rows", [64, 10**6])
 def test_embeddings_equal_brute_force(spark, shard_rows):
     r = np.random.default_rng(4)
