@@ -28,6 +28,9 @@ BLOCK = 512
 def _wedges(arcs: DataFrame) -> DataFrame:
     """(v1, v2, xy, xz): pairs v1 < v2 of each node's upper neighbours, from arcs (u, v, t). Colours of a node: one for each BLOCK of its neighbours."""
     colours = arcs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
+    if (colours.agg(F.max("k")).first()[0] or 1) == 1:  # no node has more than one block
+        p, q = (arcs.select("u", F.col("v").alias(v), F.col("t").alias(t)) for v, t in (("v1", "xy"), ("v2", "xz")))
+        return p.join(q, "u").where("v1 < v2").select("v1", "v2", "xy", "xz")
     rows = arcs.join(colours, "u").withColumn("c", F.pmod(F.xxhash64("v"), F.col("k")).cast("int"))
     rows = rows.withColumn("d", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     rows = rows.select("u", F.least("c", "d").alias("i"), F.greatest("c", "d").alias("j"), "c", "v", "t")
