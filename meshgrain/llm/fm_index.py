@@ -44,10 +44,15 @@ class WaveletMatrix:
         return lo - start, hi - start
 
 
-def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes by their first `depth` symbols or more (prefix doubling)."""
+def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Suffixes by their first `depth` symbols or more (prefix doubling), and for each suffix the place of its first 2**k
+    symbols among all such prefixes, with 2**k, the largest power of two below `depth` (1 at least).
+
+    A suffix that ends sooner is smaller than one that goes on, and no other one has its place.
+    """
+    keep = 1 << max(0, (depth - 1).bit_length() - 1)
     _, rank = np.unique(symbols, return_inverse=True)
-    have = 1
+    have, kept = 1, rank
     while True:
         ahead = np.zeros_like(rank)
         if have < len(rank):
@@ -58,8 +63,11 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         sorted_ = key[order]
         rank = np.empty_like(rank)
         rank[order] = np.cumsum(np.r_[0, sorted_[1:] != sorted_[:-1]])
-        if have >= depth or (len(rank) and rank[order[-1]] == len(rank) - 1):
-            return order
+        distinct = len(rank) and rank[order[-1]] == len(rank) - 1
+        if have <= keep:
+            kept = rank  # if all differ already, they differ by 2**k symbols too
+        if have >= depth or distinct:
+            return order, kept, keep
 
 
 class FMIndex:
@@ -72,7 +80,7 @@ class FMIndex:
     def __init__(self, symbols: np.ndarray, depth: int) -> None:
         self.symbols, self.depth = symbols, depth
         size = int(symbols.max()) + 1 if len(symbols) else 1
-        self.order = suffix_order(symbols, depth)
+        self.order, self.prefix, self.span = suffix_order(symbols, depth)
         last = symbols[self.order - 1]  # the row of the whole text wraps around to the last symbol
         self.first = np.r_[0, np.cumsum(np.bincount(symbols, minlength=size))]
         self.wavelet = WaveletMatrix(last, max(1, (size - 1).bit_length()))
@@ -82,9 +90,26 @@ class FMIndex:
         a, b = self.wavelet.rank(symbol, lo, hi)
         return self.first[symbol] + a, self.first[symbol] + b
 
-    def classes(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each row the first and end row of those with the same hash, which must stand together."""
-        h = hashes[self.order]
-        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        group = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(h)]))
-        return new[group], np.r_[new, len(h)][group + 1]
+    def shares(self, length: int) -> np.ndarray:
+        """For each row whether it has `length` symbols in common with the row before it.
+
+        Two overlapping prefixes of `span` symbols cover a longer one, so length is between span and twice that.
+        """
+        if length == 0:
+            return np.ones(len(self.order), bool)
+        above, row = np.r_[0, self.order[:-1]], self.order
+        shift = length - self.span
+        inside = np.maximum(above, row) + shift < len(self.symbols)
+        last = len(self.symbols) - 1
+        same = self.prefix[above] == self.prefix[row]
+        same &= inside & (self.prefix[np.minimum(above + shift, last)] == self.prefix[np.minimum(row + shift, last)])
+        same[:1] = False
+        return same
+
+    def intervals(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each row the first and end row of those that have its first `length` symbols: of a pattern that begins there, the rows [lo, hi) once it is cut to that length."""
+        new = ~self.shares(length)
+        new[:1] = True
+        edges = np.r_[np.flatnonzero(new), len(new)]
+        group = np.cumsum(new) - 1
+        return edges[group], edges[group + 1]

@@ -3,8 +3,9 @@
 Windows are routed to shards by anchor (anchors.py). A shard's texts become one compressed
 FM-index, and every text is streamed against it backwards: each step extends the match by one
 word to the left, and once it is as long as a window it is reported with the smallest document
-among its rows and widened by dropping its last word (matching statistics, capped at
-the window). Texts that are the same from end to end need no index: they meet by their hash,
+among its rows and widened to its parent, the rows that share all but its last word (matching
+statistics, capped at the window). Which rows belong together follows from the common prefixes
+of neighbours in the suffix order; no window is hashed. Texts that are the same from end to end need no index: they meet by their hash,
 and what is found in the first of them counts for every other one of the same document.
 """
 
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 from meshgrain.llm.anchors import Alphabet, covered, marked, route, sharded
 from meshgrain.llm.common import Batches, stash
 from meshgrain.llm.fm_index import FMIndex
-from meshgrain.llm.words import word_hash, word_sums
 
 
 def repeated(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
@@ -35,15 +35,12 @@ def repeated(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
     symbols[inside] = ids + 1
     index = FMIndex(symbols, width)
     doc = np.repeat(table["doc_id"].to_numpy(), sizes + 1)
-    sums = word_sums(symbols.astype(np.uint64))
-    at = np.arange(len(symbols))
-    # windows that reach beyond a text differ from all others by their place
-    left = np.repeat(begin[1:] - 1, sizes + 1) - at
-    alike = [np.where(left >= w, word_hash(sums, at, np.minimum(at + w, len(symbols))), (at + 1).astype(np.uint64)) for w in (width - 1, width)]
-    short_lo, short_hi = index.classes(alike[0])
-    full_lo, _ = index.classes(alike[1])
-    least = np.full(len(symbols), np.iinfo(np.int64).max)
-    np.minimum.at(least, full_lo, doc[index.order])
+    parent_lo, parent_hi = index.intervals(width - 1)
+    # least document of the rows of each window: rows [lo, hi) of a whole window are those with as much in common
+    whole_lo, _ = index.intervals(width)
+    edges = np.unique(whole_lo)
+    least = np.zeros(len(symbols), np.int64)
+    least[edges] = np.minimum.reduceat(doc[index.order], edges)
     hit = np.zeros(len(symbols), bool)
     # long texts first, so that those still running are a prefix
     rank = np.argsort(-sizes, kind="stable")
@@ -55,7 +52,7 @@ def repeated(table: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
         lo, hi = index.extend(symbols[here], lo[:n], hi[:n])
         if step + 1 >= width:
             hit[here] = least[lo] < doc[here]
-            lo, hi = short_lo[lo], short_hi[lo]
+            lo, hi = parent_lo[lo], parent_hi[lo]
     windows = sizes - width + 1
     bounds = np.r_[0, np.cumsum(windows)]
     own = np.repeat(begin[:-1] - bounds[:-1], windows) + np.arange(bounds[-1])
@@ -69,7 +66,8 @@ def substring_dedup(docs: DataFrame, width: int = 50, gram: int = 10) -> DataFra
     start in a document with a smaller doc_id are removed; windows are judged on the input.
     runs are the removed word runs [start, end). kept_text joins the kept words by one space.
     Null texts have no words; shorter documents have no window; rows of the same doc_id never
-    remove from each other; a null doc_id removes nothing and loses nothing.
+    remove from each other, and repeated rows are treated alike; a null doc_id removes nothing and loses
+    nothing. Very long texts are taken whole. An empty table gives no rows. Other columns of docs, whatever their names, are left aside.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
     kind = Alphabet("word", gram, width)

@@ -2,12 +2,13 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from meshgrain.llm import anchors, induced_sort
 from meshgrain.llm.fm_index import FMIndex
 from meshgrain.llm.induced_sort import SuffixQueue, suffixes
-from meshgrain.llm.substring_dedup import digest as words_digest, substring_dedup
+from meshgrain.llm.substring_dedup import digest as words_digest, repeated, substring_dedup
 from meshgrain.llm.suffix_dedup import digest as bytes_digest, suffix_dedup
 from tests.llm.data import documents, texts, words
 
@@ -124,6 +125,36 @@ def test_texts_beyond_the_budget_go_to_disk(monkeypatch):
     assert (position.tolist(), common.tolist()) == sorted_suffixes(t, 200)
 
 
+@pytest.mark.parametrize("width", [1, 2, 3, 4, 5, 8, 9])
+def test_intervals_are_those_of_common_prefixes(width):
+    rng = np.random.default_rng(width)
+    for n in (0, 1, 5, 300):
+        text = np.r_[rng.integers(0, 3, n), 0]
+        index = FMIndex(text, width)
+        for length in (width - 1, width):
+            # a suffix that ends sooner stands alone
+            key = [tuple(text[i : i + length]) if i + length <= len(text) else (i,) * (length + 1) for i in index.order]
+            lo, hi = index.intervals(length)
+            assert [(key.index(k), len(key) - key[::-1].index(k)) for k in key] == list(zip(lo, hi, strict=True))
+
+
+def test_index_alone_decides(monkeypatch):
+    """Windows of a shard are told apart with all hash functions of words and runs of words made constant."""
+    for name in ("word_hash", "mix"):
+        monkeypatch.setattr(f"meshgrain.llm.words.{name}", lambda x, *a: np.zeros(np.shape(a[0] if a else x), np.uint64))
+    rng = np.random.default_rng(8)
+    rows = [(int(d), rng.integers(1, 4, int(rng.integers(5, 40))).astype(np.uint64)) for d in rng.integers(0, 9, 30)]
+    doc, symbols = zip(*rows, strict=True)
+    zeros = np.zeros(len(rows), np.int64)
+    table = pa.table({"uid": np.arange(len(rows)), "doc_id": np.array(doc), "anchor": zeros, "content": zeros, "at": zeros, "symbols": [x.tobytes() for x in symbols]})
+    got = {(r["uid"], i) for b in repeated(table, 5) for r in b.to_pylist() for i in range(r["start"], r["end"] - 4)}
+    first = {}
+    windows = [(uid, d, i, tuple(x[i : i + 5])) for uid, (d, x) in enumerate(rows) for i in range(len(x) - 4)]
+    for _, d, _, w in windows:
+        first[w] = min(first.get(w, d), d)
+    assert got == {(uid, i) for uid, d, i, w in windows if first[w] < d} != set()
+
+
 def test_backward_search():
     rng = np.random.default_rng(5)
     text = np.r_[rng.integers(1, 4, 400), 0]
