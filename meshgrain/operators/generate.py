@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meshgrain.functions.draws import below, draw, uniform
+from meshgrain.operators.far_field import far_sum
 from meshgrain.operators.ranks import nearest, running
 
 #: Weight of drawn edges where the source graph has no edges.
@@ -212,8 +213,8 @@ def _distance() -> Column:
     return F.sqrt((F.col("x") - F.col("x0")) * (F.col("x") - F.col("x0")) + (F.col("y") - F.col("y0")) * (F.col("y") - F.col("y0")))
 
 
-def _near_pairs(points: DataFrame, far: float) -> DataFrame:
-    """(src, tgt, distance) of all ordered pairs of points (id, x, y) within a distance.
+def _near_pairs(points: DataFrame, far: float, whole_cells: bool = False) -> DataFrame:
+    """(src, tgt, distance) of all ordered pairs of points (id, x, y) within a distance, or of all whose cells touch.
 
     A point meets those of its grid cell and of the eight around. A crowded cell is dealt into blocks, and each pair of a block of
     sources and one of targets is a key of its own, so that no task has to pair a whole cell.
@@ -227,27 +228,27 @@ def _near_pairs(points: DataFrame, far: float) -> DataFrame:
     sources = around.join(blocks, ["cx", "cy"]).withColumn("s", block("src")).withColumn("t", each).drop("k")
     targets = cell.join(blocks, ["cx", "cy"]).withColumn("t", block("id")).withColumn("s", each).drop("k")
     pairs = sources.join(targets.withColumnRenamed("id", "tgt"), ["cx", "cy", "s", "t"]).where("src <> tgt")
-    return pairs.select("src", "tgt", _distance().alias("distance")).where(F.col("distance") <= far)
+    pairs = pairs.select("src", "tgt", _distance().alias("distance"))
+    return pairs if whole_cells else pairs.where(F.col("distance") <= far)
 
 
-def spatial(points: DataFrame, n: int, length: float, edges: float, reach: float = 4.0, draws: int = 64, seed: int = 0, source: DataFrame | None = None) -> DataFrame:
+def spatial(points: DataFrame, n: int, length: float, edges: float, reach: float = 4.0, seed: int = 0, source: DataFrame | None = None) -> DataFrame:
     """(src, tgt, weight) between points (id in 0..n-1, x, y), likelier the nearer they are: probability base * exp(-distance / length).
 
     base is set so that about `edges` are expected, one at most per ordered pair. Pairs within `reach` lengths meet in
     grid cells of that size, crowded ones in blocks, with a coin each. No farther pair is likelier than base * e**-reach: candidates
     are drawn at that rate and kept at the rest of their probability, which is exact. The sum that sets base
-    is exact for near pairs; for the far ones `draws` partners of each point stand for all. Edges have the mean weight of `source`.
+    is added up pair by pair where cells touch and by far_field.far_sum beyond, to six digits at least with the usual reach. Edges have the mean weight of `source`.
     """
-    _checked({"length": length, "reach": reach, "draws": draws})
+    _checked({"length": length, "reach": reach})
     far = reach * length
     pairs = _near_pairs(points, far)
     pull = F.exp(-F.col("distance") / length)
     distance = _distance()
     ends = lambda df: df.join(points.select(F.col("id").alias("src"), F.col("x").alias("x0"), F.col("y").alias("y0")), "src").join(points.withColumnRenamed("id", "tgt"), "tgt").select("src", "tgt", distance.alias("distance")).where(F.col("distance") > far)
     other = lambda pick: F.pmod(F.col("id") + 1 + pick, F.lit(n))
-    some = points.select("id", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("k")).select(F.col("id").alias("src"), other(below(max(n - 1, 1), "sum", seed, F.col("id"), F.col("k"))).alias("tgt"))
-    total = pairs.agg(F.sum(pull)).first()[0] or 0.0  # two numbers
-    total += (ends(some).agg(F.sum(pull)).first()[0] or 0.0) * (n - 1) / draws
+    total = _near_pairs(points, far, whole_cells=True).agg(F.sum(pull)).first()[0] or 0.0  # two numbers
+    total += far_sum(points, n, length, far, 1e-8 * max(total, edges, 1e-9))  # base is 1 where the sum is below the edges wanted
     base = min(1.0, edges / total) if total else 0.0
     close = pairs.where(uniform("spatial", seed, F.col("src"), F.col("tgt")) < base * pull).select("src", "tgt")
     drawn = partners(points.select("id"), F.lit(n - 1), base * math.exp(-reach), "far", seed).select(F.col("id").alias("src"), other(F.col("pick")).alias("tgt"))

@@ -200,8 +200,7 @@ SELECT *, {_DRAWN} AS weight FROM (SELECT id AS src, (pick + CASE WHEN pick >= i
 UNION ALL SELECT id, pick // 3 * 4 + pick % 3 + CASE WHEN pick % 3 >= m THEN 1 ELSE 0 END FROM {_partners("r", "n - size", 0.005, "'out'", "1")})""",
     "gen_spatial": f"""WITH {_GRAPH}, p AS (SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings), n AS (SELECT count(*) AS n FROM p),
 q AS MATERIALIZED (SELECT a.id AS src, b.id AS tgt, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS d FROM p a JOIN p b ON a.id <> b.id),
-h AS (SELECT id, (id + 1 + {_below("n - 1", "'sum'", "6", "id", "k")}) % n AS j FROM (SELECT id, n, unnest(range(0, 64)) AS k FROM p, n)),
-b AS MATERIALIZED (SELECT least(1.0::DOUBLE, 8 * n / ((SELECT sum(exp(-d / 0.05::DOUBLE)) FROM q WHERE d <= 0.2::DOUBLE) + (SELECT coalesce(sum(exp(-d / 0.05::DOUBLE)), 0) FROM h JOIN q ON src = id AND tgt = j WHERE d > 0.2::DOUBLE) * (n - 1) / 64)) AS base, n FROM n),
+b AS MATERIALIZED (SELECT least(1.0::DOUBLE, 8 * n / (SELECT sum(exp(-d / 0.05::DOUBLE)) FROM q)) AS base, n FROM n),
 r AS (SELECT id, n, base FROM p, b), f AS (SELECT id AS src, (id + 1 + pick) % n AS tgt FROM {_partners("r", "n - 1", "base * exp(-4.0::DOUBLE)", "'far'", "6")})
 SELECT src, tgt, {_MEAN} AS weight FROM q, b WHERE d <= 0.2::DOUBLE AND {_u("'spatial'", "6", "src", "tgt")} < base * exp(-d / 0.05::DOUBLE)
 UNION ALL SELECT src, tgt, {_MEAN} FROM f JOIN q USING (src, tgt) WHERE d > 0.2::DOUBLE AND {_u("'keep'", "6", "src", "tgt")} < exp((0.2::DOUBLE - d) / 0.05::DOUBLE)""",

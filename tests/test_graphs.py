@@ -1,11 +1,13 @@
 import random
 from itertools import combinations, permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meshgrain.operators import generate, structure
 from meshgrain.operators.census import CODES, properties, triad_census
+from meshgrain.operators.far_field import far_sum
 from meshgrain.operators.ranks import dense_ids, running, upper_median
 
 TOY = [(i, i + 1) for i in range(7)] + [(7, 2)] + [(8, i) for i in range(8)]
@@ -130,6 +132,20 @@ def test_spatial_edges_at_all_distances(spark):
     assert abs(len(far) - want) < 5 * want**0.5
 
 
+@pytest.mark.parametrize("wide", [1.0, 30.0])
+def test_far_pairs_add_up_by_polynomials(spark, wide):
+    """Within 1e-6 of the sum over all pairs whose cells don't touch; half of the points crowd one spot, one stands far away, one has no place."""
+    r = np.random.default_rng(3)
+    xy = np.r_[r.random((300, 2)) * wide - wide / 3, r.normal(0.3, 0.01, (300, 2)), [[40.0, -40.0]]]
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in xy] + [(None, 1.0), (float("nan"), 0.0)], "x double, y double")
+    cell = np.floor(xy / 0.4)
+    apart = np.abs(cell[:, None] - cell[None]).max(-1) > 1
+    far = np.hypot(*np.moveaxis(xy[:, None] - xy[None], -1, 0))
+    want = np.exp(-far / 0.1)[apart].sum()
+    assert far_sum(df, len(xy), 0.1, 0.4, 1e-8 * want) == pytest.approx(want, rel=1e-6)
+    assert far_sum(df.limit(0), 0, 0.1, 0.4, 1e-8) == 0
+
+
 def test_generators_keep_their_promises(spark, toy):
     _, edges = toy
     assert generate.replication(edges, 12, 3).count() == 48
