@@ -148,7 +148,7 @@ class Tape:
 
 
 def range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Least of values[lo] to values[hi], both included."""
+    """Least of values[lo] to values[hi], both included, of one block of values."""
     level, out = np.frexp((hi - lo + 1).astype(np.float64))[1] - 1, np.zeros(len(lo), np.int64)
     for k in range(int(level.max(initial=-1)) + 1):
         of = np.flatnonzero(level == k)
@@ -157,6 +157,44 @@ def range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return out
 
 
+class Minima:
+    """Least values of ranges of a large array, which may be a file: what is in memory at once doesn't grow with it.
+
+    Whole blocks of a range are looked up in a table of the least values of 1, 2, 4, ... blocks in a row, which is a file too if it is
+    large, of about log2(n) / 32 numbers for each value; the ends of a range, a block at most each, are read from the values.
+    """
+
+    SIDE = 32
+
+    def __init__(self, values: np.ndarray, budget: int) -> None:
+        self.values, side = values, self.SIDE
+        table = array(-(-len(values) // side), np.int64, budget)
+        for lo in range(0, len(table), BLOCK):
+            part = np.asarray(values[lo * side : (lo + BLOCK) * side])
+            table[lo : lo + BLOCK] = np.minimum.reduceat(part, np.arange(0, len(part), side))
+        self.tables, have = [table], 1
+        while 2 * have <= len(self.tables[0]):
+            last, table = table, array(len(table) - have, np.int64, budget)
+            for lo in range(0, len(table), BLOCK):
+                hi = min(lo + BLOCK, len(table))
+                table[lo:hi] = np.minimum(last[lo:hi], last[lo + have : hi + have])
+            self.tables.append(table)
+            have *= 2
+
+    def least(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Least of values[lo] to values[hi], both included."""
+        out, side = np.minimum(self.values[lo], self.values[hi]), self.SIDE
+        ahead, back = np.minimum(hi, lo | (side - 1)), np.maximum(lo, hi & -side)
+        for step in range(1, side):
+            out = np.minimum(out, np.minimum(self.values[np.minimum(lo + step, ahead)], self.values[np.maximum(hi - step, back)]))
+        a, b = lo // side + 1, hi // side
+        level = np.frexp(np.maximum(b - a, 0).astype(np.float64))[1] - 1  # -1 where no block is whole
+        for k in np.unique(level[level >= 0]):
+            of = np.flatnonzero(level == k)
+            out[of] = np.minimum(out[of], np.minimum(self.tables[k][a[of]], self.tables[k][b[of] - (1 << int(k))]))
+        return out
+
+
 class Sweep:
     """Takes suffixes in order and puts those of one type that start a symbol earlier in a queue."""
 
@@ -331,7 +369,7 @@ class Text:
             found = doubled(names, depth)
         else:
             found = Text(names, count, depth, self.budget).suffixes()
-        shared, previous = shared[:count], 0
+        shared, previous = Minima(shared[:count], self.budget), 0
         for at, same in found:
             before = np.r_[previous, at[:-1]]
             previous = at[-1]
@@ -342,7 +380,7 @@ class Text:
             left, right = count - 1 - names[a], count - 1 - names[b]
             unlike = left < right  # all but the very first, which has none before
             more = np.zeros(len(of), np.int64)
-            more[unlike] = range_min(shared, left[unlike] + 1, right[unlike])
+            more[unlike] = shared.least(left[unlike] + 1, right[unlike])
             more = np.minimum(places[b] - places[at[of]] + more, self.depth)
             common[of] = self._grown(places[before[of]], places[at[of]], more)
             yield np.asarray(places[at]), common

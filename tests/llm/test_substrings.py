@@ -110,6 +110,19 @@ def test_induced_sort(monkeypatch, block, budget):
     assert list(suffixes(np.zeros(0, np.int64), 5, 9)) == []
 
 
+@pytest.mark.parametrize("n", [1, 31, 32, 33, 64, 65, 5000])
+@pytest.mark.parametrize("budget", [0, 1 << 20])
+def test_least_values_of_ranges(monkeypatch, n, budget):
+    monkeypatch.setattr(induced_sort, "BLOCK", 7)
+    rng = np.random.default_rng(n)
+    values = induced_sort.array(n, np.int64, budget)
+    values[:] = rng.integers(0, 1000, n)
+    minima = induced_sort.Minima(values, budget)
+    lo, hi = np.sort(rng.integers(0, n, (2, 400)), axis=0)
+    assert minima.least(lo, hi).tolist() == [values[a : b + 1].min() for a, b in zip(lo, hi, strict=True)]
+    assert all(isinstance(t, np.memmap) == (budget == 0) for t in minima.tables)
+
+
 def test_texts_beyond_the_budget_go_to_disk(monkeypatch):
     """Queues of 8 KB for a text whose tuples take 640 KB: runs are written and the text of names recurses."""
     monkeypatch.setattr(induced_sort, "BLOCK", 64)
