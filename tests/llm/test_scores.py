@@ -127,6 +127,25 @@ def test_a_longer_text_keeps_its_neighbours(spark):
         assert a["evidence"][0]["cosine"] > b["evidence"][0]["cosine"]
 
 
+def test_the_curve_fits_votes_that_lie_close_together():
+    """Votes within a narrow range, far from 0: the curve they were drawn by is found again, in any units; classes apart give a finite one."""
+    r = np.random.default_rng(5)
+    odds = r.normal(-1.9, 0.12, 20000)
+    label = (r.random(len(odds)) < 1 / (1 + np.exp(-(43 + 24 * odds)))).astype(float)
+    weight = np.where(label == 1, 0.5, 1.5)
+    a, b = toxicity._logistic(odds, label, np.ones(len(odds)))
+    assert abs(-a / b + 43 / 24) < 0.01 and abs(b / 24 - 1) < 0.1
+    a, b = toxicity._logistic(odds, label, weight)
+    p = 1 / (1 + np.exp(-(a + b * odds)))
+    assert (weight * p).sum() == pytest.approx((weight * label).sum())
+    c, d = toxicity._logistic(odds * 50 + 7, label, weight)
+    assert np.abs(1 / (1 + np.exp(-(c + d * (odds * 50 + 7)))) - p).max() < 1e-6
+    a, b = toxicity._logistic(np.r_[np.full(9, -2.0), np.full(9, -1.9)], np.repeat([0.0, 1.0], 9), np.ones(18))
+    assert np.isfinite([a, b]).all() and b > 0 and a - 2.0 * b < -2 and a - 1.9 * b > 2
+    a, b = toxicity._logistic(np.full(5, -1.0), np.array([0.0, 0, 0, 1, 0]), np.ones(5))
+    assert b == 0 and 1 / (1 + np.exp(-a)) == pytest.approx(0.2)
+
+
 def test_repeated_numbers_do_not_widen_the_sample(spark):
     rows, labels = corpus(60, 4, ["vileword"])
     known = spark.createDataFrame(labels, "doc_id long, label int")
