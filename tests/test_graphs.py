@@ -160,3 +160,12 @@ def test_generators_keep_their_promises(spark, toy):
     assert planted.where("src % 3 = tgt % 3").count() > planted.count() / 2
     assert planted.where("src = tgt").count() == 0
     assert {(r["src"], r["tgt"]) for r in generate.stamped(spark.range(1), 25).collect()} in ({(0, 1), (1, 2), (2, 0)}, {(1, 0), (2, 1), (0, 2)})
+
+
+def test_sure_pairs_are_dealt_out_and_not_drawn(spark):
+    """Nodes that come in one partition, as a small table does, are not worked on by one task; nothing is drawn for them."""
+    made = generate.gnp(spark.range(6000, numPartitions=1), 6000, 1.0).groupBy("src").agg(F.count("*").alias("n"), F.sum("tgt").alias("total"))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "md5" not in plan and "aggregate(" not in plan
+    assert generate.gnp(spark.range(6000, numPartitions=1), 6000, 1.0).rdd.getNumPartitions() > 1
+    assert made.where(F.expr("n = 5999 and total = 6000 * 5999 div 2 - src")).count() == 6000
