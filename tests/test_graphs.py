@@ -1,10 +1,14 @@
+import hashlib
+import math
 import random
 from itertools import combinations, permutations
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from meshgrain.functions.draws import Draws
 from meshgrain.operators import generate, structure
 from meshgrain.operators.census import CODES, properties, triad_census
 from meshgrain.operators.far_field import far_sum
@@ -162,6 +166,21 @@ def test_generators_keep_their_promises(spark, toy):
     assert {(r["src"], r["tgt"]) for r in generate.stamped(spark.range(1), 25).collect()} in ({(0, 1), (1, 2), (2, 0)}, {(1, 0), (2, 1), (0, 2)})
 
 
+def plain_draw(*parts):
+    return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:13], 16) / 2**52
+
+
+def plain_partners(ident, among, p, *key):
+    """The numbers that a node gets, one draw after another."""
+    width, found = math.ceil(16 / p), []
+    for stretch in range(-(-among // width)):
+        at, k, size = -1, 0, min(width, among - stretch * width)
+        while (at := at + 1 + math.floor(math.log(1 - plain_draw(*key, ident, stretch, k)) / math.log1p(-p))) < size:
+            found.append(stretch * width + at)
+            k += 1
+    return found
+
+
 def test_sure_pairs_are_dealt_out_and_not_drawn(spark):
     """Nodes that come in one partition, as a small table does, are not worked on by one task; nothing is drawn for them."""
     made = generate.gnp(spark.range(6000, numPartitions=1), 6000, 1.0).groupBy("src").agg(F.count("*").alias("n"), F.sum("tgt").alias("total"))
@@ -169,3 +188,22 @@ def test_sure_pairs_are_dealt_out_and_not_drawn(spark):
     assert "md5" not in plan and "aggregate(" not in plan
     assert generate.gnp(spark.range(6000, numPartitions=1), 6000, 1.0).rdd.getNumPartitions() > 1
     assert made.where(F.expr("n = 5999 and total = 6000 * 5999 div 2 - src")).count() == 6000
+
+
+@pytest.mark.parametrize("top", [5, 12345, 10**8, 10**12, 2**62])
+def test_draws_in_numpy_are_those_of_md5(top):
+    r = np.random.default_rng(top)
+    x, y = r.integers(0, top, 200), r.integers(0, 120, 200)
+    d = Draws("edge weight:1", x, y)
+    for k in (None, 0, 9, 10, 127):
+        assert d.at(k).tolist() == [plain_draw("edge weight", 1, a, b, *([] if k is None else [k])) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    d.keep(x % 2 == 0)
+    assert d.at(3).tolist() == [plain_draw("edge weight", 1, a, b, 3) for a, b in zip(x.tolist(), y.tolist(), strict=True) if a % 2 == 0]
+    assert Draws("z:1", np.array([-3, 5]), pd.Series([1, None])).at(1).tolist() == [plain_draw("z", 1, -3, 1, 1), plain_draw("z", 1, 5, 1)]
+
+
+def test_drawn_pairs_are_dealt_out(spark):
+    """As above, with a weight for each edge that is the draw of its ends."""
+    assert generate.gnp(spark.range(8000, numPartitions=1), 8000, 0.05, seed=1).rdd.getNumPartitions() > 3
+    got = {(r["src"], r["tgt"]): r["weight"] for r in generate.gnp(spark.range(70, numPartitions=1), 70, 0.3, seed=1).collect()}
+    assert got == {(a, b): 0.2 + plain_draw("edge weight", 1, a, b) * (0.8 - 0.2) for a in range(70) for b in ((a + 1 + k) % 70 for k in plain_partners(a, 69, 0.3, "gnp", 1))}
