@@ -207,3 +207,9 @@ def test_drawn_pairs_are_dealt_out(spark):
     assert generate.gnp(spark.range(8000, numPartitions=1), 8000, 0.05, seed=1).rdd.getNumPartitions() > 3
     got = {(r["src"], r["tgt"]): r["weight"] for r in generate.gnp(spark.range(70, numPartitions=1), 70, 0.3, seed=1).collect()}
     assert got == {(a, b): 0.2 + plain_draw("edge weight", 1, a, b) * (0.8 - 0.2) for a in range(70) for b in ((a + 1 + k) % 70 for k in plain_partners(a, 69, 0.3, "gnp", 1))}
+
+
+def test_filled_pairs_are_dealt_out(spark):
+    assert generate.motif_fill(spark.range(6000, numPartitions=1), 6000, 27, 0.03, seed=8).rdd.getNumPartitions() > 5
+    got = [(r["src"], r["tgt"]) for r in generate.motif_fill(spark.range(20, numPartitions=1), 20, 27, 0.1, seed=8).collect()]
+    assert sorted(got) == sorted([(3 * i + a, 3 * i + b) for i in range(20) for a, b in generate.motif_edges(27)] + [(a, a + 1 + k) for a in range(60) for k in plain_partners(a, 59 - a, 0.1, "motif", 8)])
