@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from meshgrain.functions.draws import Draws
+from meshgrain.functions.draws import CrossedDraws, Draws
 from meshgrain.operators import generate, structure
 from meshgrain.operators.census import CODES, properties, triad_census
 from meshgrain.operators.far_field import far_sum
@@ -213,3 +213,23 @@ def test_filled_pairs_are_dealt_out(spark):
     assert generate.motif_fill(spark.range(6000, numPartitions=1), 6000, 27, 0.03, seed=8).rdd.getNumPartitions() > 5
     got = [(r["src"], r["tgt"]) for r in generate.motif_fill(spark.range(20, numPartitions=1), 20, 27, 0.1, seed=8).collect()]
     assert sorted(got) == sorted([(3 * i + a, 3 * i + b) for i in range(20) for a, b in generate.motif_edges(27)] + [(a, a + 1 + k) for a in range(60) for k in plain_partners(a, 59 - a, 0.1, "motif", 8)])
+
+
+@pytest.mark.parametrize("top", [30, 2000, 10**6, 10**11, 2**61])
+def test_rare_pairs_of_two_lists(top):
+    r = np.random.default_rng(top)
+    a, b = np.sort(r.integers(0, top, 20)), r.integers(0, top, 30)
+    i, j = np.divmod(np.arange(600), 30)
+    which, u = CrossedDraws("spatial:6", a, b).rare(i, j, 0.3)
+    assert dict(zip(which.tolist(), u.tolist(), strict=True)) == {k: v for k, (x, y) in enumerate(zip(a[i].tolist(), b[j].tolist(), strict=True)) if (v := plain_draw("spatial", 6, x, y)) < 0.3}
+
+
+def test_near_coins_are_those_of_pairs(spark, monkeypatch):
+    """Blocks of points are paired in numpy, each pair with its own draw; no row for each pair goes through a join."""
+    r = random.Random(4)
+    points = [(i, r.random(), r.random()) for i in range(150)] + [(150, None, 0.5)]
+    df = spark.createDataFrame(points, "id long, x double, y double")
+    monkeypatch.setattr(generate, "CELL_BLOCK", 16)
+    away = {(a, b): ((q - x) ** 2 + (v - y) ** 2) ** 0.5 for a, x, y in points[:150] for b, q, v in points[:150] if a != b}
+    got = {(e["src"], e["tgt"]) for e in generate._near(generate._blocks(df, 0.2), 0.2, 0.05, 0.9, 6).collect()}
+    assert got == {e for e, d in away.items() if d <= 0.2 and plain_draw("spatial", 6, *e) < 0.9 * math.exp(-d / 0.05)}
