@@ -8,6 +8,8 @@ Open triads, single edges and empty triads follow from degrees by kind of dyad.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ CODES = (
 BLOCK = 512
 
 
+def _closable(arcs: DataFrame) -> DataFrame:
+    """The arcs (u, v, t) that can leave the lowest node of a triangle: to a middle node, which arcs enter and leave, or to a node that a middle one has an arc to.
+
+    Where no node has both, as in a graph of parts and their suppliers, none is left, and no pair of neighbours is made.
+    """
+    middle = arcs.select(F.col("u").alias("v")).distinct().join(arcs.select("v").distinct(), "v", "left_semi")
+    beyond = arcs.join(middle.withColumnRenamed("v", "u"), "u", "left_semi").select("v")
+    return arcs.join(middle.unionAll(beyond).distinct(), "v", "left_semi")
+
+
 def _wedges(arcs: DataFrame) -> DataFrame:
     """(v1, v2, xy, xz): pairs v1 < v2 of each node's upper neighbours, from arcs (u, v, t). Colours of a node: one for each BLOCK of its neighbours."""
     colours = arcs.groupBy("u").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("k"))
@@ -48,6 +60,8 @@ def properties(code: int) -> tuple[int, int, bool]:
 def triad_census(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(code, count, concentration, n_edges, n_mutual, cyclic), codes 0, 1 and 3 always, others if they occur.
 
+    count is a long, or a decimal(38,0) where a long can't hold all counts: from about 3.8 million nodes on.
+
     edges: src, tgt; loops and edges that leave the nodes do not count. nodes: id; without
     them the universe is the set of sources.
     """
@@ -68,7 +82,7 @@ def triad_census(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     up = F.struct("da", "a") < F.struct("db", "b")
     # kinds go along as seen from u, so a triangle knows its three kinds when it is closed
     arcs = sided.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("v"), F.when(up, F.col("t")).otherwise(flip(F.col("t"))).alias("t"))
-    tri = _wedges(arcs).join(dyads.select(F.col("a").alias("v1"), F.col("b").alias("v2"), F.col("t").alias("yz")), ["v1", "v2"]).groupBy("xy", "xz", "yz").agg(F.count("*").alias("n"))
+    tri = _wedges(_closable(arcs)).join(dyads.select(F.col("a").alias("v1"), F.col("b").alias("v2"), F.col("t").alias("yz")), ["v1", "v2"]).groupBy("xy", "xz", "yz").agg(F.count("*").alias("n"))
 
     comb3 = F.expr("cast(cast(n as decimal(38,0)) * (n - 1) * (n - 2) / 6 as decimal(38,0))")
     sums = degree.agg(
@@ -81,7 +95,12 @@ def triad_census(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     sided.unpersist()
     dyads.unpersist()
     degree.unpersist()
-    return spark.createDataFrame(_totals(whole.asDict(), [r.asDict() for r in triangles]), "code int, count long, concentration double, n_edges int, n_mutual int, cyclic boolean").orderBy("code")
+    counts = _totals(whole.asDict(), [r.asDict() for r in triangles])
+    if max(r[1] for r in counts) < 1 << 63:
+        kind = "long"
+    else:
+        kind, counts = "decimal(38,0)", [(r[0], Decimal(r[1]), *r[2:]) for r in counts]
+    return spark.createDataFrame(counts, f"code int, count {kind}, concentration double, n_edges int, n_mutual int, cyclic boolean").orderBy("code")
 
 
 #: Codes of open triads by the kinds of their two spokes (1 out, 2 in, 3 both).

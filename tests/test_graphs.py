@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from meshgrain.functions.draws import CrossedDraws, Draws
 from meshgrain.operators import generate, structure
-from meshgrain.operators.census import CODES, properties, triad_census
+from meshgrain.operators.census import CODES, _closable, properties, triad_census
 from meshgrain.operators.far_field import far_sum
 from meshgrain.operators.ranks import dense_ids, running, upper_median
 
@@ -233,3 +233,19 @@ def test_near_coins_are_those_of_pairs(spark, monkeypatch):
     away = {(a, b): ((q - x) ** 2 + (v - y) ** 2) ** 0.5 for a, x, y in points[:150] for b, q, v in points[:150] if a != b}
     got = {(e["src"], e["tgt"]) for e in generate._near(generate._blocks(df, 0.2), 0.2, 0.05, 0.9, 6).collect()}
     assert got == {e for e, d in away.items() if d <= 0.2 and plain_draw("spatial", 6, *e) < 0.9 * math.exp(-d / 0.05)}
+
+
+def test_census_counts_beyond_a_long(spark):
+    """Four million nodes have more triads than a long holds."""
+    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 0), (5, 6)], "src long, tgt long")
+    n = 4_000_000
+    got = {r["code"]: int(r["count"]) for r in triad_census(edges, spark.range(n)).collect()}
+    assert got == {0: n * (n - 1) * (n - 2) // 6 - 1 - 3 * (n - 3) - (n - 2), 1: 3 * (n - 3) + n - 2, 3: 0, 25: 1}
+
+
+def test_no_wedges_where_no_neighbour_goes_on(spark):
+    """Parts have suppliers, suppliers have nothing above them: no pair of suppliers is made. In a whole graph all arcs stay."""
+    parts = spark.createDataFrame([(p, 1000 + s, 1) for p in range(100, 150) for s in range(20)], "u long, v long, t int")
+    whole = spark.createDataFrame([(a, b, 3) for a in range(30) for b in range(a + 1, 30)], "u long, v long, t int")
+    assert _closable(parts).count() == 0 and _closable(whole).count() == 30 * 29 // 2
+    assert _closable(parts.unionAll(whole)).count() == 30 * 29 // 2
