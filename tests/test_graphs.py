@@ -249,3 +249,13 @@ def test_no_wedges_where_no_neighbour_goes_on(spark):
     whole = spark.createDataFrame([(a, b, 3) for a in range(30) for b in range(a + 1, 30)], "u long, v long, t int")
     assert _closable(parts).count() == 0 and _closable(whole).count() == 30 * 29 // 2
     assert _closable(parts.unionAll(whole)).count() == 30 * 29 // 2
+
+
+def spread(df):
+    """Rows of the fullest task over the mean of tasks with rows."""
+    n = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return len(n), max(n) * len(n) / sum(n)
+
+
+def test_planted_pairs_are_dealt_out(spark):
+    assert generate.planted(spark.range(8000, numPartitions=1), 8000, 4, 0.08, 0.005).rdd.getNumPartitions() > 2
