@@ -259,3 +259,13 @@ def spread(df):
 
 def test_planted_pairs_are_dealt_out(spark):
     assert generate.planted(spark.range(8000, numPartitions=1), 8000, 4, 0.08, 0.005).rdd.getNumPartitions() > 2
+
+
+def test_hybrid_duplicates_in_numpy_as_in_spark(spark, toy):
+    _, edges = toy
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    want = rows(generate.duplication(generate.modular(edges, 12, 3, 4, 0.3, 2), 48, 0.2, 0.2, 3))
+    assert rows(generate.hybrid(edges, 12, 3, 4, 0.2, 0.3, 2)) == want
+    made = generate._duplicated(np.arange(40), np.arange(1, 41), 50, 0.2, 0.2, 3)
+    ends = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("tgt"), F.lit(0.5).alias("weight"))
+    assert sorted(zip(made["src"].tolist(), made["tgt"].tolist(), strict=True)) == [r[:2] for r in rows(generate.duplication(ends, 50, 0.2, 0.2, 3))]
