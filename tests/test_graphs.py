@@ -269,3 +269,10 @@ def test_hybrid_duplicates_in_numpy_as_in_spark(spark, toy):
     made = generate._duplicated(np.arange(40), np.arange(1, 41), 50, 0.2, 0.2, 3)
     ends = spark.range(40).select(F.col("id").alias("src"), (F.col("id") + 1).alias("tgt"), F.lit(0.5).alias("weight"))
     assert sorted(zip(made["src"].tolist(), made["tgt"].tolist(), strict=True)) == [r[:2] for r in rows(generate.duplication(ends, 50, 0.2, 0.2, 3))]
+
+
+def test_links_to_later_nodes_are_dealt_out_evenly(spark, toy, monkeypatch):
+    """First nodes have the most later ones; no task gets most of the links."""
+    monkeypatch.setattr(generate, "TASK_ROWS", 1 << 14)
+    tasks, most = spread(generate.modular(toy[1].limit(0), 800, 4, 2, 0.05))
+    assert tasks > 2 and most < 1.4
