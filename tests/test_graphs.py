@@ -276,3 +276,9 @@ def test_links_to_later_nodes_are_dealt_out_evenly(spark, toy, monkeypatch):
     monkeypatch.setattr(generate, "TASK_ROWS", 1 << 14)
     tasks, most = spread(generate.modular(toy[1].limit(0), 800, 4, 2, 0.05))
     assert tasks > 2 and most < 1.4
+
+
+def test_links_between_tiles_are_dealt_out_evenly(spark, toy, monkeypatch):
+    monkeypatch.setattr(generate, "TASK_ROWS", 1 << 14)
+    tasks, most = spread(generate.replication(toy[1].limit(0), 500, 3, 0.05))
+    assert tasks > 1 and most < 1.4
